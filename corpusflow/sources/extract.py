@@ -89,15 +89,19 @@ def extract_parsed(files: DataFrame, readers: dict[str, Reader] | None = None) -
     return files.mapInArrow(run, schema)
 
 
+def is_native(ext: Column, readers: dict[str, Reader] | None = None) -> Column:
+    """Whether built-in expressions read this extension; a reader passed in takes it over."""
+    return ext.isin(*[e for e in NATIVE if e not in (readers or {})])
+
+
 def extract(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
     """Pages of files of any kind. ``readers`` adds to, or replaces, the readers by extension.
 
-    The two branches filter on ``ext``; where ``files`` is partitioned by ``is_native`` (the archive is), each
-    branch reads its own partitions only. For a folder, ``extract_folder`` splits at the listing instead.
+    Where ``files`` has the partition column ``is_native``, as the archive does, each branch reads its own partitions
+    only. For a folder, ``extract_folder`` splits at the listing instead.
     """
     table = {**READERS, **(readers or {})}
-    plain = [e for e in NATIVE if e not in (readers or {})]
-    native = F.col("ext").isin(*plain)
+    native = F.col("is_native") if "is_native" in files.columns else is_native(F.col("ext"), readers)
     return extract_native(files.filter(native)).unionByName(extract_parsed(files.filter(~native), table))
 
 

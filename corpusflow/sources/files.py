@@ -132,7 +132,7 @@ def upload_gate(
     """Adds ``accepted``, ``reject_code`` and ``reject_reason``: blank client, wrong type, too large, in this order."""
     kind = extension(F.col(name))
     dotted = F.when(kind == "", "").otherwise(F.concat(F.lit("."), kind))
-    megabytes = F.format_string("%.1f", F.col(size) / 1024 / 1024)
+    megabytes = F.format_string("%.1f", F.bround(F.col(size) / 1024 / 1024, 1))
     code = (
         F.when(F.coalesce(strip(F.col(client_id)), F.lit("")) == "", 400)
         .when(~supported(F.col(name), UPLOAD_EXTENSIONS), 415)

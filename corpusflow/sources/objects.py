@@ -22,7 +22,7 @@ def describe_objects(objects: DataFrame) -> DataFrame:
     return objects.select(
         "name",
         "size_bytes",
-        F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("last_modified"),
+        F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ssxxx").alias("last_modified"),
         content_type(F.col("name")).alias("content_type"),
     )
 
