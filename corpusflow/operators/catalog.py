@@ -69,6 +69,7 @@ def document_objects(targets: DataFrame) -> DataFrame:
     """The keys a deletion looks for (``doc_id, client_id, source_file``): chunks and metadata, and the raw file if known."""
     folder = F.concat(F.lit("/"), "client_id", F.lit("/"))
     return targets.select(
+        "client_id",
         "doc_id",
         F.explode(
             F.array_compact(
@@ -84,14 +85,15 @@ def document_objects(targets: DataFrame) -> DataFrame:
 
 def delete_report(targets: DataFrame, objects: DataFrame) -> DataFrame:
     """Per document to delete: how many of its objects exist, and the outcome. Object names are unique."""
-    found = document_objects(targets).join(objects.select("name"), "name")
-    counts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = document_objects(targets).distinct().join(objects.select("name"), "name")
+    counts = found.groupBy("client_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     deleted = F.coalesce("n", F.lit(0))
     return (
-        targets.select("doc_id")
+        targets.select("client_id", "doc_id")
         .distinct()
-        .join(counts, "doc_id", "left")
+        .join(counts, ["client_id", "doc_id"], "left")
         .select(
+            "client_id",
             "doc_id",
             deleted.alias("blobs_deleted"),
             F.when(deleted == 0, "not_found").otherwise("success").alias("status"),

@@ -7,6 +7,7 @@ are narrow; only per-document totals are shuffled.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -83,7 +84,7 @@ def _run_row(store: Store, run: Run, **values) -> DataFrame:
         "total_chunks": 0,
         "uploads_succeeded": 0,
         "uploads_failed": 0,
-        "elapsed_seconds": round((datetime.now(timezone.utc) - run.started).total_seconds(), 2),
+        "elapsed_seconds": 0.0,
         "message": None,
         "error": None,
         **values,
@@ -97,6 +98,7 @@ def _failed(store: Store, run: Run, error: str) -> DataFrame:
 
 def ingest_files(store: Store, files: DataFrame, run: Run) -> DataFrame:
     """Ingests ``read_files`` rows and returns the run's summary row, as stored in ``runs``."""
+    began = time.monotonic()
     if not run.client:
         return _failed(store, run, "client_id is required inside extra_metadata")
     archive(store, files, run)
@@ -107,7 +109,7 @@ def ingest_files(store: Store, files: DataFrame, run: Run) -> DataFrame:
     if documents.isEmpty():
         return _failed(store, run, "No supported documents found")
     chunk_and_embed(store, documents, run)
-    return finish(store, run)
+    return finish(store, run, began)
 
 
 def ingest_directory(store: Store, root: str, run: Run) -> DataFrame:
@@ -257,8 +259,11 @@ def write_vectors(store: Store, chunks: DataFrame, replace: bool = True) -> None
         store.rewrite("vectors", rows.select("client_id").distinct(), numbered, ("client_id",))
 
 
-def finish(store: Store, run: Run) -> DataFrame:
-    """Vectors, document metadata, log and summary of a run whose chunks are written."""
+def finish(store: Store, run: Run, began: float) -> DataFrame:
+    """Vectors, document metadata, log and summary of a run whose chunks are written.
+
+    ``began`` is the monotonic clock at the run's start.
+    """
     chunks = store.read_run("chunks", run.client, run.run_id)
     if not store.exists("chunks") or chunks.isEmpty():
         return _failed(store, run, "Chunk creation failed — no chunks produced")
@@ -278,7 +283,7 @@ def finish(store: Store, run: Run) -> DataFrame:
     failed = max(0, totals.documents - sent)
     summary = _run_row(
         store, run, documents_processed=totals.documents, total_chunks=totals.chunks, uploads_succeeded=sent,
-        uploads_failed=failed, status="partial" if failed else "success", message="Pipeline completed successfully",
+        uploads_failed=failed, elapsed_seconds=round(time.monotonic() - began, 2), status="partial" if failed else "success", message="Pipeline completed successfully",
     )
     store.write("runs", summary)
     log = store.spark.createDataFrame([(run.client, run.run_id, run.label)], "client_id string, run_id string, label string")

@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.session import scratch_path
 
+PARTITIONS = ("client_id", "run_id", "is_native")
 DOCUMENT_KEY = ["client_id", "rel_path"]
 
 # Tables that hold rows of documents, and change when one is deleted.
@@ -33,7 +35,10 @@ class Store:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
+        """The table, with its partition values as the strings they were written as: a client may be named 007."""
+        found = self.spark.read.parquet(self.path(table)).schema
+        fields = [T.StructField(f.name, T.StringType()) if f.name in PARTITIONS else f for f in found]
+        return self.spark.read.schema(T.StructType(fields)).parquet(self.path(table))
 
     def read_run(self, table: str, client_id: str, run_id: str) -> DataFrame:
         return self.read(table).filter((F.col("client_id") == client_id) & (F.col("run_id") == run_id))

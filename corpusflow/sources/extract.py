@@ -101,7 +101,7 @@ def extract(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataF
     only. For a folder, ``extract_folder`` splits at the listing instead.
     """
     table = {**READERS, **(readers or {})}
-    native = F.col("is_native") if "is_native" in files.columns else is_native(F.col("ext"), readers)
+    native = F.col("is_native").cast("boolean") if "is_native" in files.columns else is_native(F.col("ext"), readers)
     return extract_native(files.filter(native)).unionByName(extract_parsed(files.filter(~native), table))
 
 
