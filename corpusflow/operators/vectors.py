@@ -121,18 +121,22 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, query_block: int = QUE
     return _merge(near, k)
 
 
+def _numbers(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
+
+
 def _blocked(corpus: DataFrame, queries: DataFrame, k: int, query_block: int) -> DataFrame:
     """Candidates from every pair of a corpus block and a query block; each pair is one bounded group."""
     corpus_parts = -(-corpus.count() // CORPUS_BLOCK)
     query_parts = -(-queries.count() // query_block)
     left = corpus.select(
         F.pmod(F.xxhash64("vec_id"), F.lit(corpus_parts)).alias("_c"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).cast("long").alias("_q"),
+        F.explode(_numbers(query_parts)).alias("_q"),
         F.col("vec_id").cast("long"),
         "embedding",
     )
     right = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(corpus_parts - 1))).cast("long").alias("_c"),
+        F.explode(_numbers(corpus_parts)).alias("_c"),
         F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).alias("_q"),
         F.col("query_id").cast("long"),
         "embedding",

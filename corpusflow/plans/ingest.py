@@ -231,32 +231,33 @@ def chunk_and_embed(store: Store, documents: DataFrame, run: Run) -> None:
     )
     chunks = with_chunk_ids(chunk_documents(spread(source), run.size, run.overlap))
     stamped = chunks.withColumn("uploaded_at", F.lit(metadata.iso_utc(run.started)))
-    vectors = embed(stamped, factory=run.factory).withColumn("model", F.lit(_model_name(run.factory)))
+    vectors = embed(stamped, factory=run.factory).withColumn("model", F.lit(model_name(run.factory)))
     store.write("chunks", vectors)
 
 
-def _model_name(factory: EmbedderFactory) -> str:
+def model_name(factory: EmbedderFactory) -> str:
     """The name of a model without creating it here, where the driver may lack its weights."""
     return getattr(factory, "model_name", None) or getattr(factory, "__qualname__", repr(factory))
 
 
-def write_vectors(store: Store, chunks: DataFrame, replace: bool = True) -> None:
-    """The vector table of the chunks' clients: ids follow path parts, then chunk order.
+def write_vectors(store: Store, chunks: DataFrame, run: Run) -> None:
+    """The vector table of a run: ids follow path parts, then chunk order.
 
-    By default it replaces the client's index; otherwise documents not in ``chunks`` keep their vectors and all ids
-    are assigned anew.
+    By default the run becomes the client's index and earlier runs leave it. Otherwise it is added behind them: its
+    ids start where theirs end, and nothing already written is touched.
     """
-    columns = ["client_id", "run_id", "rel_path", "doc_id", "chunk_id", "chunk_index", "embedding"]
-    rows = chunks.select(*columns)
-    if not replace and store.exists("vectors"):
-        clients, renewed = rows.select("client_id").distinct(), rows.select(*DOCUMENT_KEY).distinct()
-        older = store.read("vectors").join(clients, "client_id", "left_semi")
-        rows = rows.unionByName(older.join(renewed, DOCUMENT_KEY, "left_anti").select(*columns))
+    rows = chunks.select("client_id", "run_id", "rel_path", "doc_id", "chunk_id", "chunk_index", "embedding")
     numbered = assign_vector_ids(rows, ["client_id"], "rel_path", [path_parts(F.col("rel_path"))])
-    if replace or not store.exists("vectors"):
-        store.write("vectors", numbered, ("client_id",))
-    else:
-        store.rewrite("vectors", rows.select("client_id").distinct(), numbered, ("client_id",))
+    earlier = None
+    if store.exists("vectors"):
+        mine = (F.col("client_id") == run.client) & (F.col("run_id") != run.run_id)
+        earlier = store.read("vectors").filter(mine)
+    if earlier is not None and not run.replace_index:
+        base = earlier.agg(F.max("vec_id")).first()[0]
+        numbered = numbered.withColumn("vec_id", F.col("vec_id") + F.lit(0 if base is None else base + 1))
+    store.write("vectors", numbered)
+    if earlier is not None and run.replace_index:
+        store.drop_partitions("vectors", earlier.select("client_id", "run_id").distinct())
 
 
 def finish(store: Store, run: Run, began: float) -> DataFrame:
@@ -264,10 +265,10 @@ def finish(store: Store, run: Run, began: float) -> DataFrame:
 
     ``began`` is the monotonic clock at the run's start.
     """
-    chunks = store.read_run("chunks", run.client, run.run_id)
-    if not store.exists("chunks") or chunks.isEmpty():
+    chunks = store.read_run("chunks", run.client, run.run_id) if store.exists("chunks") else None
+    if chunks is None or chunks.isEmpty():
         return _failed(store, run, "Chunk creation failed — no chunks produced")
-    write_vectors(store, chunks, run.replace_index)
+    write_vectors(store, chunks, run)
     documents = store.read_run("documents", run.client, run.run_id).filter(F.col("pages").isNotNull())
     described = documents.select(
         *DOCUMENT_KEY, "run_id", "doc_id", "source_file", "source_type", "total_pages", "extra_metadata",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators import catalog
 from corpusflow.operators.embedding import EmbedderFactory, HashingEmbedder, embed
-from corpusflow.plans.ingest import _model_name, write_vectors
+from corpusflow.plans.ingest import model_name
 from corpusflow.plans.store import DOCUMENT_KEY, DOCUMENT_TABLES, Store
 from corpusflow.session import scratch_path
 
@@ -30,22 +30,18 @@ def delete_documents(store: Store, targets: DataFrame) -> DataFrame:
     wanted = targets.join(gone, ["client_id", "doc_id"], "left").select("client_id", "doc_id", "source_file")
     report_path = scratch_path(store.spark, "delete-report")
     catalog.delete_report(wanted, stored_objects(store).distinct()).write.parquet(report_path)
-    for table in (*DOCUMENT_TABLES, "vectors"):
+    for table in DOCUMENT_TABLES:
         if store.exists(table):
             _drop_documents(store, table, gone)
     return store.spark.read.parquet(report_path)
 
 
 def _drop_documents(store: Store, table: str, gone: DataFrame) -> None:
-    partitions = {"raw_files": ("client_id", "run_id", "is_native"), "vectors": ("client_id",)}.get(
-        table, ("client_id", "run_id")
-    )
+    partitions = ("client_id", "run_id", "is_native") if table == "raw_files" else ("client_id", "run_id")
     rows = store.read(table)
     affected = rows.join(gone, DOCUMENT_KEY, "left_semi").select(*partitions).distinct()
-    kept = catalog.without_documents(rows.join(affected, list(partitions), "left_semi"), gone, DOCUMENT_KEY)
-    stage = scratch_path(store.spark, "affected")
-    affected.write.parquet(stage)
-    store.rewrite(table, store.spark.read.schema(affected.schema).parquet(stage), kept, partitions)
+    touched = rows.join(affected, list(partitions), "left_semi")
+    store.rewrite(table, affected, catalog.without_documents(touched, gone, DOCUMENT_KEY), partitions)
 
 
 def rebuild(
@@ -60,7 +56,7 @@ def rebuild(
     ``action`` is ``rebuilt``, ``skipped`` (no chunks) or ``error`` (asked for, but without chunks). Chunks that
     already bear the model's name are left as they are, unless ``force``.
     """
-    model = _model_name(factory)
+    model = model_name(factory)
     meta = store.current("document_meta").filter(F.col("client_id") == client_id)
     chunks = store.read("chunks").filter(F.col("client_id") == client_id)
     if doc_id is not None:
@@ -79,11 +75,20 @@ def rebuild(
     stale.select("client_id", "run_id").distinct().write.parquet(affected_path)
     affected = store.spark.read.parquet(affected_path)
     if not affected.isEmpty():
-        whole = store.read("chunks").join(affected, ["client_id", "run_id"], "left_semi")
+        run_key = ["client_id", "run_id"]
+        whole = store.read("chunks").join(affected, run_key, "left_semi")
         chosen = F.lit(True) if doc_id is None else F.col("doc_id") == doc_id
         due = chosen if force else chosen & (F.col("model") != model)
         renewed = embed(whole.filter(due).drop("embedding", "model"), factory=factory).withColumn("model", F.lit(model))
         kept = renewed.select(*whole.columns).unionByName(whole.filter(~due))
-        store.rewrite("chunks", affected, kept, ("client_id", "run_id"))
-        write_vectors(store, store.current("chunks").filter(F.col("client_id") == client_id))
+        store.rewrite("chunks", affected, kept, tuple(run_key))
+        _renew_vectors(store, affected, run_key)
     return store.spark.read.parquet(report)
+
+
+def _renew_vectors(store: Store, affected: DataFrame, run_key: list[str]) -> None:
+    """The index rows of the affected runs with the vectors their chunks now have; ids stay."""
+    key = [*DOCUMENT_KEY, "run_id", "chunk_id"]
+    rows = store.read("vectors").join(affected, run_key, "left_semi")
+    fresh = store.read("chunks").join(affected, run_key, "left_semi").select(*key, "embedding")
+    store.rewrite("vectors", rows, rows.drop("embedding").join(fresh, key), tuple(run_key))

@@ -1,6 +1,6 @@
 """The stored tables of a corpus.
 
-Every table is parquet below one root, partitioned by ``client_id`` and, but for the vectors, by ``run_id``. A run
+Every table is parquet below one root, partitioned by ``client_id`` and ``run_id``. A run
 writes only its own partitions, so repeating a failed run replaces what it wrote and touches nothing else. Run ids
 sort by time: the current version of a document is the one of its latest run.
 """
@@ -19,7 +19,7 @@ PARTITIONS = ("client_id", "run_id", "is_native")
 DOCUMENT_KEY = ["client_id", "rel_path"]
 
 # Tables that hold rows of documents, and change when one is deleted.
-DOCUMENT_TABLES = ("raw_files", "documents", "chunks", "document_meta")
+DOCUMENT_TABLES = ("raw_files", "documents", "chunks", "vectors", "document_meta")
 
 
 @dataclass(frozen=True)
@@ -31,8 +31,10 @@ class Store:
         return f"{self.root.rstrip('/')}/{table}"
 
     def exists(self, table: str) -> bool:
+        """Whether the table has rows: writing none makes a folder without partitions."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.exists(path) and any(s.isDirectory() for s in fs.listStatus(path))
 
     def read(self, table: str) -> DataFrame:
         """The table, with its partition values as the strings they were written as: a client may be named 007."""
@@ -61,24 +63,25 @@ class Store:
         return self.read(table).join(latest, [*DOCUMENT_KEY, "run_id"], "left_semi")
 
     def rewrite(self, table: str, affected: DataFrame, kept: DataFrame, partitions: tuple[str, ...]) -> None:
-        """Puts ``kept`` in place of the partitions listed in ``affected``.
+        """Puts ``kept`` in place of the partitions listed in ``affected``; those left without rows are removed.
 
-        ``kept`` reads the table it replaces, so it is staged first. Partitions left without rows are removed.
+        Both may read the table they change, so both are staged first.
         """
-        staging = scratch_path(self.spark, f"rewrite-{table}")
-        kept.write.parquet(staging)
-        staged = self.spark.read.schema(kept.schema).parquet(staging)
+        listed = self._stage(f"affected-{table}", affected.select(*partitions).distinct())
+        staged = self._stage(f"rewrite-{table}", kept)
         self.write(table, staged, partitions)
-        emptied = affected.join(staged.select(*partitions).distinct(), list(partitions), "left_anti")
-        for row in emptied.toLocalIterator():
-            self._drop(table, [(p, row[p]) for p in partitions])
-
-    def _drop(self, table: str, values: list[tuple[str, object]]) -> None:
-        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        tail = "/".join(f"{name}={escape(_partition_text(value))}" for name, value in values)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/{tail}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        emptied = listed.join(staged.select(*partitions).distinct(), list(partitions), "left_anti")
+        self.drop_partitions(table, emptied)
 
+    def _stage(self, label: str, rows: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
-def _partition_text(value: object) -> str:
-    return str(value).lower() if isinstance(value, bool) else str(value)
+    def drop_partitions(self, table: str, listed: DataFrame) -> None:
+        """Removes the folders of the partitions in ``listed``, a row for each."""
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for row in listed.toLocalIterator():
+            tail = "/".join(f"{name}={escape(value)}" for name, value in row.asDict().items())
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/{tail}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

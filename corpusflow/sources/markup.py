@@ -108,7 +108,6 @@ def xml_text(markup: str) -> str:
     """All text nodes joined by newlines. Of a malformed document, the nodes before the fault."""
     text = _TextNodes()
     parser = expat.ParserCreate("utf-8")
-    parser.buffer_text = True
 
     def boundary(*_):
         text.close()

@@ -23,7 +23,7 @@ def test_blank_cells_and_rows_are_left_out(spark):
 def test_blocks_equal_one_pass(spark, size, overlap, block):
     rng = random.Random(size * 100 + overlap)
     lengths = [1, 2, 5, 30, 31, 60, 120, 499, 500, 501, 700]
-    rows = [(g, i * 3, chr(97 + i % 26) * rng.choice(lengths)) for g, n in enumerate([2500, 37, 1, 600]) for i in range(n)]
+    rows = [(g, i * 3, chr(97 + i % 26) * rng.choice(lengths)) for g, n in enumerate([900, 37, 1, 300]) for i in range(n)]
     df = spark.createDataFrame(rows, "g int, pos long, line string").repartition(6)
     got = {(r.g, r.chunk_index): r.text for r in chunk_lines(df, ["g"], size=size, overlap=overlap, block_lines=block).collect()}
     expected = {}
