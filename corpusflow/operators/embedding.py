@@ -29,6 +29,21 @@ class Embedder(Protocol):
 EmbedderFactory = Callable[[], Embedder]
 
 
+class _Slots(dict):
+    """Token -> bucket, plus the dimension where its sign is minus. Tokens are hashed when first met."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, token: str) -> int:
+        digest = md5(token.encode()).hexdigest()
+        slot = int(digest[:8], 16) % self.dimension + self.dimension * (int(digest[8], 16) & 1)
+        if len(self) < 1_000_000:  # beyond this, new tokens are hashed each time
+            self[token] = slot
+        return slot
+
+
 class HashingEmbedder:
     """A deterministic stand-in for a neural model: signed token counts in hashed buckets.
 
@@ -39,24 +54,15 @@ class HashingEmbedder:
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
         self.name = f"hashing-{dimension}"
-        self._slots: dict[str, tuple[int, int]] = {}
-
-    def _slot(self, token: str) -> tuple[int, int]:
-        slot = self._slots.get(token)
-        if slot is None:
-            digest = md5(token.encode()).hexdigest()
-            slot = int(digest[:8], 16) % self.dimension, 1 - 2 * (int(digest[8], 16) & 1)
-            if len(self._slots) < 1_000_000:  # remembered tokens; others are hashed again
-                self._slots[token] = slot
-        return slot
+        self._slots = _Slots(dimension)
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
         for row, text in zip(out, texts):
-            slots = [self._slot(t) for t in text.lower().split()]
-            if slots:
-                buckets, signs = zip(*slots)
-                row += np.bincount(buckets, weights=signs, minlength=self.dimension)
+            tokens = text.lower().split()
+            slots = np.fromiter(map(self._slots.__getitem__, tokens), np.int64, len(tokens))
+            plus, minus = np.bincount(slots, minlength=2 * self.dimension).reshape(2, -1)
+            row += plus - minus
         return out
 
 
@@ -106,4 +112,5 @@ def embed(
         return predict
 
     encode = predict_batch_udf(make_predictor, return_type=schemas.VECTOR, batch_size=batch_size)
-    return df.withColumn(out, encode(F.col(text)))
+    # Declared nondeterministic so that Spark never runs the model twice, say for a filter it infers from an explode.
+    return df.withColumn(out, encode.asNondeterministic()(F.col(text)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import schemas
 from corpusflow.functions.paths import client_key, client_object_key, make_chunk_id, public_url
-from corpusflow.functions.text import strip
+from corpusflow.functions.text import only_present
 
 # ---- chunk records --------------------------------------------------------------------------------------
 
@@ -48,33 +48,31 @@ def parse_chunk_lines(lines: DataFrame, line: str = "value", keep: list[str] | N
     """Chunk rows from JSONL lines: blank and malformed lines are skipped, absent fields get their defaults.
 
     Keys that are no field of the record are collected in ``extra_metadata``. ``uploaded_at`` is null where absent;
-    ``with_upload_time`` fills it.
+    ``with_upload_time`` fills it. A line is parsed once, into a map of texts; a malformed one gives none.
     """
     keep = keep or []
-    # A malformed line gives a struct of nulls but no map, and the map holds the keys a struct leaves out.
-    raw = F.from_json(F.col(line), "map<string,string>", {"mode": "PERMISSIVE"})
-    record = F.from_json(F.col(line), schemas.CHUNK)
-    parsed = (
-        lines.filter(strip(F.col(line)) != "")
-        .select(*keep, record.alias("_r"), raw.alias("_raw"))
-        .filter(F.col("_raw").isNotNull())
-    )
-    doc_id = F.coalesce("_r.doc_id", F.lit("unknown"))
-    index = F.coalesce("_r.chunk_index", F.lit(0))
-    text = F.coalesce("_r.text", F.lit(""))
+    record = F.from_json(F.col(line), "map<string,string>")
+    parsed = lines.select(*keep, only_present(record).alias("_r"))
+
+    def given(name: str) -> Column:
+        return F.try_element_at("_r", F.lit(name))
+
+    doc_id = F.coalesce(given("doc_id"), F.lit("unknown"))
+    index = F.coalesce(given("chunk_index").try_cast("int"), F.lit(0))
+    text = F.coalesce(given("text"), F.lit(""))
     return parsed.select(
         *keep,
         doc_id.alias("doc_id"),
-        F.coalesce(F.nullif("_r.chunk_id", F.lit("")), make_chunk_id(doc_id, index)).alias("chunk_id"),
+        F.coalesce(F.nullif(given("chunk_id"), F.lit("")), make_chunk_id(doc_id, index)).alias("chunk_id"),
         index.alias("chunk_index"),
-        F.coalesce("_r.page", F.lit(0)).alias("page"),
+        F.coalesce(given("page").try_cast("int"), F.lit(0)).alias("page"),
         text.alias("text"),
-        F.coalesce("_r.source_file", F.lit("")).alias("source_file"),
-        F.coalesce("_r.source_type", F.lit("local")).alias("source_type"),
-        F.nullif("_r.uploaded_at", F.lit("")).alias("uploaded_at"),
+        F.coalesce(given("source_file"), F.lit("")).alias("source_file"),
+        F.coalesce(given("source_type"), F.lit("local")).alias("source_type"),
+        F.nullif(given("uploaded_at"), F.lit("")).alias("uploaded_at"),
         F.length(text).alias("char_count"),
-        F.map_filter("_raw", lambda k, v: ~k.isin(*_CORE)).alias("extra_metadata"),
-        F.col("_r.embedding").alias("embedding"),
+        F.map_filter("_r", lambda k, v: ~k.isin(*_CORE)).alias("extra_metadata"),
+        F.from_json(given("embedding"), schemas.VECTOR).alias("embedding"),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusflow.functions.text import strip
+from corpusflow.functions.text import only_present, strip
 from corpusflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHARS, next_flush
 from corpusflow.operators.ordinals import running_total
 
@@ -31,17 +31,13 @@ def row_line(columns: dict[str, Column]) -> Column:
 
     Give decimals or strings for amounts: Spark prints large doubles in E notation.
     """
-
-    def part(name: str, value: Column) -> Column:
-        text = strip(value.cast("string"))
-        return F.when(text != "", F.concat(F.lit(f"{name}: "), text))
-
-    return F.array_join(F.array_compact(F.array(*[part(n, c) for n, c in columns.items()])), " | ")
+    parts = [F.concat(F.lit(f"{n}: "), F.nullif(strip(c.cast("string")), F.lit(""))) for n, c in columns.items()]
+    return F.concat_ws(" | ", *parts)
 
 
 def serialise_rows(df: DataFrame, columns: dict[str, Column], keep: list[str], out: str = "line") -> DataFrame:
     """``keep`` columns and the row's line; rows without any value are dropped."""
-    return df.select(*keep, row_line(columns).alias(out)).filter(F.col(out) != "")
+    return df.select(*keep, only_present(F.nullif(row_line(columns), F.lit(""))).alias(out))
 
 
 def chunk_lines(
@@ -62,7 +58,8 @@ def chunk_lines(
     reach = max((size + 1) // 2, overlap + 1)
     block = max(block_lines, 2 * reach)
 
-    parts = F.filter(F.transform(F.split(F.col(line), "\n"), strip), lambda x: x != "")
+    several = F.filter(F.transform(F.split(F.col(line), "\n"), strip), lambda x: x != "")
+    parts = F.when(F.contains(line, F.lit("\n")), several).otherwise(F.array(F.col(line)))
     source = lines.select(*groups, F.col(position).alias("_pos"), parts.alias("_parts"))
     sizes = source.select(*groups, "_pos", F.size("_parts").cast("long").alias("_size"))
     first = running_total(sizes, groups, "_pos", "_size", "_first").select(*groups, "_pos", "_first")

@@ -113,13 +113,14 @@ def conversation_full_text(spark, folder):
 
 def _as_files(df: DataFrame, key: Column, name: Column, content: Column) -> DataFrame:
     """Rows as files: a key, a name and bytes."""
-    return spread(df.select(key.alias("file_id"), name.alias("source_file"), content.alias("content"))).select(
-        "file_id", "source_file", paths.extension(F.col("source_file")).alias("ext"), "content"
-    )
+    named = spread(df).select(key.alias("file_id"), name.alias("source_file"), content.alias("content"))
+    return named.withColumn("ext", paths.extension(F.col("source_file")))
 
 
 def _page_texts(extracted: DataFrame, key: str) -> DataFrame:
-    return extracted.select(F.col("file_id").alias(key), F.inline("pages")).select(key, "page", "sheet_name", "text")
+    # The outer form: for the plain one Spark adds a filter on the array, which would compute the text twice.
+    rows = extracted.select(F.col("file_id").alias(key), F.inline_outer("pages"))
+    return rows.filter("page IS NOT NULL").select(key, "page", "sheet_name", "text")
 
 
 def _one_page(extracted: DataFrame, key: str) -> DataFrame:

@@ -18,6 +18,10 @@ from corpusflow.session import scratch_path
 PARTITIONS = ("client_id", "run_id", "is_native")
 DOCUMENT_KEY = ["client_id", "rel_path"]
 
+# A row may hold a whole file. Parquet looks at its buffer every 100 rows only and a reader decodes up to 4096 rows of
+# a row group at once; both are bounded by looking at every row and closing row groups early.
+WIDE_ROWS = {"parquet.block.size": str(64 << 20), "parquet.block.size.row.check.min": "1"}
+
 # Tables that hold rows of documents, and change when one is deleted.
 DOCUMENT_TABLES = ("raw_files", "documents", "chunks", "vectors", "document_meta")
 
@@ -49,7 +53,7 @@ class Store:
         """Replaces the partitions that ``rows`` falls into; others stay."""
         (
             rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
+            .options(partitionOverwriteMode="dynamic", **WIDE_ROWS)
             .partitionBy(*partitions)
             .parquet(self.path(table))
         )
@@ -58,9 +62,20 @@ class Store:
         rows.write.mode("append").parquet(self.path(table))
 
     def current(self, table: str) -> DataFrame:
-        """Rows of each document's latest run. The latest runs come from ``document_meta``, one row per document."""
-        latest = self.read("document_meta").groupBy(*DOCUMENT_KEY).agg(F.max("run_id").alias("run_id"))
-        return self.read(table).join(latest, [*DOCUMENT_KEY, "run_id"], "left_semi")
+        """Rows of finished runs that no later run of their document supersedes.
+
+        The run list is short and prunes partitions. What is superseded is worked out on the metadata, one row per
+        document and run, and is small unless much was ingested again; either way the table itself need not move.
+        """
+        finished = self.read("runs").select("client_id", "run_id")
+        meta = self.read("document_meta").join(finished, ["client_id", "run_id"], "left_semi")
+        latest = meta.groupBy(*DOCUMENT_KEY).agg(F.max("run_id").alias("_latest"), F.count("*").alias("_runs"))
+        old = meta.join(latest.filter("_runs > 1"), DOCUMENT_KEY).filter("run_id < _latest")
+        return (
+            self.read(table)
+            .join(finished, ["client_id", "run_id"], "left_semi")
+            .join(old.select(*DOCUMENT_KEY, "run_id"), [*DOCUMENT_KEY, "run_id"], "left_anti")
+        )
 
     def rewrite(self, table: str, affected: DataFrame, kept: DataFrame, partitions: tuple[str, ...]) -> None:
         """Puts ``kept`` in place of the partitions listed in ``affected``; those left without rows are removed.
@@ -75,7 +90,7 @@ class Store:
 
     def _stage(self, label: str, rows: DataFrame) -> DataFrame:
         path = scratch_path(self.spark, label)
-        rows.write.parquet(path)
+        rows.write.options(**WIDE_ROWS).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def drop_partitions(self, table: str, listed: DataFrame) -> None:
