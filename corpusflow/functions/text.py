@@ -54,6 +54,18 @@ def preview(text: Column, chars: int = PREVIEW_CHARS) -> Column:
     return F.substring(text, 1, chars)
 
 
+def utc_iso(moment: Column) -> Column:
+    """A timestamp as ISO-8601 text in UTC, with microseconds where it has any."""
+    utc = F.to_utc_timestamp(moment, F.current_timezone())
+    micros = F.date_format(utc, ".SSSSSS")
+    fraction = F.when(micros != ".000000", micros).otherwise("")
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+
+
+def utc_now_iso() -> Column:
+    return utc_iso(F.current_timestamp())
+
+
 def full_text(pages: Column) -> Column:
     """The non-empty page texts of a ``pages`` array, joined by newlines."""
     texts = F.transform(pages, lambda p: p["text"])

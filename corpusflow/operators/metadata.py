@@ -147,6 +147,18 @@ def per_document(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("chunk_count"))
 
 
+def upload_results(files: DataFrame, account: str, container: str) -> DataFrame:
+    """A result per archived file (``object_name``, null where its client or name is blank) with its address."""
+    stored = F.col("object_name").isNotNull()
+    return files.select(
+        *[c for c in files.columns if c != "object_name"],
+        stored.alias("success"),
+        F.coalesce("object_name", F.lit("")).alias("blob_name"),
+        public_url(F.lit(account), F.lit(container), F.col("object_name")).alias("blob_url"),
+        F.when(~stored, "client_id and filename are required").alias("error"),
+    )
+
+
 def upload_errors(uploads: DataFrame) -> DataFrame:
     """The uploads that did not succeed, as rows."""
     return uploads.filter(~F.coalesce("success", F.lit(False)))

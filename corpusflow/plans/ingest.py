@@ -288,7 +288,7 @@ def finish(store: Store, run: Run, began: float) -> DataFrame:
     )
     store.write("runs", summary)
     log = store.spark.createDataFrame([(run.client, run.run_id, run.label)], "client_id string, run_id string, label string")
-    created = F.lit(run.started).cast("timestamp")
+    created = F.to_utc_timestamp(F.lit(run.started), F.current_timezone())
     store.write(
         "ingestion_log",
         log.select(

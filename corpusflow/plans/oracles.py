@@ -334,6 +334,14 @@ ORACLES["object_listing"] = f"""
 ORACLES["object_exists"] = """
     SELECT 'raw/' || doc_id AS name, doc_id IN (SELECT doc_id FROM labels) AS "exists" FROM documents"""
 
+ORACLES["put_objects"] = """
+    WITH stored AS (SELECT doc_id, n_chars FROM documents WHERE lang = 'en')
+    SELECT overwrite, 'raw/' || doc_id AS name,
+      CASE WHEN l.doc_id IS NULL OR (NOT overwrite AND s.doc_id IS NOT NULL) THEN n_chars ELSE 0 END AS size_bytes,
+      CASE WHEN l.doc_id IS NOT NULL THEN overwrite OR s.doc_id IS NULL END AS success,
+      CASE WHEN l.doc_id IS NOT NULL AND s.doc_id IS NOT NULL AND NOT overwrite THEN 'The specified blob already exists.' END AS error
+    FROM stored s FULL JOIN labels l USING (doc_id), (VALUES (TRUE), (FALSE)) o(overwrite)"""
+
 ORACLES["public_url"] = f"""
     SELECT name, 'https://account.blob.core.windows.net/container/' || name AS url FROM {_OBJECTS}"""
 
@@ -522,6 +530,12 @@ ORACLES["run_summary"] = f"""
       CASE WHEN count(*) FILTER (n_chars >= 5000) > 0 THEN 'partial' ELSE 'success' END AS status
     FROM documents LEFT JOIN counts USING (doc_id) GROUP BY source"""
 
+ORACLES["upload_results"] = """
+    SELECT c_custkey, key IS NOT NULL AS success, coalesce(key, '') AS blob_name,
+      'https://account.blob.core.windows.net/container/' || key AS blob_url,
+      CASE WHEN key IS NULL THEN 'client_id and filename are required' END AS error
+    FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN 'raw/' || lower(c_mktsegment) || '/' || c_name END AS key FROM customer)"""
+
 ORACLES["run_errors"] = "SELECT source, doc_id, FALSE AS success FROM documents WHERE n_chars >= 5000"
 
 ORACLES["run_status"] = """
@@ -592,3 +606,9 @@ ORACLES["ingest_directory"] = ORACLES["stream_ingest"] = """
     SELECT doc_id, sha256(text) AS sha256, length(text)::INTEGER AS n_chars FROM documents"""
 
 ORACLES["ingest_vectors"] = "SELECT 'acme' AS client_id, TRUE AS all_chunks, TRUE AS dense_ids FROM documents GROUP BY 1"
+
+ORACLES["ingest_drive"] = "SELECT doc_id, sha256(text) AS sha256, length(text)::INTEGER AS n_chars, 'done' AS job FROM documents"
+
+ORACLES["rebuild_index"] = """
+    SELECT 'acme' AS client_id, 'success' AS status, 0::BIGINT AS skipped, 0::BIGINT AS errors, TRUE AS all_chunks,
+      TRUE AS all_new FROM documents GROUP BY 1"""

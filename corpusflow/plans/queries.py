@@ -6,6 +6,7 @@ Keys match those of ``oracles``. Every function takes the session and the folder
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import partial
 from typing import Callable
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import paths, text
 from corpusflow.operators import catalog, chunking, embedding, metadata, tabular, vectors
-from corpusflow.plans import ingest
+from corpusflow.plans import ingest, maintenance
 from corpusflow.plans.store import Store
 from corpusflow.session import scratch_path, ship_package, spread
 from corpusflow.sources import extract, files, manifest, objects, sample_files
@@ -596,6 +597,21 @@ def object_exists(spark, folder):
     return objects.which_exist(keys, stored)
 
 
+@query
+def put_objects(spark, folder):
+    """Labelled documents put over the stored ones of one language, with and without overwriting."""
+    docs = table(spark, folder, "documents")
+    name = F.concat(F.lit("raw/"), _text(F.col("doc_id"))).alias("name")
+    stored = docs.filter("lang = 'en'").select(name, F.col("n_chars").alias("size_bytes"))
+    incoming = table(spark, folder, "labels").select(name, F.lit(0).cast("long").alias("size_bytes"))
+    parts = []
+    for overwrite in (True, False):
+        after, results = objects.put_objects(stored, incoming, overwrite)
+        joined = after.join(results, F.col("name") == F.col("blob_name"), "left")
+        parts.append(joined.select(F.lit(overwrite).alias("overwrite"), "name", "size_bytes", "success", "error"))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def public_url(spark, folder):
     url = paths.public_url(F.lit("account"), F.lit("container"), F.col("name"))
@@ -726,10 +742,7 @@ def _embedded(spark, folder, dimension: int) -> DataFrame:
 
 
 def _hashing(dimension: int):
-    def factory():
-        return embedding.HashingEmbedder(dimension)
-
-    return factory
+    return partial(embedding.HashingEmbedder, dimension)
 
 
 @query
@@ -883,6 +896,15 @@ def run_summary(spark, folder):
     return metadata.run_summary(loaded, _uploads(spark, folder), ["source"], 1.005)
 
 
+@query
+def upload_results(spark, folder):
+    client = F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")).otherwise(" ")
+    stored = table(spark, folder, "customer").select(
+        "c_custkey", paths.client_object_key(F.lit("raw"), client, F.col("c_name")).alias("object_name")
+    )
+    return metadata.upload_results(stored, "account", "container")
+
+
 @query
 def run_errors(spark, folder):
     return metadata.upload_errors(_uploads(spark, folder))
@@ -1049,6 +1071,46 @@ def ingest_vectors(spark, folder):
     )
 
 
+@query
+def ingest_drive(spark, folder):
+    """The same folder as a drive listing whose files have been fetched, with job states."""
+    store = Store(spark, scratch_path(spark, "store"))
+    landed = _landed_documents(spark, folder)
+    listing = files.read_files(spark, landed, ("json", "txt")).drop("content")
+    items = listing.select(
+        F.col("rel_path").alias("id"), F.element_at(paths.path_parts(F.col("rel_path")), 1).alias("parent_id"),
+        F.col("source_file").alias("name"), F.lit("application/octet-stream").alias("mime"),
+    )
+    folders = items.select("parent_id").distinct().select(
+        F.col("parent_id").alias("id"), F.lit(_ROOT).alias("parent_id"), F.col("parent_id").alias("name"),
+        F.lit(manifest.FOLDER_MIME).alias("mime"),
+    )
+    ingest.ingest_drive(store, "job", folders.unionByName(items), _ROOT, landed, _run())
+    state = catalog.job_status(spark.read.parquet(store.path("jobs"))).select(F.col("status").alias("job"))
+    return _ingested_documents(store).join(F.broadcast(state.limit(1)), F.lit(True), "left")
+
+
+@query
+def rebuild_index(spark, folder):
+    """All documents of an ingested folder embedded again with another model."""
+    store = Store(spark, scratch_path(spark, "store"))
+    ingest.ingest_directory(store, _landed_documents(spark, folder), _run())
+    outcome = maintenance.rebuild(store, "acme", factory=_hashing(32))
+    size = F.size("embedding")
+    chunks = store.current("chunks").groupBy("client_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.min(size).alias("low"), F.max(size).alias("high")
+    )
+    index = store.read("vectors").groupBy("client_id").agg(
+        F.count(F.lit(1)).alias("vectors"), F.min(size).alias("index_low"), F.max(size).alias("index_high")
+    )
+    status = catalog.rebuild_status(outcome).select(F.lit("acme").alias("client_id"), "status", "skipped", "errors")
+    sized = [F.col(c) == 32 for c in ("low", "high", "index_low", "index_high")]
+    return chunks.join(index, "client_id").join(status, "client_id").select(
+        "client_id", "status", "skipped", "errors", (F.col("chunks") == F.col("vectors")).alias("all_chunks"),
+        (sized[0] & sized[1] & sized[2] & sized[3]).alias("all_new"),
+    )
+
+
 @query
 def stream_ingest(spark, folder):
     """The same folder as a stream of micro-batches."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.paths import content_type
+from corpusflow.functions.text import utc_iso
 from corpusflow.sources.files import locate
 
 
@@ -22,7 +23,7 @@ def describe_objects(objects: DataFrame) -> DataFrame:
     return objects.select(
         "name",
         "size_bytes",
-        F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ssxxx").alias("last_modified"),
+        utc_iso(F.date_trunc("second", "modified")).alias("last_modified"),
         content_type(F.col("name")).alias("content_type"),
     )
 
@@ -57,3 +58,22 @@ def which_exist(keys: DataFrame, objects: DataFrame) -> DataFrame:
     """The rows of ``keys`` (column ``name``) with an ``exists`` flag."""
     present = objects.select("name").distinct().withColumn("exists", F.lit(True))
     return keys.join(present, "name", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def put_objects(stored: DataFrame, incoming: DataFrame, overwrite: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What is stored once ``incoming`` (the same columns, names unique) is put, and a result per incoming object.
+
+    Without ``overwrite`` an object whose name is taken stays as it was, and its result is an error.
+    """
+    if overwrite:
+        kept, taken = stored.join(incoming.select("name"), "name", "left_anti"), incoming
+    else:
+        kept, taken = stored, incoming.join(stored.select("name"), "name", "left_anti")
+    after = kept.select(*stored.columns).unionByName(taken.select(*stored.columns))
+    done = F.lit(True) if overwrite else ~F.col("exists")
+    results = which_exist(incoming.select("name"), stored).select(
+        done.alias("success"),
+        F.col("name").alias("blob_name"),
+        F.when(~done, "The specified blob already exists.").alias("error"),
+    )
+    return after, results

@@ -17,8 +17,8 @@ from corpusflow.session import build_session, ship_package  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "tests",
-        "local[8]",
-        spark__sql__shuffle__partitions=4,
+        "local[4]",
+        spark__sql__shuffle__partitions=3,
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="6g",

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from corpusflow.functions import text
 from corpusflow.operators import catalog, metadata
+from corpusflow.sources import records
 
 CHUNK = (
     "doc_id string, chunk_id string, chunk_index int, page int, text string, source_file string, source_type string, "
@@ -92,3 +95,30 @@ def test_rebuild_outcomes(spark):
     for actions, status in ((["rebuilt", "skipped"], "success"), (["rebuilt", "error"], "partial"), (["error"], "error"), ([], "success")):
         outcomes = spark.createDataFrame([(a,) for a in actions], "action string")
         assert catalog.rebuild_status(outcomes).first().status == status
+
+
+def test_record_files(spark, tmp_path):
+    source = spark.createDataFrame([("c1", *chunk(embedding=[0.5])), ("c2", *chunk(doc_id="e"))], "client_id string, " + CHUNK)
+    records.write_chunks(source, str(tmp_path / "chunks"))
+    read = records.read_chunks(spark, str(tmp_path / "chunks"))
+    assert {(r.doc_id, r.text, r.embedding and tuple(r.embedding)) for r in read.collect()} == {("d", 'é "q"\n', (0.5,)), ("e", 'é "q"\n', None)}
+
+    folder = tmp_path / "meta" / "acme"
+    folder.mkdir(parents=True)
+    (folder / "a_meta.json").write_text('{\n "doc_id": "a", "total_chunks": 3,\n "blob_urls": {"raw": "u"}, "other": 1}')
+    (folder / "b_meta.json").write_text("{broken")
+    (folder / "ingestion_1.json").write_text('{"doc_id": "no"}')
+    meta = records.read_document_meta(spark, str(tmp_path / "meta")).collect()
+    assert [(r.doc_id, r.total_chunks, r.blob_urls) for r in meta] == [("a", 3, {"raw": "u"})]
+
+
+def test_iso_time_is_utc_in_any_session_zone(spark):
+    moments = [datetime(2024, 1, 1, tzinfo=timezone.utc), datetime(2024, 7, 1, 12, 0, 0, 250, tzinfo=timezone.utc)]
+    times = spark.createDataFrame([(m,) for m in moments], "t timestamp")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        frame = times.select(text.utc_iso(F.col("t")).alias("s"))
+        assert [r.s for r in frame.collect()] == [m.isoformat() for m in moments]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
