@@ -46,12 +46,15 @@ def get_document(meta: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFra
     """Document metadata with chunk previews, one row per chunk.
 
     A document without chunks has one row with null chunk columns; one without metadata has none (not found).
-    Filter either input by document first: the filter reaches the scan.
+    Filter either input by document first: the filter reaches the scan. An outer join could not split the chunks of a
+    document that holds most of them, so the two cases are joined apart: chunks with metadata, which can, and metadata
+    without chunks, for which the chunk keys shrink to one per document.
     """
-    summaries = chunks.select(
-        *keys, "chunk_id", "chunk_index", "page", "char_count", preview(F.col("text")).alias("text_preview")
-    )
-    return meta.join(summaries, keys, "left")
+    details = ["chunk_id", "chunk_index", "page", "char_count"]
+    summaries = chunks.select(*keys, *details, preview(F.col("text")).alias("text_preview"))
+    described = summaries.join(meta, keys).select(*meta.columns, *details, "text_preview")
+    bare = meta.join(chunks.select(*keys).distinct(), keys, "left_anti")
+    return described.unionByName(bare, allowMissingColumns=True)
 
 
 def get_chunks(chunks: DataFrame, doc_id=None, page: int | None = None, columns: list[str] | None = None) -> DataFrame:

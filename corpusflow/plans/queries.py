@@ -1086,8 +1086,8 @@ def ingest_drive(spark, folder):
         F.lit(manifest.FOLDER_MIME).alias("mime"),
     )
     ingest.ingest_drive(store, "job", folders.unionByName(items), _ROOT, landed, _run())
-    state = catalog.job_status(spark.read.parquet(store.path("jobs"))).select(F.col("status").alias("job"))
-    return _ingested_documents(store).join(F.broadcast(state.limit(1)), F.lit(True), "left")
+    state = catalog.job_status(spark.read.parquet(store.path("jobs"))).select("request_id", F.col("status").alias("job"))
+    return _ingested_documents(store).withColumn("request_id", F.lit("job")).join(state, "request_id").drop("request_id")
 
 
 @query
