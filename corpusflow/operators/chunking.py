@@ -66,7 +66,7 @@ def chunk_texts(text: str, size: int, overlap: int) -> list[str]:
 def as_pages(text: Column, page: Column | int = 1) -> Column:
     """A one-page ``pages`` array from a text column."""
     number = F.lit(page) if isinstance(page, int) else page
-    return F.array(F.struct(number.cast("int").alias("page"), text.alias("text")))
+    return F.array(F.struct(number.cast("long").alias("page"), text.alias("text")))
 
 
 def chunk_documents(
@@ -85,15 +85,15 @@ def chunk_documents(
     carried = [c for c in docs.columns if c not in (pages, first_index)]
     ordered = docs.select(
         *carried,
-        F.transform(F.col(pages), lambda p: p["page"].cast("int")).alias("_numbers"),
+        F.transform(F.col(pages), lambda p: p["page"].cast("long")).alias("_numbers"),
         F.transform(F.col(pages), lambda p: p["text"]).alias("_texts"),
-        (F.col(first_index) if first_index else F.lit(0)).cast("int").alias("_first"),
+        (F.col(first_index) if first_index else F.lit(0)).cast("long").alias("_first"),
     )
     schema = T.StructType(
         [docs.schema[c] for c in carried]
         + [
-            T.StructField("page", T.IntegerType()),
-            T.StructField("chunk_index", T.IntegerType()),
+            T.StructField("page", T.LongType()),
+            T.StructField("chunk_index", T.LongType()),
             T.StructField("text", T.StringType()),
             T.StructField("char_count", T.IntegerType()),
         ]
@@ -110,8 +110,8 @@ def chunk_documents(
                 return pa.RecordBatch.from_arrays(
                     [c.take(at) for c in kept]
                     + [
-                        pa.array(page, pa.int32()),
-                        pa.array(index, pa.int32()),
+                        pa.array(page, pa.int64()),
+                        pa.array(index, pa.int64()),
                         pa.array(out, pa.string()),
                         pa.array([len(t) for t in out], pa.int32()),
                     ],
@@ -220,5 +220,9 @@ def chunk_documents_native(
     chunks = F.filter(F.aggregate(lines, start, step, finish), lambda c: F.length(c) > MIN_CHARS)
     carried = [c for c in docs.columns if c != text]
     return docs.select(*carried, F.posexplode(chunks).alias("chunk_index", "text")).select(
-        *carried, F.lit(1).alias("page"), "chunk_index", "text", F.length("text").alias("char_count")
+        *carried,
+        F.lit(1).cast("long").alias("page"),
+        F.col("chunk_index").cast("long").alias("chunk_index"),
+        "text",
+        F.length("text").alias("char_count"),
     )

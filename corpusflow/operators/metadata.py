@@ -58,14 +58,14 @@ def parse_chunk_lines(lines: DataFrame, line: str = "value", keep: list[str] | N
         return F.try_element_at("_r", F.lit(name))
 
     doc_id = F.coalesce(given("doc_id"), F.lit("unknown"))
-    index = F.coalesce(given("chunk_index").try_cast("int"), F.lit(0))
+    index = F.coalesce(given("chunk_index").try_cast("long"), F.lit(0).cast("long"))
     text = F.coalesce(given("text"), F.lit(""))
     return parsed.select(
         *keep,
         doc_id.alias("doc_id"),
         F.coalesce(F.nullif(given("chunk_id"), F.lit("")), make_chunk_id(doc_id, index)).alias("chunk_id"),
         index.alias("chunk_index"),
-        F.coalesce(given("page").try_cast("int"), F.lit(0)).alias("page"),
+        F.coalesce(given("page").try_cast("long"), F.lit(0).cast("long")).alias("page"),
         text.alias("text"),
         F.coalesce(given("source_file"), F.lit("")).alias("source_file"),
         F.coalesce(given("source_type"), F.lit("local")).alias("source_type"),

@@ -43,8 +43,8 @@ def _chunks(source: str, keys: str, size: int = 500, overlap: int = 2, name: str
       FROM spans JOIN page_lines USING ({keys}, page)
     ),
     {name} AS (
-      SELECT {keys}, page::INTEGER AS page,
-             (row_number() OVER (PARTITION BY {keys} ORDER BY page, b) - 1)::INTEGER AS chunk_index,
+      SELECT {keys}, page::BIGINT AS page,
+             row_number() OVER (PARTITION BY {keys} ORDER BY page, b) - 1 AS chunk_index,
              text, length(text)::INTEGER AS char_count
       FROM joined WHERE length(text) > 30
     )"""
@@ -207,7 +207,7 @@ _SHEETS = f"""SELECT c_nationkey, 1 AS page, string_agg({_CUSTOMER_LINE}, {_NL}
 
 ORACLES["table_chunks"] = f"""
     WITH RECURSIVE {_chunks(_SHEETS, "c_nationkey")}
-    SELECT c_nationkey, chunk_index::BIGINT AS chunk_index, text, char_count FROM chunks"""
+    SELECT c_nationkey, chunk_index, text, char_count FROM chunks"""
 
 _STATUS_SHEETS = f"""SELECT o_orderstatus, 1 AS page, string_agg(printf(
       'order: %d | customer: %d | price: %s | ordered: %s | priority: %s', o_orderkey, o_custkey,
@@ -216,7 +216,7 @@ _STATUS_SHEETS = f"""SELECT o_orderstatus, 1 AS page, string_agg(printf(
 
 ORACLES["table_chunks_large"] = f"""
     WITH RECURSIVE {_chunks(_STATUS_SHEETS, "o_orderstatus")}
-    SELECT o_orderstatus, chunk_index::BIGINT AS chunk_index, text, char_count FROM chunks"""
+    SELECT o_orderstatus, chunk_index, text, char_count FROM chunks"""
 
 _PART_ROWS = """SELECT 'part_' || p_partkey AS doc_id, 1 AS page,
       printf('p_name: %s | p_brand: %s | p_type: %s | p_size: %d', p_name, p_brand, p_type, p_size) AS text FROM part"""
@@ -492,8 +492,8 @@ ORACLES["chunk_defaults"] = """
     SELECT event_id,
       CASE WHEN t = 3 THEN 'e' || event_id ELSE 'unknown' END AS doc_id,
       CASE t WHEN 3 THEN 'e' || event_id || '_chunk_0007' WHEN 5 THEN 'c' || event_id ELSE 'unknown_chunk_0000' END AS chunk_id,
-      CASE WHEN t = 3 THEN 7 ELSE 0 END::INTEGER AS chunk_index,
-      CASE WHEN t = 4 THEN 3 ELSE 0 END::INTEGER AS page,
+      CASE WHEN t = 3 THEN 7 ELSE 0 END::BIGINT AS chunk_index,
+      CASE WHEN t = 4 THEN 3 ELSE 0 END::BIGINT AS page,
       CASE WHEN t = 3 THEN 'é' || event_id ELSE '' END AS text,
       '' AS source_file, CASE WHEN t = 5 THEN 'upload' ELSE 'local' END AS source_type,
       '2024-01-01T00:00:00+00:00' AS uploaded_at,

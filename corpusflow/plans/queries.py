@@ -90,7 +90,7 @@ def chunk_built_in(spark, folder):
 
 def _turns(spark, folder) -> DataFrame:
     return table(spark, folder, "conversations").select(
-        "conv_id", (F.col("turn") + 1).cast("int").alias("page"), "role", "text"
+        "conv_id", (F.col("turn") + 1).alias("page"), "role", "text"
     )
 
 

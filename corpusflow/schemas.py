@@ -21,8 +21,8 @@ CHUNK = T.StructType(
     [
         T.StructField("doc_id", T.StringType()),
         T.StructField("chunk_id", T.StringType()),
-        T.StructField("chunk_index", T.IntegerType()),
-        T.StructField("page", T.IntegerType()),
+        T.StructField("chunk_index", T.LongType()),
+        T.StructField("page", T.LongType()),
         T.StructField("text", T.StringType()),
         T.StructField("source_file", T.StringType()),
         T.StructField("source_type", T.StringType()),

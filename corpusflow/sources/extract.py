@@ -25,6 +25,9 @@ PARSED = tuple(READERS)
 
 NO_TEXT = "no text"
 
+# Characters collected before an output batch is sent to the JVM.
+_FLUSH_CHARS = 64 << 20
+
 
 def tag_language(text: Column, dotted_suffix: Column) -> Column:
     """Source code headed by its language; the suffix keeps its case."""
@@ -78,13 +81,28 @@ def extract_parsed(files: DataFrame, readers: dict[str, Reader] | None = None) -
 
     def run(batches):
         for batch in batches:
+            rows, pages, errors, chars = [], [], [], 0
+
+            def flush():
+                at = pa.array(rows, pa.int32())
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(c).take(at) for c in kept]
+                    + [pa.array(pages, page_type), pa.array(errors, pa.string())],
+                    names=[f.name for f in schema],
+                )
+
             inputs = (batch.column(c) for c in ("content", "ext", "source_file"))
-            results = [one(c.as_py(), e.as_py(), n.as_py()) for c, e, n in zip(*inputs)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept]
-                + [pa.array([p for p, _ in results], page_type), pa.array([e for _, e in results], pa.string())],
-                names=[f.name for f in schema],
-            )
+            for row, (content, ext, name) in enumerate(zip(*inputs)):
+                found, error = one(content.as_py(), ext.as_py(), name.as_py())
+                rows.append(row)
+                pages.append(found)
+                errors.append(error)
+                chars += sum(len(p["text"]) for p in found or ())
+                if chars > _FLUSH_CHARS:  # a zipped file can hold far more text than bytes
+                    yield flush()
+                    rows, pages, errors, chars = [], [], [], 0
+            if rows:
+                yield flush()
 
     return files.mapInArrow(run, schema)
 

@@ -6,11 +6,13 @@ from dataclasses import replace
 from typing import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusflow.plans.ingest import Run, ingest_files
 from corpusflow.plans.store import Store
+from corpusflow.session import truncate_lineage
 from corpusflow.sources.files import FOLDER_EXTENSIONS, describe_files, file_reader, locate, read_files
 
 BINARY_FILE = T.StructType(
@@ -54,10 +56,17 @@ def stream_folder(
 def changed_files(store: Store, root: str, client_id: str) -> DataFrame:
     """Files below ``root`` that are not archived as they are now; a stream does not see a file rewritten in place.
 
-    Give the result to ``ingest_files``. The listing side reads no content until a file is known to be due.
+    Give the result to ``ingest_files``. What is due is worked out on the listing. Its earliest time and its sizes then
+    limit the read: the source skips files outside them unopened, and of the rest only the due ones are kept.
     """
     files = read_files(store.spark, root)
     if not store.exists("raw_files"):
         return files
-    known = store.read("raw_files").filter(f"client_id = '{client_id}'").select("path", "length", "modified")
-    return files.join(known, ["path", "length", "modified"], "left_anti")
+    key = ["path", "length", "modified"]
+    known = store.read("raw_files").filter(F.col("client_id") == client_id).select(*key)
+    due = truncate_lineage(files.select(*key).join(known, key, "left_anti"))
+    since, shortest, longest = due.agg(F.min("modified"), F.min("length"), F.max("length")).first()
+    if since is None:
+        return files.filter(F.lit(False))
+    window = (F.col("modified") >= F.lit(since)) & F.col("length").between(shortest, longest)
+    return files.filter(window).join(due, key, "left_semi")

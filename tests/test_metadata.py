@@ -12,7 +12,7 @@ from corpusflow.operators import catalog, metadata
 from corpusflow.sources import records
 
 CHUNK = (
-    "doc_id string, chunk_id string, chunk_index int, page int, text string, source_file string, source_type string, "
+    "doc_id string, chunk_id string, chunk_index long, page long, text string, source_file string, source_type string, "
     "uploaded_at string, char_count int, embedding array<float>, extra_metadata map<string,string>"
 )
 
