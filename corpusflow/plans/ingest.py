@@ -102,7 +102,7 @@ def ingest_files(store: Store, files: DataFrame, run: Run) -> DataFrame:
     if not run.client:
         return _failed(store, run, "client_id is required inside extra_metadata")
     archive(store, files, run)
-    if not store.exists("raw_files") or store.read_run("raw_files", run.client, run.run_id).isEmpty():
+    if not store.run_exists("raw_files", run.client, run.run_id):
         return _failed(store, run, "No supported documents found")
     extract_archive(store, run)
     documents = store.read_run("documents", run.client, run.run_id).filter(F.col("pages").isNotNull())
@@ -265,9 +265,9 @@ def finish(store: Store, run: Run, began: float) -> DataFrame:
 
     ``began`` is the monotonic clock at the run's start.
     """
-    chunks = store.read_run("chunks", run.client, run.run_id) if store.exists("chunks") else None
-    if chunks is None or chunks.isEmpty():
+    if not store.run_exists("chunks", run.client, run.run_id):
         return _failed(store, run, "Chunk creation failed — no chunks produced")
+    chunks = store.read_run("chunks", run.client, run.run_id)
     write_vectors(store, chunks, run)
     documents = store.read_run("documents", run.client, run.run_id).filter(F.col("pages").isNotNull())
     described = documents.select(

@@ -36,18 +36,44 @@ class Store:
 
     def exists(self, table: str) -> bool:
         """Whether the table has rows: writing none makes a folder without partitions."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(path) and any(s.isDirectory() for s in fs.listStatus(path))
+        return self._has_folders(self.path(table))
+
+    def run_exists(self, table: str, client_id: str, run_id: str) -> bool:
+        path = self._jpath(self._run_path(table, client_id, run_id))
+        return path.getFileSystem(self._hadoop()).exists(path)
 
     def read(self, table: str) -> DataFrame:
         """The table, with its partition values as the strings they were written as: a client may be named 007."""
-        found = self.spark.read.parquet(self.path(table)).schema
-        fields = [T.StructField(f.name, T.StringType()) if f.name in PARTITIONS else f for f in found]
-        return self.spark.read.schema(T.StructType(fields)).parquet(self.path(table))
+        return self._load(table, self.path(table))
 
     def read_run(self, table: str, client_id: str, run_id: str) -> DataFrame:
-        return self.read(table).filter((F.col("client_id") == client_id) & (F.col("run_id") == run_id))
+        """The rows of one run. Only its own folder is listed, however many runs there are."""
+        return self._load(table, self._run_path(table, client_id, run_id))
+
+    def _load(self, table: str, path: str) -> DataFrame:
+        reader = self.spark.read.option("basePath", self.path(table))
+        fields = [
+            T.StructField(f.name, T.StringType()) if f.name in PARTITIONS else f for f in reader.parquet(path).schema
+        ]
+        return reader.schema(T.StructType(fields)).parquet(path)
+
+    def _run_path(self, table: str, client_id: str, run_id: str) -> str:
+        return f"{self.path(table)}/{self._folder({'client_id': client_id, 'run_id': run_id})}"
+
+    def _folder(self, values: dict[str, str]) -> str:
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        return "/".join(f"{name}={escape(value)}" for name, value in values.items())
+
+    def _jpath(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _hadoop(self):
+        return self.spark._jsc.hadoopConfiguration()
+
+    def _has_folders(self, folder: str) -> bool:
+        path = self._jpath(folder)
+        fs = path.getFileSystem(self._hadoop())
+        return fs.exists(path) and any(s.isDirectory() for s in fs.listStatus(path))
 
     def write(self, table: str, rows: DataFrame, partitions: tuple[str, ...] = ("client_id", "run_id")) -> None:
         """Replaces the partitions that ``rows`` falls into; others stay."""
@@ -95,8 +121,6 @@ class Store:
 
     def drop_partitions(self, table: str, listed: DataFrame) -> None:
         """Removes the folders of the partitions in ``listed``, a row for each."""
-        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         for row in listed.toLocalIterator():
-            tail = "/".join(f"{name}={escape(value)}" for name, value in row.asDict().items())
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/{tail}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path = self._jpath(f"{self.path(table)}/{self._folder(row.asDict())}")
+            path.getFileSystem(self._hadoop()).delete(path, True)
