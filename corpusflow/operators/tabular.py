@@ -59,7 +59,12 @@ def chunk_lines(
     block = max(block_lines, 2 * reach)
 
     several = F.filter(F.transform(F.split(F.col(line), "\n"), strip), lambda x: x != "")
-    parts = F.when(F.contains(line, F.lit("\n")), several).otherwise(F.array(F.col(line)))
+    one = strip(F.col(line))
+    parts = (
+        F.when(F.contains(line, F.lit("\n")), several)
+        .when(one != "", F.array(one))
+        .otherwise(F.array().cast("array<string>"))
+    )
     source = lines.select(*groups, F.col(position).alias("_pos"), parts.alias("_parts"))
     sizes = source.select(*groups, "_pos", F.size("_parts").cast("long").alias("_size"))
     first = running_total(sizes, groups, "_pos", "_size", "_first").select(*groups, "_pos", "_first")

@@ -44,6 +44,17 @@ RUN = T.StructType(
         T.StructField("error", T.StringType()),
     ]
 )
+# The messages of a run's summary.
+SUCCEEDED = "Pipeline completed successfully"
+FAILED = "Pipeline execution failed"
+NO_CLIENT = "client_id is required inside extra_metadata"
+NO_PATH = "source_path is required"
+BAD_FOLDER = "Invalid directory path: {}"
+NO_FILE = "File not found: {}"
+NO_DOCUMENTS = "No supported documents found"
+NO_REMOTE_FILES = "No supported files found in {} folder"
+NO_CHUNKS = "Chunk creation failed — no chunks produced"
+
 JOB = "request_id string, seq long, status string, detail string, at string"
 
 
@@ -93,21 +104,21 @@ def _run_row(store: Store, run: Run, **values) -> DataFrame:
 
 
 def _failed(store: Store, run: Run, error: str) -> DataFrame:
-    return _run_row(store, run, status="failed", message="Pipeline execution failed", error=error)
+    return _run_row(store, run, status="failed", message=FAILED, error=error)
 
 
 def ingest_files(store: Store, files: DataFrame, run: Run) -> DataFrame:
     """Ingests ``read_files`` rows and returns the run's summary row, as stored in ``runs``."""
     began = time.monotonic()
     if not run.client:
-        return _failed(store, run, "client_id is required inside extra_metadata")
+        return _failed(store, run, NO_CLIENT)
     archive(store, files, run)
     if not store.run_exists("raw_files", run.client, run.run_id):
-        return _failed(store, run, "No supported documents found")
+        return _failed(store, run, NO_DOCUMENTS)
     extract_archive(store, run)
     documents = store.read_run("documents", run.client, run.run_id).filter(F.col("pages").isNotNull())
     if documents.isEmpty():
-        return _failed(store, run, "No supported documents found")
+        return _failed(store, run, NO_DOCUMENTS)
     chunk_and_embed(store, documents, run)
     return finish(store, run, began)
 
@@ -115,10 +126,10 @@ def ingest_files(store: Store, files: DataFrame, run: Run) -> DataFrame:
 def ingest_directory(store: Store, root: str, run: Run) -> DataFrame:
     """All supported files below ``root``."""
     if not root:
-        return _failed(store, run, "source_path is required")
+        return _failed(store, run, NO_PATH)
     _, _, is_folder = locate(store.spark, root)
     if not is_folder:
-        return _failed(store, run, f"Invalid directory path: {root}")
+        return _failed(store, run, BAD_FOLDER.format(root))
     plain = [e for e in NATIVE if e not in (run.readers or {})]
     table = {**READERS, **(run.readers or {})}
     files = read_files(store.spark, root, [*plain, *table])
@@ -129,7 +140,7 @@ def ingest_file(store: Store, path: str, run: Run) -> DataFrame:
     """One uploaded file, if the gate lets it pass: file name, size, doc id, and the run's summary columns."""
     full, exists, is_folder = locate(store.spark, path)
     if not exists or is_folder:
-        return _failed(store, run, f"File not found: {path}")
+        return _failed(store, run, NO_FILE.format(path))
     file = read_file(store.spark, path)
     gated = upload_gate(
         file.select(F.lit(run.client_id).alias("client_id"), F.col("source_file").alias("filename"),
@@ -182,7 +193,7 @@ def ingest_sharepoint(
 
 def _ingest_planned(store: Store, plan: DataFrame, landed: str, run: Run, place: str) -> DataFrame:
     if plan.isEmpty():
-        return _failed(store, run, f"No supported files found in {place} folder")
+        return _failed(store, run, NO_REMOTE_FILES.format(place))
     arrived = read_files(store.spark, landed, UPLOAD_EXTENSIONS)
     summary = ingest_files(store, arrived, run)
     missing = not_loaded(plan.select(F.col("target").alias("rel_path")), arrived, ["rel_path"])
@@ -266,7 +277,7 @@ def finish(store: Store, run: Run, began: float) -> DataFrame:
     ``began`` is the monotonic clock at the run's start.
     """
     if not store.run_exists("chunks", run.client, run.run_id):
-        return _failed(store, run, "Chunk creation failed — no chunks produced")
+        return _failed(store, run, NO_CHUNKS)
     chunks = store.read_run("chunks", run.client, run.run_id)
     write_vectors(store, chunks, run)
     documents = store.read_run("documents", run.client, run.run_id).filter(F.col("pages").isNotNull())
@@ -284,7 +295,7 @@ def finish(store: Store, run: Run, began: float) -> DataFrame:
     failed = max(0, totals.documents - sent)
     summary = _run_row(
         store, run, documents_processed=totals.documents, total_chunks=totals.chunks, uploads_succeeded=sent,
-        uploads_failed=failed, elapsed_seconds=round(time.monotonic() - began, 2), status="partial" if failed else "success", message="Pipeline completed successfully",
+        uploads_failed=failed, elapsed_seconds=round(time.monotonic() - began, 2), status="partial" if failed else "success", message=SUCCEEDED,
     )
     store.write("runs", summary)
     log = store.spark.createDataFrame([(run.client, run.run_id, run.label)], "client_id string, run_id string, label string")

@@ -43,3 +43,10 @@ def test_table_that_fills_its_last_block(spark):
 def test_cell_with_newlines_becomes_several_lines(spark):
     df = spark.createDataFrame([("g", 0, "a: 1\n\n b: " + "x" * 40)], "g string, pos long, line string")
     assert chunk_lines(df, ["g"]).first().text == "a: 1\nb: " + "x" * 40
+
+
+def test_lines_are_stripped_and_blank_ones_take_no_number(spark):
+    rows = [("g", i, ["  a" + "x" * 20 + " ", " ", "b" * 25, ""][i % 4]) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, pos long, line string")
+    got = [r.text for r in chunk_lines(df, ["g"], size=90, block_lines=100).orderBy("chunk_index").collect()]
+    assert got == chunk_texts("\n".join(r[2] for r in rows), 90, 2)
