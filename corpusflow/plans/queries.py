@@ -407,7 +407,7 @@ def serialise_part(spark, folder):
 @query
 def table_chunks(spark, folder):
     """Customers as one sheet per nation."""
-    rows = table(spark, folder, "customer")
+    rows = spread(table(spark, folder, "customer"))
     lines = tabular.serialise_rows(rows, _customer_line(), ["c_nationkey", "c_custkey"])
     return tabular.chunk_lines(lines, ["c_nationkey"], position="c_custkey")
 
@@ -415,7 +415,7 @@ def table_chunks(spark, folder):
 @query
 def table_chunks_large(spark, folder):
     """Orders as one sheet per status: few, very long tables."""
-    rows = table(spark, folder, "orders")
+    rows = spread(table(spark, folder, "orders"))
     columns = {
         "order": F.col("o_orderkey"),
         "customer": F.col("o_custkey"),
