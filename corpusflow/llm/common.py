@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.session import scratch_path, ship_package
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
 
@@ -61,9 +63,10 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(len(data), _MULTIPLIER, np.uint64))
+        undo = np.cumprod(np.full(len(data), _INVERSE, np.uint64))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
-        # Scaling by the power at the far end makes equal words equal wherever they stand.
-        hashes = mix((total[end] - total[start]) * power[len(data) - 1 - start] + (end - start).astype(np.uint64))
+        # Dividing by the power at its start makes equal words equal wherever they stand.
+        hashes = mix((total[end] - total[start]) * undo[start] + (end - start).astype(np.uint64))
     bounds = np.cumsum([0] + [len(p) + 1 for p in parts])
     return hashes, np.searchsorted(start, bounds)
 
@@ -90,3 +93,20 @@ def text_batches(texts: list[str], limit: int = 1 << 22):
         size += len(t)
     if first < len(texts):
         yield first, len(texts)
+
+
+def map_texts(describe):
+    """A function for ``mapInArrow``: replaces ``text`` by the columns that ``describe`` makes from a list of texts.
+
+    Null texts count as empty. Texts come in groups of a few million characters, whatever the size of the batch.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            others = [n for n in batch.schema.names if n != "text"]
+            for lo, hi in text_batches(texts):
+                columns = {n: batch.column(n).slice(lo, hi - lo) for n in others} | describe(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import line_dedup, quality
+from corpusflow.llm import chosen_path, line_dedup, mixing, quality, tiling
 from corpusflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,21 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines", "removed_lines", "removed_chars", "text")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they cover."""
+    return tiling.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("version")
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mixture of all sources takes of every document."""
+    return mixing.mixture_shares(table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document, and its number of links."""
+    return chosen_path.similar_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document."""
     scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -29,6 +44,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op8_mix": op8_mix,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
