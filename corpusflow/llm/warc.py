@@ -30,7 +30,7 @@ _COLUMNS = ["page_id", "url", "record_type", "payload_digest", "payload_bytes",
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """``page_id, url, html, digest, refers_to, refers_url``: of equal payloads of ``least`` bytes or more all but the
+    """``page_id, url, html, digest, refers_to``: of equal payloads of ``least`` bytes or more all but the
     one with the largest page_id refer to it. Smaller ones stand alone.
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
@@ -80,21 +80,16 @@ def record(page_id, url: str, html: str, digest: str, refers_to, date: str) -> b
 def _members(bounds: np.ndarray, date: str):
     def run(batches):
         for batch in batches:
-            ids = batch["page_id"]
+            # Numbers come as strings: beside nulls pandas would make them floating point.
+            ids = [None if x is None else int(x) for x in batch["page_id"]]
+            others = [None if x is None else int(x) for x in batch["refers_to"]]
             member = [
                 record(p, u, h, d, r, date)
-                for p, u, h, d, r in zip(
-                    [None if pd.isna(x) else int(x) for x in ids],
-                    batch["url"],
-                    batch["html"],
-                    batch["digest"],
-                    [None if pd.isna(x) else int(x) for x in batch["refers_to"]],
-                    strict=True,
-                )
+                for p, u, h, d, r in zip(ids, batch["url"], batch["html"], batch["digest"], others, strict=True)
             ]
-            filled = [int(x) if x is not None and not pd.isna(x) else -(1 << 63) for x in ids]
-            shard = np.searchsorted(bounds, np.array(filled, np.int64), side="right").astype(np.int32)
-            yield pd.DataFrame({"shard": shard, "page_id": ids.astype(object), "member": member})
+            place = np.array([-(1 << 63) if x is None else x for x in ids], np.int64)
+            shard = np.searchsorted(bounds, place, side="right").astype(np.int32)
+            yield pd.DataFrame({"shard": shard, "place": place, "member": member})
 
     return run
 
@@ -150,11 +145,9 @@ def write_archives(
     spark = pages.sparkSession
     with_python(spark)
     bounds = range_bounds(pages, shards)
-    kind = pages.schema["page_id"].dataType.simpleString()
-    made = with_revisits(pages, least).mapInPandas(
-        _members(bounds, date), f"shard int, page_id {kind}, member binary"
-    )
-    dealt = made.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("page_id", "member")
+    rows = with_revisits(pages, least).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    made = rows.mapInPandas(_members(bounds, date), "shard int, place long, member binary")
+    dealt = made.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("place", "member")
     files = dealt.mapInPandas(_archives(limit), "value binary").select(F.col("value").cast("string").alias("value"))
     temporary = f"{path.rstrip('/')}/_temporary-{uuid.uuid4().hex}"
     files.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").option("compression", "none").text(temporary)
