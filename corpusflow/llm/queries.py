@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import chosen_path, line_dedup, mixing, quality, tiling
+from corpusflow.llm import chat, chosen_path, hilbert_ann, html_paths, line_dedup, mixing, pii, quality, tiling, warc
 from corpusflow.llm.common import table
+from corpusflow.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,64 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines", "removed_lines", "removed_chars", "text")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in (*pii.KINDS, "id")])
+
+    def listed(spans: str) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ","
+        )
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        F.col("doc_id").cast("long"),
+        *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.filter(F.array(listed("base"), listed("added")), lambda s: s != ""), ",").alias("spans"),
+    )
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every hundredth vector."""
+    return hilbert_ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return html_paths.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from all conversations once formatted, and from one that holds control strings."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], given.schema)
+    out = chat.format_conversations(chat.text_turns(given.unionByName(added)))
+    read = out.withColumn("turns", chat.read_turns()).withColumn("learned", F.array_join(chat.read_loss(), ""))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the archives written from all pages."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items they cover."""
     return tiling.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("version")
@@ -44,9 +103,43 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_pii": op2_pii,
+    "op3_neighbours": op3_neighbours,
+    "op4_main_text": op4_main_text,
     "op5_decontaminate": op5_decontaminate,
+    "op6_chat": op6_chat,
+    "op7_warc": op7_warc,
     "op8_mix": op8_mix,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+_ESCAPED = r"length({0}) + length({0}) - length(replace({0}, chr(92), '')) + length({0}) - length(replace(replace({0}, '<', ''), '>', ''))"
+
+ORACLES: dict[str, str] = {
+    "op6_chat": f"""
+with rows as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce("text", '') as body from conversations
+    union all select -7, 0, 'user', chr(92) || '### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'
+)
+select conv_id,
+    count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || body || chr(10), '' order by turn, role, body)) as turns_sha256,
+    cast(sum(case when role = 'assistant' then length(body) else 0 end) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(case when role = 'assistant' then body end, '' order by turn, role, body), ''))
+        as loss_sha256,
+    cast(sum(16 + {_ESCAPED.format("role")} + {_ESCAPED.format("body")}) as bigint) as formatted_chars
+from rows group by conv_id""",
+    "op7_warc": """
+with rows as (
+    select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages
+), hashed as (
+    select page_id, n, sha1(html) as digest from rows
+), latest as (
+    select *, max(page_id) over (partition by digest, n >= 1000) as top from hashed
+)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+    case when n >= 1000 and page_id is distinct from top then 'revisit' else 'response' end as record_type,
+    case when n >= 1000 and page_id is distinct from top then top end as refers_to
+from latest""",
+}
