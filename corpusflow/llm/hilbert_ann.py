@@ -11,6 +11,7 @@ and only wide windows reach a recall of 0.9; for clustered vectors a fraction of
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -239,8 +240,8 @@ def nearest(
     sample = index.filter(F.expr(f"pmod(xxhash64(uid), {part}) = 0")).orderBy("uid").toArrow()
     if not sample.num_rows:
         sample = index.orderBy("uid").limit(1).toArrow()
-    ranges = max(64, total // RANGE_ROWS)
-    around = max(1, round(reach * ranges))
+    ranges = max(1, min(64, total // 16), total // RANGE_ROWS)
+    around = max(1, math.ceil(reach * ranges))
     blocks = max(1, -(-asked * (2 * around + 1) // (ranges * QUERY_ROWS)))
     found = fit_orderings(_matrix(sample.column("v")), sample.column("uid").to_numpy(), orderings, ranges, seed)
     placed = index.mapInArrow(_placed(found, blocks, around), "cell long, side int, uid long, v array<double>")

@@ -21,7 +21,8 @@ def line_chunks(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     """A row per chunk of two or more lines that are not blank, and of ``min_chars`` characters or more.
 
     ``doc_id, version`` (hash of the text), ``start`` and ``n`` (lines, from 0), ``key`` and ``key2`` (hashes of the
-    chunk), ``before`` and ``after`` (line hashes of the neighbouring chunks).
+    chunk), ``before`` and ``after`` (line hashes of the two neighbouring chunks on either side, nearest line first),
+    ``n_before`` and ``n_after`` (lines of the nearest one).
     """
     lines = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("version"), F.expr(_LINES).alias("lines"))
     hashed = lines.select(
@@ -56,9 +57,11 @@ def line_chunks(docs: DataFrame, min_chars: int = 40) -> DataFrame:
                 'n', coalesce(get(b, k + 1), size(h)) - s,
                 'key', xxhash64(slice(h, s + 1, coalesce(get(b, k + 1), size(h)) - s)),
                 'key2', hash(slice(h, s + 1, coalesce(get(b, k + 1), size(h)) - s)),
-                'before', slice(h, coalesce(get(b, k - 1), 0) + 1, s - coalesce(get(b, k - 1), 0)),
+                'before', reverse(slice(h, coalesce(get(b, k - 2), 0) + 1, s - coalesce(get(b, k - 2), 0))),
+                'n_before', s - coalesce(get(b, k - 1), 0),
                 'after', slice(h, coalesce(get(b, k + 1), size(h)) + 1,
-                    coalesce(get(b, k + 2), size(h)) - coalesce(get(b, k + 1), size(h))),
+                    coalesce(get(b, k + 3), size(h)) - coalesce(get(b, k + 1), size(h))),
+                'n_after', coalesce(get(b, k + 2), size(h)) - coalesce(get(b, k + 1), size(h)),
                 'filled', filter(slice(chars, s + 1, coalesce(get(b, k + 1), size(h)) - s), c -> c > 0)
             )), p -> size(p.filled) >= 2 and aggregate(p.filled, 0, (a, c) -> a + c) >= """
             + str(int(min_chars))
@@ -68,10 +71,18 @@ def line_chunks(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     return pieces.drop("filled")
 
 
-def _same_ends(own: str, other: str) -> str:
-    """SQL: how many entries agree from the front; 0 where the arrays are equal, as then both are whole chunks."""
-    agree = f"transform(sequence(0, least(size({own}), size({other}))), i -> coalesce(get({own}, i) = get({other}, i), false))"
-    return f"if({own} = {other}, 0, array_position({agree}, false) - 1)"
+def _same_lines(side: str) -> str:
+    """SQL: how many lines next to a chunk agree with those next to its first occurrence.
+
+    0 where the whole neighbouring chunks agree, as those are found by themselves. Boundaries depend on the lines around
+    them, so that inside a passage they differ within two chunks of its ends at most.
+    """
+    agree = (
+        f"transform(sequence(0, least(size({side}), size(f.{side}))),"
+        f" i -> coalesce(get({side}, i) = get(f.{side}, i), false))"
+    )
+    lines = f"array_position({agree}, false) - 1"
+    return f"if(n_{side} = f.n_{side} and {lines} >= n_{side}, 0, {lines})"
 
 
 def repeated_spans(docs: DataFrame, min_chars: int = 40) -> DataFrame:
@@ -79,7 +90,7 @@ def repeated_spans(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     ``f.doc_id, f.version, f_start``. The first occurrence is the one with the least (doc_id, version, start).
     """
     chunks = staged(line_chunks(docs, min_chars), "chunks")
-    where = "struct(doc_id, version, start, before, after)"
+    where = "struct(doc_id, version, start, before, n_before, after, n_after)"
     first = staged(
         chunks.groupBy("key", "key2").agg(F.count("*").alias("times"), F.min(F.expr(where)).alias("f")).filter("times > 1"),
         "firsts",
@@ -87,8 +98,8 @@ def repeated_spans(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     hits = chunks.join(first, ["key", "key2"]).filter(
         "not (doc_id <=> f.doc_id and version = f.version and start = f.start)"
     )
-    grown = hits.withColumn("left", F.expr(_same_ends("reverse(before)", "reverse(f.before)"))).withColumn(
-        "right", F.expr(_same_ends("after", "f.after"))
+    grown = hits.withColumn("left", F.expr(_same_lines("before"))).withColumn(
+        "right", F.expr(_same_lines("after"))
     )
     return grown.select(
         "doc_id",
@@ -136,30 +147,31 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40) -> DataFrame:
         .groupBy(F.col("doc_id").alias("a_doc"), F.col("version").alias("a_version"))
         .agg(F.collect_list(F.struct("start", "n", "body")).alias("found"))
     )
+    # The row travels as one column, so that no name of the input meets one used here.
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id"),
+        F.xxhash64(text_or_empty()).alias("version"),
+        F.expr(_LINES).alias("lines"),
+    )
+    repeated = F.expr(
+        "array_distinct(flatten(transform(filter(found, s -> s.body ="
+        f" transform(slice(lines, s.start + 1, s.n), u -> {_TRIMMED.format('u')})),"
+        " s -> sequence(s.start, s.start + s.n - 1))))"
+    )
+    cleaned = F.expr(
+        "if(size(gone) > 0, array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), ''),"
+        " row.text)"
+    )
     out = (
-        docs.withColumn("_version", F.xxhash64(text_or_empty()))
-        .join(found, F.expr("doc_id <=> a_doc and _version = a_version"), "left")
-        .withColumn("_lines", F.expr(_LINES))
-        .withColumn(
-            "_gone",
-            F.expr(
-                "array_distinct(flatten(transform(filter(found, s -> s.body ="
-                f" transform(slice(_lines, s.start + 1, s.n), u -> {_TRIMMED.format('u')})),"
-                " s -> sequence(s.start, s.start + s.n - 1))))"
-            ),
-        )
-        .withColumn(
-            "_text",
-            F.expr(
-                "if(size(_gone) > 0, array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone),"
-                " i -> _lines[i]), ''), text)"
-            ),
-        )
+        rows.join(found, F.expr("doc_id <=> a_doc and version = a_version"), "left")
+        .select("row", "lines", repeated.alias("gone"))
+        .select("row", "lines", "gone", cleaned.alias("text"))
     )
-    kept = [F.col(c) if c != "text" else F.col("_text").alias("text") for c in docs.columns]
+    kept = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return out.select(
         *kept,
-        F.size("_lines").alias("lines"),
-        F.expr("greatest(size(_gone), 0)").alias("removed_lines"),
-        F.expr("coalesce(length(text) - length(_text), 0)").alias("removed_chars"),
+        F.size("lines").alias("lines"),
+        F.expr("greatest(size(gone), 0)").alias("removed_lines"),
+        F.expr("coalesce(length(row.text) - length(text), 0)").alias("removed_chars"),
     )

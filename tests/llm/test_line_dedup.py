@@ -42,16 +42,17 @@ def plain(docs, min_chars=40):
                 continue
             other, fc = parsed[f[0]][3], parsed[f[0]][4]
             fs, fe = fc[f[1]], fc[f[1] + 1]
-            own_l, oth_l = bare[cuts[k - 1] if k else 0 : s], other[fc[f[1] - 1] if f[1] else 0 : fs]
-            own_r, oth_r = bare[e : (cuts[k + 2] if k + 2 < len(cuts) else e)], other[fe : (fc[f[1] + 2] if f[1] + 2 < len(fc) else fe)]
+            at = lambda c, j: c[min(max(j, 0), len(c) - 1)]
 
-            def same(a, b):
+            def same(own, theirs, mine, other_size):
                 n = 0
-                while n < min(len(a), len(b)) and a[n] == b[n]:
+                while n < min(len(own), len(theirs)) and own[n] == theirs[n]:
                     n += 1
-                return 0 if a == b else n
+                return 0 if mine == other_size and n >= mine else n
 
-            left, right = same(own_l[::-1], oth_l[::-1]), same(own_r, oth_r)
+            j = f[1]
+            left = same(bare[at(cuts, k - 2) : s][::-1], other[at(fc, j - 2) : fs][::-1], s - at(cuts, k - 1), fs - at(fc, j - 1))
+            right = same(bare[e : at(cuts, k + 3)], other[fe : at(fc, j + 3)], at(cuts, k + 2) - e, at(fc, j + 2) - fe)
             gone.setdefault(d, set()).update(range(s - left, e + right))
     return {
         (i, text): "".join(u for k, u in enumerate(lines) if k not in gone.get(d, ()))

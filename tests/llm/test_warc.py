@@ -21,7 +21,7 @@ def test_round_trip_and_revisits(spark):
     seen = []
     for _ in range(2):
         path = scratch_path(spark, "warc-test")
-        manifest = write_archives(pages, path, shards=4, limit=60_000)
+        manifest = write_archives(pages, path, shards=4, limit=30_000)
         seen.append(sorted((r.archive, r.bytes, r.sha1) for r in manifest.collect()))
     assert seen[0] == seen[1] and len(seen[0]) > 6
     got = read_archives(spark, path).collect()
@@ -44,7 +44,7 @@ def test_round_trip_and_revisits(spark):
         data = open(f"{folder}/{n}", "rb").read()  # noqa: SIM115
         assert gzip.decompress(data).startswith(b"WARC/1.1\r\n")
         ids += [int(x["X-Page-ID"]) for x in parse_archive(data) if x["X-Page-ID"]]
-        assert len(data) <= 60_000 or sum(1 for _ in parse_archive(data)) == 1
+        assert len(data) <= 30_000 or sum(1 for _ in parse_archive(data)) == 1
     assert ids == sorted(ids)
 
 
