@@ -26,7 +26,9 @@ from corpusflow.llm.components import connected_components
 WIDTH = 5
 SIMILARITY = 0.8
 DEPTH = 3
+#: Texts of a bucket that goes no further, and texts that a task compares at once in larger ones.
 BUCKET = 64
+BLOCK = 512
 _BINS = 64
 _PATH_COLUMNS = {
     "key": pa.binary(),
@@ -58,27 +60,29 @@ def token_set(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """16 bits of the least token in each of 64 ranges of hashes; 0 marks an empty range."""
+    """16 bits of the least token in each of 64 ranges of hashes; 0 marks an empty range. ``tokens`` are in order."""
     out = np.zeros(_BINS, np.uint16)
-    bins, first = np.unique(tokens >> np.uint64(58), return_index=True)
-    out[bins.astype(int)] = (tokens[first] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    bins = (tokens >> np.uint64(58)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out[bins[first]] = (tokens[first] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
     return out.tobytes()
 
 
 def _step(tokens: np.ndarray, starts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """The next buckets of paths that end in ``starts``, and which start each goes on from."""
-    if not len(tokens):
+    if not len(tokens) or not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     limit = np.uint64(min(2**64 - 1, int(2**64 / (similarity * len(tokens)))))
     found, parent = [], []
-    for i, s in enumerate(starts):
-        for k in range(0, len(tokens), 1 << 18):
-            h = mix(tokens[k : k + (1 << 18)] ^ s)
-            h = h[h < limit]
-            found.append(mix(h ^ s))
-            parent.append(np.full(len(h), i, np.int32))
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    width = max(1, (1 << 18) // len(tokens))
+    for k in range(0, len(starts), width):
+        # Tokens and starts are scrambled already, so that a short hash of the two does.
+        h = (tokens[None] ^ starts[k : k + width, None]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        i, j = np.nonzero(h < limit)
+        found.append(mix(h[i, j] ^ starts[k + i]))
+        parent.append((k + i).astype(np.int32))
     return np.concatenate(found), np.concatenate(parent)
 
 
@@ -132,6 +136,18 @@ def _comparable(side: np.ndarray) -> np.ndarray:
     return np.where(side[0] == 0, np.triu(np.ones_like(differ), 1), np.triu(differ, 1))
 
 
+def _alike(sketch: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs whose sketches agree as often as six deviations below ``similarity`` allow; some rows at a time."""
+    out = np.zeros((len(sketch), len(sketch)), bool)
+    step = max(1, (1 << 16) // len(sketch))
+    for k in range(0, len(sketch), step):
+        part = sketch[k : k + step, None]
+        same = ((part == sketch[None]) & (part != 0)).sum(2)
+        filled = ((part | sketch[None]) != 0).sum(2)
+        out[k : k + step] = same >= similarity * filled - 6 * np.sqrt(similarity * (1 - similarity) * filled) - 1
+    return out
+
+
 def _likely(similarity: float):
     """Drop rows of cells that no other row can equal to ``similarity``: by size, and by sketch with six deviations."""
 
@@ -144,9 +160,7 @@ def _likely(similarity: float):
                 if hi - lo < 2:
                     continue
                 s, n = sketch[lo:hi], size[lo:hi]
-                same = ((s[:, None] == s[None]) & (s[:, None] != 0)).sum(2)
-                filled = ((s[:, None] | s[None]) != 0).sum(2)
-                near = same >= similarity * filled - 6 * np.sqrt(similarity * (1 - similarity) * filled) - 1
+                near = _alike(s, similarity)
                 near &= np.minimum(n[:, None], n[None]) >= similarity * np.maximum(n[:, None], n[None]) - 1e-9
                 near &= _comparable(side[lo:hi])
                 keep[lo:hi] = near.any(0) | near.any(1)
@@ -179,6 +193,19 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _compared_before(cell: int, cells: list[dict[int, int]]) -> np.ndarray:
+    """Pairs that a cell before this one compares. ``cells``: each member's cells with its side in them."""
+    seen = np.zeros((len(cells), len(cells)), bool)
+    for c in sorted({c for own in cells for c in own if c < cell}):
+        side = np.array([own.get(c, -1) for own in cells])
+        if (side == 0).any():
+            seen |= (side == 0)[:, None] & (side == 0)[None]
+        else:
+            seen |= (side == 1)[:, None] & (side == 2)[None]
+            seen |= (side == 2)[:, None] & (side == 1)[None]
+    return seen
+
+
 def _links(similarity: float):
     """Exact links of each cell, each pair in the first cell that compares it: link counts, and a tree of links."""
 
@@ -197,25 +224,15 @@ def _links(similarity: float):
                 size = np.array([len(s) for s in sets], float)
                 both = _overlaps(sets)
                 linked = _comparable(side) & (both >= similarity * (size[:, None] + size[None] - both) - 1e-9)
-                texts, docs, root = np.zeros(hi - lo, int), np.zeros(hi - lo, int), np.arange(hi - lo)
-
-                def find(i, root=root):
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                for i, j in zip(*np.nonzero(linked), strict=True):
-                    mine, other = cells[i], cells[j]
-                    first = min(c for c in mine.keys() & other.keys() if mine[c] == 0 or mine[c] != other[c])
-                    if first == ids[lo]:
-                        texts[[i, j]] += 1
-                        docs[i] += copies[j]
-                        docs[j] += copies[i]
-                        a, b = find(i), find(j)
-                        if a != b:
-                            root[max(a, b)] = min(a, b)
-                out += [(tid[i], tid[find(i)], texts[i], docs[i]) for i in np.flatnonzero(texts)]
+                linked &= ~_compared_before(ids[lo], cells)
+                linked |= linked.T
+                texts, docs, root = linked.sum(1), linked @ copies, np.arange(hi - lo)
+                while True:
+                    least = np.minimum(root, np.where(linked, root[None], hi - lo).min(1))
+                    if (least == root).all():
+                        break
+                    root = least[least]
+                out += [(tid[i], tid[root[i]], texts[i], docs[i]) for i in np.flatnonzero(texts)]
             yield pd.DataFrame(out, columns=["a", "b", "texts", "docs"])
 
     return run
@@ -304,8 +321,8 @@ def _cells(texts: DataFrame) -> DataFrame:
     blocked = members.select(
         "tid",
         "bucket",
-        F.ceil(F.col("members") / BUCKET).alias("blocks"),
-        F.expr(f"pmod(xxhash64(tid, bucket), ceil(members / {BUCKET}))").alias("block"),
+        F.ceil(F.col("members") / BLOCK).alias("blocks"),
+        F.expr(f"pmod(xxhash64(tid, bucket), ceil(members / {BLOCK}))").alias("block"),
     )
     return blocked.select("tid", "bucket", "block", F.expr("explode(sequence(0, blocks - 1)) as other")).select(
         "tid",
