@@ -146,6 +146,18 @@ def rebuild_status(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def exact_duplicates(rows: DataFrame, content: Column, order: list[str]) -> DataFrame:
+    """``order`` columns, ``kept`` and ``first``: whether a row is the first with its content by ``order``, and which is.
+
+    Only fingerprints and ``order`` travel, and the first of each fingerprint combines before the shuffle. Rows without
+    content have the fingerprint of the empty text.
+    """
+    bytes_ = F.coalesce(content, F.lit("")).cast("binary")
+    printed = rows.select(*order, F.sha2(bytes_, 256).alias("_print"))
+    firsts = printed.groupBy("_print").agg(F.min(F.struct(*order)).alias("first"))
+    return printed.join(firsts, "_print").select(*order, (F.struct(*order) == F.col("first")).alias("kept"), "first")
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last written row of each key. An aggregate, so all but one row per key and task stay off the network."""
     others = [c for c in rows.columns if c not in keys and c not in order]

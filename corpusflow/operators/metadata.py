@@ -109,21 +109,17 @@ def count_pages(pages: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return pages.groupBy(*keys).agg(F.count_if(F.col(text) != "").alias("total_pages"))
 
 
-def full_text_parts(
-    pages: DataFrame, keys: list[str], page: str = "page", text: str = "text", part_pages: int = 1024
-) -> DataFrame:
-    """The full text of documents given as page rows: non-empty texts in page order, joined by newlines.
+def full_text(pages: Column) -> Column:
+    """The full text of a document whose pages share a row: non-empty texts in page order, joined by newlines."""
+    ordered = F.array_sort(pages, lambda a, b: a["page"] - b["page"])
+    return F.array_join(F.transform(F.filter(ordered, lambda p: p["text"] != ""), lambda p: p["text"]), "\n")
 
-    A document of up to ``part_pages`` pages is one row, part 0. A longer one comes in parts of that many page
-    numbers, so that no row or task has to hold it whole; joined by newlines the parts are its text.
+
+def full_text_pages(pages: DataFrame, keys: list[str], page: str = "page", text: str = "text") -> DataFrame:
+    """The full text of documents given as page rows, a row per non-empty page: in the order of ``page`` and joined by
+    newlines they are the text. However long a document is, none of its pages has to meet another.
     """
-    part = F.floor(F.col(page) / part_pages)
-    gathered = F.sort_array(F.collect_list(F.struct(F.col(page).alias("page"), F.col(text).alias("text"))))
-    return (
-        pages.filter(F.col(text) != "")
-        .groupBy(*keys, part.alias("part"))
-        .agg(F.array_join(F.transform(gathered, lambda p: p["text"]), "\n").alias("full_text"))
-    )
+    return pages.filter(F.col(text) != "").select(*keys, F.col(page).alias("page"), F.col(text).alias("full_text"))
 
 
 def object_keys(client_id: Column, source_file: Column, doc_id: Column) -> Column:
@@ -142,9 +138,10 @@ def object_urls(keys: Column, account: str, container: str) -> Column:
 # ---- runs -----------------------------------------------------------------------------------------------
 
 
-def per_document(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunk count per document."""
-    return chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("chunk_count"))
+def per_document(documents: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """``documents`` with their ``chunk_count``; a document without chunks has 0. Counts combine before the shuffle."""
+    counts = chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("chunk_count"))
+    return documents.join(counts, keys, "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
 
 
 def upload_results(files: DataFrame, account: str, container: str) -> DataFrame:

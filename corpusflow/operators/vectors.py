@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.operators.ordinals import dense_order
+from corpusflow.session import scratch_path
 
-# Most query vectors sent to every task at once; more are cut into blocks of this size.
-QUERY_BLOCK = 4096
-# Vectors a task holds as one matrix in the blocked search.
-CORPUS_BLOCK = 100_000
+# Bytes of query vectors sent to every task at once.
+QUERY_BYTES = 16 << 20
 # Vectors compared with the queries in one matrix product.
 _STEP = 2048
 
@@ -92,22 +91,36 @@ def _merge(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
-def search(corpus: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(corpus: DataFrame, queries: DataFrame, k: int, block_bytes: int = QUERY_BYTES) -> DataFrame:
     """Exact k nearest neighbours by squared L2 distance: ``query_id, vec_id, distance, rank``.
 
-    ``corpus`` has ``vec_id`` and ``embedding``, ``queries`` has ``query_id`` and ``embedding``. Up to ``query_block``
-    queries travel to every task and the corpus stays where it is; beyond that both sides are cut into blocks which meet
-    by key. Only the k best per block and query leave a task, never a distance per pair.
+    ``corpus`` has ``vec_id`` and ``embedding``, ``queries`` has ``query_id`` and ``embedding``. The corpus stays where it
+    is and is read once per block of queries. A block holds ``block_bytes`` of vectors at most, travels to every task and is
+    released before the next. A task sends on the k best per query, never a distance per pair. Results are stored in
+    the shared folder block by block, so a lost executor costs a block at most.
     """
-    few = queries.select("query_id", "embedding").limit(query_block + 1).toArrow()
-    if few.num_rows > query_block:
-        return _merge(_blocked(corpus, queries, k, query_block), k)
-    if not few.num_rows:
-        return queries.sparkSession.createDataFrame([], _HIT + ", rank int")
-    held = corpus.sparkSession.sparkContext.broadcast(
-        (few.column("query_id").to_numpy(), _matrix(few.column("embedding")))
-    )
-
+    spark = corpus.sparkSession
+    asked = scratch_path(spark, "queries")
+    rows = queries.select(F.col("query_id").cast("long"), "embedding")
+    count, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    if not count:
+        return spark.createDataFrame([], _HIT + ", rank int")
+    blocks = -(-count // max(1, block_bytes // (8 * width)))
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    numbered.repartition("block").write.partitionBy("block").parquet(asked)
+    found = scratch_path(spark, "hits")
+    for block in range(blocks):
+        part = spark.read.parquet(asked).filter(F.col("block") == block).toArrow()
+        if not part.num_rows:
+            continue
+        held = spark.sparkContext.broadcast((part.column("query_id").to_numpy(), _matrix(part.column("embedding"))))
+        near = corpus.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_scan(held, k), _HIT)
+        _merge(near, k).write.mode("append").parquet(found)
+        held.destroy()
+    return spark.read.schema(_HIT + ", rank int").parquet(found)
+
+
+def _scan(held, k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = held.value
         for batch in batches:
@@ -117,42 +130,4 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, query_block: int = QUE
                 )
                 yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
-    near = corpus.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(scan, _HIT)
-    return _merge(near, k)
-
-
-def _numbers(count: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
-
-
-def _blocked(corpus: DataFrame, queries: DataFrame, k: int, query_block: int) -> DataFrame:
-    """Candidates from every pair of a corpus block and a query block; each pair is one bounded group."""
-    corpus_parts = -(-corpus.count() // CORPUS_BLOCK)
-    query_parts = -(-queries.count() // query_block)
-    left = corpus.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(corpus_parts)).alias("_c"),
-        F.explode(_numbers(query_parts)).alias("_q"),
-        F.col("vec_id").cast("long"),
-        "embedding",
-    )
-    right = queries.select(
-        F.explode(_numbers(corpus_parts)).alias("_c"),
-        F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).alias("_q"),
-        F.col("query_id").cast("long"),
-        "embedding",
-    )
-
-    def pair(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        if not vectors.num_rows or not asked.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
-                             "distance": pa.array([], pa.float64())})
-        found = _nearest(
-            _matrix(asked.column("embedding")),
-            asked.column("query_id").to_numpy(),
-            _matrix(vectors.column("embedding")),
-            vectors.column("vec_id").to_numpy(),
-            k,
-        )
-        return pa.Table.from_pandas(found, preserve_index=False)
-
-    return left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q")).applyInArrow(pair, _HIT)
+    return scan

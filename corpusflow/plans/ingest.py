@@ -11,7 +11,7 @@ import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,8 +53,12 @@ BAD_FOLDER = "Invalid directory path: {}"
 NO_FILE = "File not found: {}"
 NO_DOCUMENTS = "No supported documents found"
 NO_REMOTE_FILES = "No supported files found in {} folder"
+TOO_LARGE = "File is too large to read"
 NO_CHUNKS = "Chunk creation failed — no chunks produced"
 
+# Where stored objects are addressed.
+ACCOUNT, CONTAINER = "account", "container"
+
 JOB = "request_id string, seq long, status string, detail string, at string"
 
 
@@ -71,9 +75,14 @@ class Run:
     size: int = CHUNK_SIZE
     overlap: int = CHUNK_OVERLAP
     factory: EmbedderFactory = HashingEmbedder
+    model: str | None = None
     readers: dict[str, Reader] | None = None
     replace_index: bool = True
 
+    @property
+    def model_key(self) -> str:
+        return model_name(self.factory, self.model)
+
     @property
     def client(self) -> str:
         return (self.client_id or "").strip().lower()
@@ -112,10 +121,11 @@ def ingest_files(store: Store, files: DataFrame, run: Run) -> DataFrame:
     began = time.monotonic()
     if not run.client:
         return _failed(store, run, NO_CLIENT)
-    archive(store, files, run)
+    largest = largest_file(store.spark)
+    archive(store, files.filter(F.col("length") <= largest), run)
     if not store.run_exists("raw_files", run.client, run.run_id):
         return _failed(store, run, NO_DOCUMENTS)
-    extract_archive(store, run)
+    extract_archive(store, run, files.filter(F.col("length") > largest))
     documents = store.read_run("documents", run.client, run.run_id).filter(F.col("pages").isNotNull())
     if documents.isEmpty():
         return _failed(store, run, NO_DOCUMENTS)
@@ -194,7 +204,9 @@ def ingest_sharepoint(
 def _ingest_planned(store: Store, plan: DataFrame, landed: str, run: Run, place: str) -> DataFrame:
     if plan.isEmpty():
         return _failed(store, run, NO_REMOTE_FILES.format(place))
-    arrived = read_files(store.spark, landed, UPLOAD_EXTENSIONS)
+    # Of what has landed, only what was planned; the folder may hold other files.
+    wanted = plan.select(F.col("target").alias("rel_path")).distinct()
+    arrived = read_files(store.spark, landed, UPLOAD_EXTENSIONS).join(wanted, "rel_path", "left_semi")
     summary = ingest_files(store, arrived, run)
     missing = not_loaded(plan.select(F.col("target").alias("rel_path")), arrived, ["rel_path"])
     store.write("missing_files", run.stamp(missing))
@@ -215,14 +227,24 @@ def archive(store: Store, files: DataFrame, run: Run) -> None:
     store.write("raw_files", rows, ("client_id", "run_id", "is_native"))
 
 
-def extract_archive(store: Store, run: Run) -> None:
-    """Page text of the archived files into ``documents``; files without text keep a row with the reason."""
+def largest_file(spark: SparkSession) -> int:
+    """Bytes of the largest file that a row can hold. Larger ones are listed but never opened."""
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+
+
+def extract_archive(store: Store, run: Run, too_large: DataFrame) -> None:
+    """Page text of the archived files into ``documents``; files without text, and those too large to read, keep a row
+    with the reason."""
     raw = store.read_run("raw_files", run.client, run.run_id).drop("sha256", "object_name")
     extra = F.lit(None) if not run.extra_metadata else _literal_map(run.extra_metadata)
     rows = extract(raw, run.readers).select(
         *[c for c in raw.columns if c not in ("content", "is_native")],
         "pages",
         "error",
+    )
+    lost = run.stamp(too_large.drop("content")).withColumn("error", F.lit(TOO_LARGE))
+    rows = rows.unionByName(lost, allowMissingColumns=True).select(
+        "*",
         make_doc_id(F.col("rel_path")).alias("doc_id"),
         F.coalesce(F.size("pages"), F.lit(0)).alias("total_pages"),
         F.lit(run.source_type).alias("source_type"),
@@ -242,13 +264,19 @@ def chunk_and_embed(store: Store, documents: DataFrame, run: Run) -> None:
     )
     chunks = with_chunk_ids(chunk_documents(spread(source), run.size, run.overlap))
     stamped = chunks.withColumn("uploaded_at", F.lit(metadata.iso_utc(run.started)))
-    vectors = embed(stamped, factory=run.factory).withColumn("model", F.lit(model_name(run.factory)))
+    vectors = embed(stamped, factory=run.factory).withColumn("model", F.lit(run.model_key))
     store.write("chunks", vectors)
 
 
-def model_name(factory: EmbedderFactory) -> str:
-    """The name of a model without creating it here, where the driver may lack its weights."""
-    return getattr(factory, "model_name", None) or getattr(factory, "__qualname__", repr(factory))
+def model_name(factory: EmbedderFactory, name: str | None = None) -> str:
+    """The name vectors are stored under, which a rebuild compares: given, or the factory's own ``model_name``.
+
+    A name made up from a function would be the same for two of its closures, and other in the next process.
+    """
+    name = name or getattr(factory, "model_name", None) or (factory is HashingEmbedder and "hashing")
+    if not name:
+        raise ValueError("name the model")
+    return name
 
 
 def write_vectors(store: Store, chunks: DataFrame, run: Run) -> None:
@@ -267,8 +295,13 @@ def write_vectors(store: Store, chunks: DataFrame, run: Run) -> None:
         base = earlier.agg(F.max("vec_id")).first()[0]
         numbered = numbered.withColumn("vec_id", F.col("vec_id") + F.lit(0 if base is None else base + 1))
     store.write("vectors", numbered)
-    if earlier is not None and run.replace_index:
-        store.drop_partitions("vectors", earlier.select("client_id", "run_id").distinct())
+
+
+def retire_vectors(store: Store, run: Run) -> None:
+    """Drop the client's earlier indices, once the run that replaces them is in ``runs``."""
+    if run.replace_index:
+        mine = (F.col("client_id") == run.client) & (F.col("run_id") != run.run_id)
+        store.drop_partitions("vectors", store.read("vectors").filter(mine).select("client_id", "run_id").distinct())
 
 
 def finish(store: Store, run: Run, began: float) -> DataFrame:
@@ -291,13 +324,13 @@ def finish(store: Store, run: Run, began: float) -> DataFrame:
     )
     meta = store.read_run("document_meta", run.client, run.run_id)
     totals = meta.agg(F.count(F.lit(1)).alias("documents"), F.sum("total_chunks").alias("chunks")).first()
-    sent = store.read_run("raw_files", run.client, run.run_id).join(documents, DOCUMENT_KEY, "left_semi").count()
-    failed = max(0, totals.documents - sent)
+    sent, failed = _record_uploads(store, run)
     summary = _run_row(
         store, run, documents_processed=totals.documents, total_chunks=totals.chunks, uploads_succeeded=sent,
         uploads_failed=failed, elapsed_seconds=round(time.monotonic() - began, 2), status="partial" if failed else "success", message=SUCCEEDED,
     )
     store.write("runs", summary)
+    retire_vectors(store, run)
     log = store.spark.createDataFrame([(run.client, run.run_id, run.label)], "client_id string, run_id string, label string")
     created = F.to_utc_timestamp(F.lit(run.started), F.current_timezone())
     store.write(
@@ -314,6 +347,25 @@ def finish(store: Store, run: Run, began: float) -> DataFrame:
     return summary
 
 
+def _record_uploads(store: Store, run: Run) -> tuple[int, int]:
+    """The result of storing each file in ``uploads``, and how many were stored and not.
+
+    A file whose client or name is blank has no key to store it under; one too large to read was not archived.
+    """
+    stored = store.read_run("raw_files", run.client, run.run_id).select(*DOCUMENT_KEY, "run_id", "object_name")
+    results = metadata.upload_results(stored, ACCOUNT, CONTAINER)
+    lost = store.read_run("documents", run.client, run.run_id).filter(F.col("error") == TOO_LARGE)
+    missing = lost.select(
+        *DOCUMENT_KEY, "run_id", F.lit(False).alias("success"), F.lit("").alias("blob_name"),
+        F.lit(None).cast("string").alias("blob_url"), "error",
+    )
+    store.write("uploads", results.unionByName(missing))
+    totals = store.read_run("uploads", run.client, run.run_id).agg(
+        F.count_if("success").alias("sent"), F.count_if(~F.col("success")).alias("failed")
+    ).first()
+    return totals.sent, totals.failed
+
+
 # ---- tables ---------------------------------------------------------------------------------------------
 
 

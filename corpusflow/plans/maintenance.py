@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,29 +21,46 @@ def stored_objects(store: Store) -> DataFrame:
 
 
 def delete_documents(store: Store, targets: DataFrame) -> DataFrame:
-    """Removes the documents of ``targets`` (``client_id, doc_id``) from all tables; returns the report per document.
+    """Deletes the documents of ``targets`` (``client_id, doc_id``); returns the report per document.
 
-    Only partitions that hold such a document are rewritten.
+    What is deleted is listed in ``deleted``, a row per stored version, and leaves ``Store.current`` at once. No other table
+    is touched until ``compact``. A later ingestion of the same file is a new version and current again.
     """
-    meta = store.read("document_meta").join(targets, ["client_id", "doc_id"], "left_semi")
+    rows = store.read("documents").join(targets.distinct(), ["client_id", "doc_id"], "left_semi")
     keys = scratch_path(store.spark, "delete")
-    meta.select(*DOCUMENT_KEY, "doc_id", "source_file").distinct().write.parquet(keys)
+    rows.select(*DOCUMENT_KEY, "doc_id", "source_file", "run_id").distinct().write.parquet(keys)
     gone = store.spark.read.parquet(keys)
-    wanted = targets.join(gone, ["client_id", "doc_id"], "left").select("client_id", "doc_id", "source_file")
+    named = gone.select("client_id", "doc_id", "source_file").distinct()
+    wanted = targets.join(named, ["client_id", "doc_id"], "left").select("client_id", "doc_id", "source_file")
     report_path = scratch_path(store.spark, "delete-report")
     catalog.delete_report(wanted, stored_objects(store).distinct()).write.parquet(report_path)
+    listed = gone.select(*DOCUMENT_KEY, F.col("run_id").alias("deleted_run"))
+    store.write("deleted", listed.withColumn("run_id", F.lit(f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}")))
+    return store.spark.read.parquet(report_path)
+
+
+def compact(store: Store) -> None:
+    """Rewrites the partitions that hold deleted versions without them, then empties ``deleted``.
+
+    Repeating it after a failure is safe: rows that are gone already are not missed.
+    """
+    path = scratch_path(store.spark, "compact")
+    store.deleted().write.parquet(path)
+    done = store.spark.read.parquet(path)
+    gone = done.select(*DOCUMENT_KEY, F.col("deleted_run").alias("run_id")).distinct()
     for table in DOCUMENT_TABLES:
         if store.exists(table):
-            _drop_documents(store, table, gone)
-    return store.spark.read.parquet(report_path)
+            _drop_versions(store, table, gone)
+    store.drop_partitions("deleted", done.select("client_id", "run_id").distinct())
 
 
-def _drop_documents(store: Store, table: str, gone: DataFrame) -> None:
+def _drop_versions(store: Store, table: str, gone: DataFrame) -> None:
     partitions = ("client_id", "run_id", "is_native") if table == "raw_files" else ("client_id", "run_id")
+    key = [*DOCUMENT_KEY, "run_id"]
     rows = store.read(table)
-    affected = rows.join(gone, DOCUMENT_KEY, "left_semi").select(*partitions).distinct()
+    affected = rows.join(gone, key, "left_semi").select(*partitions).distinct()
     touched = rows.join(affected, list(partitions), "left_semi")
-    store.rewrite(table, affected, catalog.without_documents(touched, gone, DOCUMENT_KEY), partitions)
+    store.rewrite(table, affected, catalog.without_documents(touched, gone, key), partitions)
 
 
 def rebuild(
@@ -50,15 +69,16 @@ def rebuild(
     doc_id: str | None = None,
     factory: EmbedderFactory = HashingEmbedder,
     force: bool = False,
+    model: str | None = None,
 ) -> DataFrame:
     """Embeds a document's chunks, or all of a client's, again. Returns ``doc_id, action`` per document.
 
     ``action`` is ``rebuilt``, ``skipped`` (no chunks) or ``error`` (asked for, but without chunks). Chunks that
     already bear the model's name are left as they are, unless ``force``.
     """
-    model = model_name(factory)
+    model = model_name(factory, model)
     meta = store.current("document_meta").filter(F.col("client_id") == client_id)
-    chunks = store.read("chunks").filter(F.col("client_id") == client_id)
+    chunks = store.current("chunks").filter(F.col("client_id") == client_id)
     if doc_id is not None:
         meta, chunks = meta.filter(F.col("doc_id") == doc_id), chunks.filter(F.col("doc_id") == doc_id)
     classes = catalog.rebuild_classes(meta, chunks, ["client_id", "doc_id"])

@@ -80,8 +80,11 @@ _CONVERSATION_CHUNKS = f"""
 ORACLES["chunk_conversation_pages"] = f"WITH RECURSIVE {_CONVERSATION_CHUNKS} SELECT * FROM conv_chunks"
 
 ORACLES["conversation_full_text"] = f"""
-    SELECT conv_id, (turn + 1) // 1024 AS part, string_agg(text, {_NL} ORDER BY turn) AS full_text
-    FROM conversations WHERE text <> '' GROUP BY ALL"""
+    SELECT conv_id, (turn + 1)::INTEGER AS page, text AS full_text FROM conversations WHERE text <> ''"""
+
+ORACLES["document_full_text"] = f"""
+    SELECT doc_id, sha256(CASE WHEN length(text) < 2 THEN text
+      ELSE left(text, length(text) // 2) || {_NL} || substr(text, length(text) // 2 + 1) END) AS sha256 FROM documents"""
 
 # ---- extraction -----------------------------------------------------------------------------------------
 
@@ -458,21 +461,28 @@ _KNN = """
 ORACLES["knn_l2"] = f"WITH {_KNN} SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM best"
 ORACLES["knn_chunk_join"] = f"WITH {_KNN} SELECT query_id, rank, vec_id, label FROM best"
 
+ORACLES["knn_blocks"] = ORACLES["knn_l2"]
+
+# Vectors as dense lists, so that distances are list functions.
 ORACLES["search_chunks"] = f"""
     WITH RECURSIVE {_chunks(_DOCUMENTS, "doc_id")},
-    numbered AS (
-      SELECT doc_id * 100000 + chunk_index AS vec_id, printf('%d_chunk_%04d', doc_id, chunk_index) AS chunk_id, text FROM chunks
+    numbered AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS vec_id,
+        printf('%d_chunk_%04d', doc_id, chunk_index) AS chunk_id, text FROM chunks
     ),
     {_hashed("SELECT vec_id, text FROM numbered", "vec_id", 64, "c")},
     {_hashed("SELECT item_id, text FROM benchmark", "item_id", 64, "q")},
-    c_norm AS (SELECT vec_id, sum(v * v) AS s FROM c_vec GROUP BY vec_id),
-    q_norm AS (SELECT item_id, sum(v * v) AS s FROM q_vec GROUP BY item_id),
-    dots AS (
-      SELECT item_id, vec_id, sum(q_vec.v * c_vec.v) AS dot FROM q_vec JOIN c_vec USING (bucket) GROUP BY ALL
+    places AS (SELECT unnest(range(64))::UBIGINT AS bucket),
+    c_dense AS MATERIALIZED (
+      SELECT vec_id, list(coalesce(v, 0.0) ORDER BY bucket) AS e
+      FROM (SELECT vec_id, bucket FROM numbered, places) LEFT JOIN c_vec USING (vec_id, bucket) GROUP BY vec_id
+    ),
+    q_dense AS MATERIALIZED (
+      SELECT item_id, list(coalesce(v, 0.0) ORDER BY bucket) AS e
+      FROM (SELECT item_id, bucket FROM benchmark, places) LEFT JOIN q_vec USING (item_id, bucket) GROUP BY item_id
     ),
     scored AS (
-      SELECT q.item_id, c.vec_id, q.s + c.s - 2 * coalesce(d.dot, 0) AS distance
-      FROM q_norm q CROSS JOIN c_norm c LEFT JOIN dots d ON d.item_id = q.item_id AND d.vec_id = c.vec_id
+      SELECT item_id, vec_id, power(list_distance(q_dense.e, c_dense.e), 2) AS distance FROM q_dense, c_dense
     ),
     ranked AS (
       SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(distance, 9), vec_id)::INTEGER AS rank
@@ -519,12 +529,13 @@ ORACLES["object_urls"] = """
     FROM conversations, (VALUES ('raw'), ('chunks'), ('meta')) k(kind)"""
 
 ORACLES["per_document_summary"] = f"""
-    WITH RECURSIVE {_chunks(_DOCUMENTS, "doc_id")} SELECT doc_id, count(*) AS chunk_count FROM chunks GROUP BY doc_id"""
+    WITH RECURSIVE {_chunks(_DOCUMENTS, "doc_id")} SELECT d.doc_id, count(c.doc_id) AS chunk_count
+    FROM documents d LEFT JOIN chunks c USING (doc_id) GROUP BY d.doc_id"""
 
 ORACLES["run_summary"] = f"""
     WITH RECURSIVE {_chunks(_DOCUMENTS, "doc_id")},
     counts AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id)
-    SELECT source, count(n) AS documents_processed, coalesce(sum(n), 0)::BIGINT AS total_chunks,
+    SELECT source, count(*) AS documents_processed, coalesce(sum(n), 0)::BIGINT AS total_chunks,
       count(*) FILTER (n_chars < 5000) AS uploads_succeeded, count(*) FILTER (n_chars >= 5000) AS uploads_failed,
       1.0::DOUBLE AS elapsed_seconds,
       CASE WHEN count(*) FILTER (n_chars >= 5000) > 0 THEN 'partial' ELSE 'success' END AS status
@@ -612,3 +623,27 @@ ORACLES["ingest_drive"] = "SELECT doc_id, sha256(text) AS sha256, length(text)::
 ORACLES["rebuild_index"] = """
     SELECT 'acme' AS client_id, 'success' AS status, 0::BIGINT AS skipped, 0::BIGINT AS errors, TRUE AS all_chunks,
       TRUE AS all_new FROM documents GROUP BY 1"""
+
+_INGESTED = "doc_id, sha256(text) AS sha256, length(text)::INTEGER AS n_chars"
+
+ORACLES["reingest_changed"] = f"""
+    SELECT {_INGESTED} FROM (
+      SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'new ' || text ELSE text END AS text FROM documents WHERE doc_id % 4 <> 2)"""
+
+ORACLES["ingest_file"] = f"""
+    SELECT {_INGESTED}, 'part' || doc_id % 4 || '.txt' AS filename, 'success' AS status,
+      '2024-01-01T00:00:00+00:00' AS uploaded_at FROM documents"""
+
+ORACLES["ingest_sharepoint"] = f"SELECT {_INGESTED}, 'done' AS job FROM documents WHERE doc_id % 4 > 0"
+
+ORACLES["delete_stored"] = f"""
+    SELECT {_INGESTED}, 'kept' AS status, TRUE AS stored FROM documents WHERE doc_id % 2 = 0
+    UNION ALL SELECT NULL, file, NULL, status, stored FROM (VALUES ('part0', 'kept', TRUE), ('part2', 'kept', TRUE),
+      ('part1', 'success', FALSE), ('part3', 'success', FALSE), ('ghost', 'not_found', FALSE)) t(file, status, stored)"""
+
+ORACLES["rebuild_document"] = """
+    SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 32 ELSE 64 END::INTEGER AS vector_size FROM documents"""
+
+ORACLES["exact_dedup"] = """
+    SELECT doc_id, doc_id = min(doc_id) OVER (PARTITION BY text) AS kept, min(doc_id) OVER (PARTITION BY text) AS first_id
+    FROM documents"""

@@ -5,7 +5,8 @@ Keys match those of ``oracles``. Every function takes the session and the folder
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from dataclasses import replace
+from datetime import datetime, timedelta, timezone
 from functools import partial
 from typing import Callable
 
@@ -106,7 +107,18 @@ def chunk_conversation_pages(spark, folder):
 
 @query
 def conversation_full_text(spark, folder):
-    return metadata.full_text_parts(_turns(spark, folder), ["conv_id"])
+    """Page by page, and whole for conversations whose pages have been gathered into a row."""
+    return metadata.full_text_pages(_turns(spark, folder), ["conv_id"])
+
+
+@query
+def document_full_text(spark, folder):
+    """Documents of two pages in a row, the second first, and an empty one between."""
+    half = F.expr("cast(length(text) / 2 as int)")
+    texts = {3: F.substr("text", half + 1), 2: F.lit(""), 1: F.substr("text", F.lit(1), half)}
+    pages = F.array(*[F.struct(F.lit(p).alias("page"), t.alias("text")) for p, t in texts.items()])
+    docs = table(spark, folder, "documents").select("doc_id", pages.alias("pages"))
+    return docs.select("doc_id", paths.sha256_hex(_bytes(metadata.full_text(F.col("pages")))).alias("sha256"))
 
 
 # ---- extraction -----------------------------------------------------------------------------------------
@@ -736,9 +748,16 @@ def library_paths(spark, folder):
 def _embedded(spark, folder, dimension: int) -> DataFrame:
     """Document chunks with vectors and a numeric id."""
     chunks = _document_chunks(spark, folder).select(
-        (F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("vec_id"), "chunk_id", "text"
+        "doc_id", "chunk_index", "chunk_id", "text"
     )
-    return embedding.embed(chunks, factory=_hashing(dimension))
+    embedded = embedding.embed(chunks, factory=_hashing(dimension)).withColumn("all", F.lit(0))
+    return vectors.assign_vector_ids(embedded, ["all"], "doc_id", [F.col("doc_id")])
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _hashing(dimension: int):
@@ -794,6 +813,14 @@ def knn_l2(spark, folder):
     return _self_search(spark, folder).withColumn("distance", F.round("distance", 6))
 
 
+@query
+def knn_blocks(spark, folder):
+    """The same search with room for 64 query vectors at a time."""
+    corpus = table(spark, folder, "embeddings")
+    asked = corpus.select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.search(corpus, asked, 5, block_bytes=64 * 64 * 8).withColumn("distance", F.round("distance", 6))
+
+
 @query
 def knn_chunk_join(spark, folder):
     labels = table(spark, folder, "embeddings").select("vec_id", "label")
@@ -807,11 +834,9 @@ def search_chunks(spark, folder):
     """The three chunks nearest to each benchmark text."""
     asked = embedding.embed(table(spark, folder, "benchmark"), factory=_hashing(64))
     corpus = _embedded(spark, folder, 64)
-    hits = vectors.search(corpus.select("vec_id", "embedding"), asked.withColumnRenamed("item_id", "query_id"), 3)
-    chunks = _document_chunks(spark, folder).select(
-        (F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("vec_id"), "chunk_id"
-    )
-    return vectors.attach_chunks(hits, chunks, ["vec_id"]).select(
+    corpus = _stored(corpus.select("vec_id", "chunk_id", "embedding"), "search")
+    hits = vectors.search(corpus, asked.withColumnRenamed("item_id", "query_id"), 3)
+    return vectors.attach_chunks(hits, corpus.select("vec_id", "chunk_id"), ["vec_id"]).select(
         "query_id", "rank", "chunk_id", F.round("distance", 5).alias("distance")
     )
 
@@ -881,7 +906,8 @@ def object_urls(spark, folder):
 
 @query
 def per_document_summary(spark, folder):
-    return metadata.per_document(_document_chunks(spark, folder), ["doc_id"])
+    documents = table(spark, folder, "documents").select("doc_id")
+    return metadata.per_document(documents, _document_chunks(spark, folder), ["doc_id"])
 
 
 def _uploads(spark, folder) -> DataFrame:
@@ -891,8 +917,8 @@ def _uploads(spark, folder) -> DataFrame:
 @query
 def run_summary(spark, folder):
     """A run per source; long documents fail to upload."""
-    counts = metadata.per_document(_document_chunks(spark, folder), ["doc_id"])
-    loaded = table(spark, folder, "documents").select("source", "doc_id").join(counts, "doc_id")
+    documents = table(spark, folder, "documents").select("source", "doc_id")
+    loaded = metadata.per_document(documents, _document_chunks(spark, folder), ["doc_id"])
     return metadata.run_summary(loaded, _uploads(spark, folder), ["source"], 1.005)
 
 
@@ -1032,12 +1058,13 @@ def _landed_documents(spark, folder) -> str:
     return root
 
 
-def _ingested_documents(store: Store) -> DataFrame:
+def _ingested_documents(store: Store, chunks: DataFrame | None = None) -> DataFrame:
     """Each ingested document once, by the fingerprint of its text, found in the stored chunks.
 
     Chunks without overlap hold every line of a file once, and every line is a document.
     """
-    lines = store.current("chunks").select(F.explode(F.split("text", "\n")).alias("line"))
+    chunks = store.current("chunks") if chunks is None else chunks
+    lines = chunks.select(F.explode(F.split("text", "\n")).alias("line"))
     record = F.from_json("line", "doc_id long, text string")
     return lines.select(record.alias("r")).select(
         "r.doc_id", paths.sha256_hex(_bytes(F.col("r.text"))).alias("sha256"), F.length("r.text").alias("n_chars")
@@ -1045,7 +1072,7 @@ def _ingested_documents(store: Store) -> DataFrame:
 
 
 def _run() -> ingest.Run:
-    return ingest.Run("Acme", started=_RUN_TIME, overlap=0, factory=_hashing(64))
+    return ingest.Run("Acme", started=_RUN_TIME, overlap=0, factory=_hashing(64), model="hashing-64")
 
 
 @query
@@ -1056,6 +1083,127 @@ def ingest_directory(spark, folder):
     return _ingested_documents(store)
 
 
+_BUCKETS = 4
+
+
+def _named_files(spark, docs: DataFrame) -> str:
+    """``docs`` as JSON lines in the files ``part0.txt`` to ``part3.txt`` of a fresh folder, by document id."""
+    root = scratch_path(spark, "named")
+    lines = docs.select(
+        F.pmod("doc_id", F.lit(_BUCKETS)).alias("b"), F.to_json(F.struct("doc_id", "text")).alias("value")
+    )
+    lines.repartition("b").write.partitionBy("b").text(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for b in range(_BUCKETS):
+        for status in fs.globStatus(path(f"{root}/b={b}/part-*")) or []:
+            fs.rename(status.getPath(), path(f"{root}/part{b}.txt"))
+        fs.delete(path(f"{root}/b={b}"), True)
+    return root
+
+
+def _ingested(spark, folder) -> tuple[Store, str]:
+    store = Store(spark, scratch_path(spark, "store"))
+    root = _named_files(spark, table(spark, folder, "documents"))
+    ingest.ingest_directory(store, root, _run())
+    return store, root
+
+
+@query
+def reingest_changed(spark, folder):
+    """Two files ingested again, one with every text changed and one turned blank: what is current and searchable."""
+    store, _ = _ingested(spark, folder)
+    bucket = F.pmod("doc_id", F.lit(_BUCKETS))
+    docs = table(spark, folder, "documents").filter(bucket.isin(1, 2))
+    changed = docs.filter(bucket == 1).select("doc_id", F.concat(F.lit("new "), "text").alias("text"))
+    root = _named_files(spark, changed)
+    blank = docs.filter(bucket == 2).select(F.lit(" ").alias("value")).coalesce(1)
+    blank.write.text(f"{root}/blank")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.rename(fs.globStatus(path(f"{root}/blank/part-*"))[0].getPath(), path(f"{root}/part2.txt"))
+    fs.delete(path(f"{root}/blank"), True)
+    later = replace(_run(), started=_RUN_TIME + timedelta(days=1), replace_index=False)
+    ingest.ingest_directory(store, root, later)
+    return _ingested_documents(store, _indexed(store))
+
+
+def _indexed(store: Store) -> DataFrame:
+    """The current chunks that the current index holds."""
+    key = ["client_id", "run_id", "rel_path", "chunk_id"]
+    return store.current("chunks").join(store.current("vectors").select(*key), key)
+
+
+@query
+def ingest_file(spark, folder):
+    """Each of some files uploaded by itself."""
+    store = Store(spark, scratch_path(spark, "store"))
+    root = _named_files(spark, table(spark, folder, "documents"))
+    rows = []
+    for b in range(_BUCKETS):
+        run = replace(_run(), suffix=str(b), replace_index=False, source_type="upload")
+        rows.append(ingest.ingest_file(store, f"{root}/part{b}.txt", run).select("filename", "doc_id", "status"))
+    results = rows[0]
+    for more in rows[1:]:
+        results = results.unionByName(more)
+    stamps = store.current("chunks").select(F.col("doc_id").alias("file"), "uploaded_at").distinct()
+    files_ = results.select("filename", F.col("doc_id").alias("file"), "status").join(stamps, "file")
+    found = _ingested_documents(store).withColumn("file", F.concat(F.lit("part"), F.pmod("doc_id", F.lit(_BUCKETS))))
+    return found.join(files_, "file").drop("file")
+
+
+@query
+def ingest_sharepoint(spark, folder):
+    """A library folder whose files have been fetched, next to one that was not asked for."""
+    store = Store(spark, scratch_path(spark, "store"))
+    root = _named_files(spark, table(spark, folder, "documents"))
+    items = table(spark, folder, "documents").filter(F.pmod("doc_id", F.lit(_BUCKETS)) > 0).select(
+        F.concat(F.lit("part"), F.pmod("doc_id", F.lit(_BUCKETS)), F.lit(".txt")).alias("name")
+    ).distinct().select(
+        F.col("name").alias("id"), F.lit(_ROOT).alias("parent_id"), "name", F.lit(False).alias("is_folder"),
+        F.concat(F.lit("https://example.com/"), "name").alias("download_url"),
+    )
+    ingest.ingest_sharepoint(store, "job", items, _ROOT, root, _run())
+    state = catalog.job_status(spark.read.parquet(store.path("jobs"))).select("request_id", F.col("status").alias("job"))
+    return _ingested_documents(store).withColumn("request_id", F.lit("job")).join(state, "request_id").drop("request_id")
+
+
+@query
+def delete_stored(spark, folder):
+    """An ingested folder after two of its documents have been deleted and their rows compacted away."""
+    store, _ = _ingested(spark, folder)
+    targets = spark.createDataFrame([("acme", "part1"), ("acme", "part3"), ("acme", "ghost")], "client_id string, doc_id string")
+    report = maintenance.delete_documents(store, targets)
+    left = _stored(_ingested_documents(store, _indexed(store)), "left")
+    maintenance.compact(store)
+    kept = store.read("chunks").select(F.col("doc_id").alias("file")).distinct()
+    states = report.select(F.col("doc_id").alias("file"), "status").join(kept.withColumn("stored", F.lit(True)), "file", "full")
+    rows = states.select(
+        F.lit(None).cast("long").alias("doc_id"), F.col("file").alias("sha256"), F.lit(None).cast("int").alias("n_chars"),
+        F.coalesce("status", F.lit("kept")).alias("status"), F.coalesce("stored", F.lit(False)).alias("stored"),
+    )
+    return left.withColumn("status", F.lit("kept")).withColumn("stored", F.lit(True)).unionByName(rows)
+
+
+@query
+def rebuild_document(spark, folder):
+    """The size of the vectors behind every document of an ingested folder once one file was embedded again."""
+    store, _ = _ingested(spark, folder)
+    maintenance.rebuild(store, "acme", doc_id="part2", factory=_hashing(32), model="hashing-32")
+    key = ["client_id", "run_id", "rel_path", "chunk_id"]
+    sizes = store.current("vectors").select(*key, F.size("embedding").alias("vector_size"))
+    chunks = store.current("chunks").join(sizes, key)
+    lines = chunks.select("vector_size", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select(F.from_json("line", "doc_id long").alias("r"), "vector_size").select("r.doc_id", "vector_size")
+
+
+@query
+def exact_dedup(spark, folder):
+    """Which documents repeat the text of an earlier one."""
+    docs = table(spark, folder, "documents")
+    return catalog.exact_duplicates(docs, F.col("text"), ["doc_id"]).select("doc_id", "kept", F.col("first.doc_id").alias("first_id"))
+
+
 @query
 def ingest_vectors(spark, folder):
     """Per client of an ingested folder: whether vectors, chunks and metadata agree."""
@@ -1085,6 +1233,11 @@ def ingest_drive(spark, folder):
         F.col("parent_id").alias("id"), F.lit(_ROOT).alias("parent_id"), F.col("parent_id").alias("name"),
         F.lit(manifest.FOLDER_MIME).alias("mime"),
     )
+    # What else lands in the folder is not part of the job.
+    stray = table(spark, folder, "documents").select(
+        F.to_json(F.struct((-1 - F.col("doc_id")).alias("doc_id"), "text")).alias("value")
+    )
+    stray.write.text(f"{landed}/stray")
     ingest.ingest_drive(store, "job", folders.unionByName(items), _ROOT, landed, _run())
     state = catalog.job_status(spark.read.parquet(store.path("jobs"))).select("request_id", F.col("status").alias("job"))
     return _ingested_documents(store).withColumn("request_id", F.lit("job")).join(state, "request_id").drop("request_id")
@@ -1095,7 +1248,7 @@ def rebuild_index(spark, folder):
     """All documents of an ingested folder embedded again with another model."""
     store = Store(spark, scratch_path(spark, "store"))
     ingest.ingest_directory(store, _landed_documents(spark, folder), _run())
-    outcome = maintenance.rebuild(store, "acme", factory=_hashing(32))
+    outcome = maintenance.rebuild(store, "acme", factory=_hashing(32), model="hashing-32")
     size = F.size("embedding")
     chunks = store.current("chunks").groupBy("client_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.min(size).alias("low"), F.max(size).alias("high")

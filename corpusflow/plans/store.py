@@ -88,21 +88,33 @@ class Store:
         rows.write.mode("append").parquet(self.path(table))
 
     def current(self, table: str) -> DataFrame:
-        """Rows of finished runs that no later run of their document supersedes.
+        """Rows of finished runs that no later run of their document supersedes and that have not been deleted.
 
-        The run list is short and prunes partitions. What is superseded is worked out on the metadata, one row per
-        document and run, and is small unless much was ingested again; either way the table itself need not move.
+        The run list is short and prunes partitions. What is superseded is worked out on ``documents``, where every file
+        of a run has a row, with text or without: a file that turned blank leaves nothing current. Those rows are small
+        and few unless much was ingested again; either way the table itself need not move.
         """
         finished = self.read("runs").select("client_id", "run_id")
-        meta = self.read("document_meta").join(finished, ["client_id", "run_id"], "left_semi")
-        latest = meta.groupBy(*DOCUMENT_KEY).agg(F.max("run_id").alias("_latest"), F.count("*").alias("_runs"))
-        old = meta.join(latest.filter("_runs > 1"), DOCUMENT_KEY).filter("run_id < _latest")
+        seen = self.read("documents").select(*DOCUMENT_KEY, "run_id").join(finished, ["client_id", "run_id"], "left_semi")
+        latest = seen.groupBy(*DOCUMENT_KEY).agg(F.max("run_id").alias("_latest"), F.count("*").alias("_runs"))
+        old = seen.join(latest.filter("_runs > 1"), DOCUMENT_KEY).filter("run_id < _latest")
+        gone = old.select(*DOCUMENT_KEY, "run_id")
+        deleted = self.deleted().select(*DOCUMENT_KEY, F.col("deleted_run").alias("run_id"))
+        gone = gone.union(deleted).distinct()
         return (
             self.read(table)
             .join(finished, ["client_id", "run_id"], "left_semi")
-            .join(old.select(*DOCUMENT_KEY, "run_id"), [*DOCUMENT_KEY, "run_id"], "left_anti")
+            .join(gone, [*DOCUMENT_KEY, "run_id"], "left_anti")
         )
 
+    def deleted(self) -> DataFrame:
+        """Versions of documents that have been deleted and not yet compacted away; none where nothing ever was."""
+        schema = "rel_path string, deleted_run string, client_id string, run_id string"
+        path = self.path("deleted")
+        if not self.exists("deleted"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", path).parquet(path)
+
     def rewrite(self, table: str, affected: DataFrame, kept: DataFrame, partitions: tuple[str, ...]) -> None:
         """Puts ``kept`` in place of the partitions listed in ``affected``; those left without rows are removed.
 

@@ -98,7 +98,7 @@ def plan_drive(items: DataFrame, root: str, recursive: bool = True) -> DataFrame
     Adds ``action`` (``export``, ``download`` or ``skip``), ``export_mime`` and ``target``, the path to save under.
     A download whose name lacks the planned extension gets it appended.
     """
-    is_folder = F.col("mime") == FOLDER_MIME
+    is_folder = F.col("mime").eqNullSafe(FOLDER_MIME)
     files = items.filter(~is_folder)
     if recursive:
         named = items.filter(is_folder).withColumn("name", safe_name(F.col("name")))

@@ -20,10 +20,16 @@ def small_model():
     return HashingEmbedder(8)
 
 
+small_model.model_name = "hash-8"
+
+
 def other_model():
     return HashingEmbedder(4)
 
 
+other_model.model_name = "hash-4"
+
+
 def at(day: int, **changes) -> Run:
     values = dict(client_id=" 007 ", started=datetime(2024, 1, day, tzinfo=timezone.utc), factory=small_model)
     return Run(**{**values, **changes})
@@ -92,6 +98,9 @@ def test_directory_life_cycle(spark, folder, tmp_path):
     report = {r.doc_id: (r.blobs_deleted, r.status) for r in maintenance.delete_documents(store, targets).collect()}
     assert report["ghost"] == (0, "not_found") and report["b"][1] == "success" and report["b"][0] == 4
     mine = F.col("client_id") == "007"
+    assert not {"b.txt", "a/b.docx"} & {r.rel_path for r in store.current("chunks").filter(mine).collect()}
+    maintenance.compact(store)
+    assert store.deleted().count() == 0
     for table in ("raw_files", "documents", "chunks", "vectors", "document_meta"):
         left = store.read(table)
         assert left.filter(mine & F.col("rel_path").isin("b.txt", "a/b.docx")).count() == 0
@@ -152,6 +161,27 @@ def test_drive_and_sharepoint_jobs(spark, folder, tmp_path):
     assert lookup_jobs(asked, jobs).first().status == "not_found"
 
 
+def test_one_large_file_stops_nothing(spark, folder, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    (folder / "big.txt").write_text("big words here\n" * 400)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "3000")
+    try:
+        done = ingest.ingest_directory(store, str(folder), at(1)).first()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert done.status == "partial" and done.total_chunks > 0
+    reasons = {r.rel_path: r.error for r in store.read("documents").filter("pages IS NULL").collect()}
+    assert reasons["big.txt"] == ingest.TOO_LARGE
+    failed = {r.rel_path for r in store.read("uploads").filter("NOT success").collect()}
+    assert "big.txt" in failed and len(failed) == done.uploads_failed
+
+
+def test_a_model_needs_a_name(spark):
+    with pytest.raises(ValueError, match="name the model"):
+        at(1, factory=lambda: HashingEmbedder(2)).model_key
+    assert at(1, factory=lambda: HashingEmbedder(2), model="two").model_key == "two"
+
+
 def test_stream_takes_each_file_once(spark, folder, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     start = partial(stream_folder, store, str(folder), str(tmp_path / "cp"), at(1), files_per_batch=2)

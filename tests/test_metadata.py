@@ -53,10 +53,20 @@ def test_round_trip(spark):
     assert read.select(*source.columns).collect() == source.collect()
 
 
-def test_full_text_in_parts(spark):
+def test_full_text(spark):
     pages = spark.createDataFrame([("d", p, f"t{p}" if p % 3 else "") for p in range(1, 11)], "doc string, page int, text string")
-    parts = metadata.full_text_parts(pages.repartition(4), ["doc"], part_pages=4).orderBy("part").collect()
-    assert [r.full_text for r in parts] == ["t1\nt2", "t4\nt5\nt7", "t8\nt10"]
+    rows = metadata.full_text_pages(pages.repartition(4), ["doc"]).orderBy("page").collect()
+    assert [r.full_text for r in rows] == ["t1", "t2", "t4", "t5", "t7", "t8", "t10"]
+    gathered = pages.repartition(4).groupBy("doc").agg(F.collect_list(F.struct("page", "text")).alias("pages"))
+    assert gathered.select(metadata.full_text(F.col("pages"))).first()[0] == "t1\nt2\nt4\nt5\nt7\nt8\nt10"
+    many = spark.range(1, 3001).select(F.lit("d").alias("doc"), F.col("id").alias("page"), F.lit("x").alias("text"))
+    assert metadata.full_text_pages(many, ["doc"]).count() == 3000
+
+
+def test_documents_without_chunks_are_counted(spark):
+    docs = spark.createDataFrame([("r", "a"), ("r", "b")], "run string, doc string")
+    counts = metadata.per_document(docs, spark.createDataFrame([("a",), ("a",)], "doc string"), ["doc"])
+    assert {(r.doc, r.chunk_count) for r in counts.collect()} == {("a", 2), ("b", 0)}
 
 
 def test_run_summary_without_uploads_or_documents(spark):

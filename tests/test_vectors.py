@@ -52,16 +52,15 @@ def brute(corpus, queries, k):
     return out
 
 
-@pytest.mark.parametrize("query_block", [4096, 16])
-def test_search_is_exact_with_copies(spark, query_block, monkeypatch):
-    monkeypatch.setattr(vectors, "CORPUS_BLOCK", 60)
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1000])
+def test_search_is_exact_with_copies(spark, block_bytes):
     rng = np.random.default_rng(3)
     corpus = [(i, [float(x) for x in rng.integers(0, 3, 4)]) for i in range(200)]  # many equal vectors
     corpus += [(1000 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(100)]
     queries = [(i, [float(x) for x in rng.integers(0, 3, 4)]) for i in range(40)]
     left = spark.createDataFrame(corpus, "vec_id long, embedding array<float>").repartition(5)
     right = spark.createDataFrame(queries, "query_id long, embedding array<float>")
-    got = {(r.query_id, r.vec_id, r["rank"]) for r in vectors.search(left, right, 7, query_block).collect()}
+    got = {(r.query_id, r.vec_id, r["rank"]) for r in vectors.search(left, right, 7, block_bytes).collect()}
     assert got == brute(corpus, queries, 7)
 
 
