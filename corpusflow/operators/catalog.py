@@ -100,6 +100,7 @@ def delete_report(targets: DataFrame, objects: DataFrame) -> DataFrame:
             "doc_id",
             deleted.alias("blobs_deleted"),
             F.when(deleted == 0, "not_found").otherwise("success").alias("status"),
+            # The two messages.
             F.when(deleted == 0, F.concat(F.lit("No blobs found for doc_id '"), "doc_id", F.lit("'.")))
             .otherwise(
                 F.concat(F.lit("Deleted "), deleted.cast("string"), F.lit(" blob(s) for '"), "doc_id", F.lit("'."))

@@ -8,33 +8,13 @@ from pyspark.sql.window import Window
 
 from corpusflow.session import truncate_lineage
 
-# Positions per block: the largest number of rows of one group a single window task sorts.
-BLOCK = 4096
-
-
-def running_total(
-    df: DataFrame, groups: list[str], position: str, value: str, out: str, block: int = BLOCK
-) -> DataFrame:
+def running_total(df: DataFrame, groups: list[str], position: str, value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over earlier positions of the same group.
 
-    ``position`` is an integer, unique within its group; neither it nor a group column may be null. The window runs within blocks of ``block`` positions and
-    one row per block is then summed over the group, so a group of n rows puts at most n / block rows in a task.
-    Both halves read the same exchange.
+    ``position`` is any integer, unique within its group, however far apart; rows where it or a group column is null
+    are left out. Ranges of positions are cut by the data, so that one large group is spread like many small ones.
     """
-    # Stating the key filters here keeps both halves equal, so that Spark reuses the exchange.
-    present = df.dropna(subset=[*groups, position])
-    blocked = present.withColumn("_block", F.coalesce(F.floor(F.col(position) / block), F.lit(0)))
-    inside = Window.partitionBy(*groups, "_block").orderBy(position)
-    summed = blocked.withColumn("_upto", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    before = Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        summed.groupBy(*groups, "_block")
-        .agg(F.max("_upto").alias("_sum"))
-        .select(*groups, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    )
-    return summed.join(starts, [*groups, "_block"]).select(
-        *df.columns, (F.col("_base") + F.col("_upto") - F.col(value)).alias(out)
-    )
+    return dense_order(df.dropna(subset=[*groups, position]), groups, [F.col(position)], value, out)
 
 
 def dense_order(df: DataFrame, groups: list[str], order: list[Column], weight: str, out: str) -> DataFrame:

@@ -98,9 +98,13 @@ def html_text(markup: str, dropped: tuple[str, ...] = ()) -> str:
     return parser.result()
 
 
+# Elements whose text is left out of a web page.
+PAGE_DROPPED = ("script", "style", "noscript", "head")
+
+
 def page_text(markup: str) -> str:
     """The text of a web page: no head, script, style or noscript, at most one blank line in a row."""
-    text = html_text(markup, ("script", "style", "noscript", "head")).strip()
+    text = html_text(markup, PAGE_DROPPED).strip()
     return re.sub(r"\n{3,}", "\n\n", text)
 
 
