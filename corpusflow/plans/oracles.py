@@ -647,3 +647,8 @@ ORACLES["rebuild_document"] = """
 ORACLES["exact_dedup"] = """
     SELECT doc_id, doc_id = min(doc_id) OVER (PARTITION BY text) AS kept, min(doc_id) OVER (PARTITION BY text) AS first_id
     FROM documents"""
+
+ORACLES["delimited_lines"] = """
+    SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos,
+      'c_custkey: ' || c_custkey || ' | name: a "b", ' || c_name ||
+      CASE WHEN c_custkey % 3 > 0 THEN ' | segment: ' || c_mktsegment ELSE '' END AS line FROM customer"""

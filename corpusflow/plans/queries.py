@@ -19,7 +19,7 @@ from corpusflow.operators import catalog, chunking, embedding, metadata, tabular
 from corpusflow.plans import ingest, maintenance
 from corpusflow.plans.store import Store
 from corpusflow.session import scratch_path, ship_package, spread
-from corpusflow.sources import extract, files, manifest, objects, sample_files
+from corpusflow.sources import delimited, extract, files, manifest, objects, sample_files
 from corpusflow.streaming.folder import stream_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,6 +209,21 @@ def csv_text(spark, folder):
     return _one_page(found, "c_custkey")
 
 
+@query
+def delimited_lines(spark, folder):
+    """Customers as a delimited file per nation, read in splits: the place and the line of each."""
+    root = scratch_path(spark, "delimited")
+    rows = table(spark, folder, "customer").select(
+        "c_nationkey", "c_custkey", F.concat(F.lit('a "b", '), "c_name").alias("name"),
+        F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("segment"), F.lit("NA").alias("none"),
+    )
+    ordered = rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    ordered.write.option("header", True).option("sep", ";").option("escape", '"').partitionBy("c_nationkey").csv(root)
+    read = delimited.delimited_lines(spark, root)
+    nation = F.regexp_extract("rel_path", "c_nationkey=([0-9]+)", 1).cast("int")
+    return read.select(nation.alias("c_nationkey"), "pos", "line")
+
+
 @query
 def tsv_text(spark, folder):
     rows = table(spark, folder, "part")
