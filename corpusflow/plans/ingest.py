@@ -38,6 +38,7 @@ RUN = T.StructType(
         T.StructField("total_chunks", T.LongType()),
         T.StructField("uploads_succeeded", T.LongType()),
         T.StructField("uploads_failed", T.LongType()),
+        T.StructField("next_vec_id", T.LongType()),
         T.StructField("elapsed_seconds", T.DoubleType()),
         T.StructField("status", T.StringType()),
         T.StructField("message", T.StringType()),
@@ -104,6 +105,7 @@ def _run_row(store: Store, run: Run, **values) -> DataFrame:
         "total_chunks": 0,
         "uploads_succeeded": 0,
         "uploads_failed": 0,
+        "next_vec_id": 0,
         "elapsed_seconds": 0.0,
         "message": None,
         "error": None,
@@ -279,22 +281,25 @@ def model_name(factory: EmbedderFactory, name: str | None = None) -> str:
     return name
 
 
-def write_vectors(store: Store, chunks: DataFrame, run: Run) -> None:
-    """The vector table of a run: ids follow path parts, then chunk order.
+def write_vectors(store: Store, chunks: DataFrame, run: Run) -> int:
+    """The vector table of a run: ids follow path parts, then chunk order. Returns the first id.
 
-    By default the run becomes the client's index and earlier runs leave it. Otherwise it is added behind them: its
-    ids start where theirs end, and nothing already written is touched.
+    By default the run becomes the client's index, from id 0. Otherwise it is added behind earlier runs: its ids start
+    where the run table says theirs end, and nothing already written is read or touched.
     """
     rows = chunks.select("client_id", "run_id", "rel_path", "doc_id", "chunk_id", "chunk_index", "embedding")
     numbered = assign_vector_ids(rows, ["client_id"], "rel_path", [path_parts(F.col("rel_path"))])
-    earlier = None
-    if store.exists("vectors"):
-        mine = (F.col("client_id") == run.client) & (F.col("run_id") != run.run_id)
-        earlier = store.read("vectors").filter(mine)
-    if earlier is not None and not run.replace_index:
-        base = earlier.agg(F.max("vec_id")).first()[0]
-        numbered = numbered.withColumn("vec_id", F.col("vec_id") + F.lit(0 if base is None else base + 1))
-    store.write("vectors", numbered)
+    base = 0 if run.replace_index else _next_vector_id(store, run)
+    store.write("vectors", numbered.withColumn("vec_id", F.col("vec_id") + base))
+    return base
+
+
+def _next_vector_id(store: Store, run: Run) -> int:
+    """The first id no earlier run has used; the run table has a short row per run."""
+    if not store.exists("runs"):
+        return 0
+    others = store.read("runs").filter((F.col("client_id") == run.client) & (F.col("run_id") != run.run_id))
+    return others.agg(F.max("next_vec_id")).first()[0] or 0
 
 
 def retire_vectors(store: Store, run: Run) -> None:
@@ -312,7 +317,7 @@ def finish(store: Store, run: Run, began: float) -> DataFrame:
     if not store.run_exists("chunks", run.client, run.run_id):
         return _failed(store, run, NO_CHUNKS)
     chunks = store.read_run("chunks", run.client, run.run_id)
-    write_vectors(store, chunks, run)
+    base = write_vectors(store, chunks, run)
     documents = store.read_run("documents", run.client, run.run_id).filter(F.col("pages").isNotNull())
     described = documents.select(
         *DOCUMENT_KEY, "run_id", "doc_id", "source_file", "source_type", "total_pages", "extra_metadata",
@@ -327,7 +332,7 @@ def finish(store: Store, run: Run, began: float) -> DataFrame:
     sent, failed = _record_uploads(store, run)
     summary = _run_row(
         store, run, documents_processed=totals.documents, total_chunks=totals.chunks, uploads_succeeded=sent,
-        uploads_failed=failed, elapsed_seconds=round(time.monotonic() - began, 2), status="partial" if failed else "success", message=SUCCEEDED,
+        uploads_failed=failed, next_vec_id=base + totals.chunks, elapsed_seconds=round(time.monotonic() - began, 2), status="partial" if failed else "success", message=SUCCEEDED,
     )
     store.write("runs", summary)
     retire_vectors(store, run)

@@ -48,6 +48,23 @@ LIBRARY_NAMES = ("documents", "shared documents")
 _ACCEPTED = [f".{e}" for e in UPLOAD_EXTENSIONS]
 
 
+# Folders are rarely nested deeper. Beyond it, what runs in circles is left out before its paths grow further.
+_DEEP = 64
+
+
+def _ending_at(folders: DataFrame, root: str, limit: int) -> DataFrame:
+    """``id`` of the folders from which parents lead to ``root``, without their paths."""
+    climbing = folders.filter(F.col("id") != root).select("id", F.col("parent_id").alias("top"))
+    reach = 1
+    while reach <= limit:
+        above = climbing.select(F.col("id").alias("top"), F.col("top").alias("next_top"))
+        climbing = truncate_lineage(
+            climbing.join(above, "top", "left").select("id", F.coalesce("next_top", "top").alias("top"))
+        )
+        reach *= 2
+    return climbing.filter(F.col("top") == root).select("id")
+
+
 def folder_paths(folders: DataFrame, root: str) -> DataFrame:
     """``id`` and ``path`` (names joined by ``/``) of ``root`` and every folder below it.
 
@@ -79,6 +96,8 @@ def folder_paths(folders: DataFrame, root: str) -> DataFrame:
         if climbing.filter("climbed").isEmpty():
             break
         climbing = climbing.drop("climbed")
+        if reach == _DEEP:
+            climbing = truncate_lineage(climbing.join(_ending_at(folders, root, limit), "id", "left_semi"))
     start = spark.createDataFrame([(root, "")], "id string, path string")
     return start.unionByName(climbing.filter(F.col("top") == root).select("id", "path"))
 

@@ -83,3 +83,17 @@ def test_library_folder(spark):
     rows = spark.createDataFrame([(v,) for v in values], "p string")
     got = {r.p: r.f for r in rows.select("p", manifest.library_folder(F.col("p")).alias("f")).collect()}
     assert got == values
+
+
+def test_circles_of_folders_keep_short_paths(spark):
+    circle = [(f"c{i}", f"c{(i + 1) % 150}", "n" * 100) for i in range(150)]
+    chain = [("d0", "root", "d")] + [(f"d{i}", f"d{i - 1}", "d") for i in range(1, 100)]
+    df = spark.createDataFrame(circle + chain, "id string, parent_id string, name string")
+    found = {r.id: r.path for r in manifest.folder_paths(df, "root").collect()}
+    assert set(found) == {"root", *(i for i, _, _ in chain)}
+    assert found["d99"] == "/".join(["d"] * 100)
+
+
+def test_items_without_type_are_planned(spark):
+    items = spark.createDataFrame([("1", "root", "a.txt", None)], "id string, parent_id string, name string, mime string")
+    assert [(r.name, r.action) for r in manifest.plan_drive(items, "root").collect()] == [("a.txt", "download")]
