@@ -111,14 +111,25 @@ def repeated_spans(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     ).distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40) -> DataFrame:
+def _passages(repeated: str, min_words: int) -> str:
+    """SQL: those of the repeated lines that stand in runs of two physical lines or more, or of ``min_words`` words."""
+    r = repeated
+    starts = f"filter({r}, (x, i) -> i = 0 or {r}[i - 1] <> x - 1)"
+    ends = f"filter({r}, (x, i) -> i = size({r}) - 1 or {r}[i + 1] <> x + 1)"
+    runs = f"zip_with({starts}, {ends}, (s, e) -> named_struct('s', s, 'e', e))"
+    text = "trim(' \\n\\r\\t', array_join(slice(lines, p.s + 1, p.e - p.s + 1), ''))"
+    long = rf"({text} rlike '\\n\\s*\\S' or size(split({text}, '\\s+')) >= {int(min_words)})"
+    return f"flatten(transform(filter({runs}, p -> {long}), p -> sequence(p.s, p.e)))"
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_words: int = 30) -> DataFrame:
     """``docs`` with ``text`` freed of repeated passages, and ``lines``, ``removed_lines`` and ``removed_chars``.
 
     Every row stays, with all its columns; a text without repeats stays as it is (a null text, null), and a document
     all of whose lines repeat earlier ones gets an empty text. Of equal passages the first stays, by doc_id, then hash
     of the text, then place; a null doc_id comes first. Rows equal in doc_id and text count once and are treated alike,
-    so a table row that is repeated keeps its text.
-    Single lines are no passage. Columns of the input named as the three counts are replaced.
+    so a table row that is repeated keeps its text. A passage spans two physical lines or more, or holds ``min_words``
+    words: single lines, and a few sentences of one, stay however often they occur. Columns of the input named as the three counts are replaced.
     """
     docs = docs.drop("lines", "removed_lines", "removed_chars")
     spans = staged(repeated_spans(docs, min_chars), "spans")
@@ -165,7 +176,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     )
     out = (
         rows.join(found, F.expr("doc_id <=> a_doc and version = a_version"), "left")
-        .select("row", "lines", repeated.alias("gone"))
+        .select("row", "lines", F.array_sort(repeated).alias("repeated"))
+        .select("row", "lines", F.expr(_passages("repeated", min_words)).alias("gone"))
         .select("row", "lines", "gone", cleaned.alias("text"))
     )
     kept = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]

@@ -20,7 +20,22 @@ def units(text):
     return re.split(r"(?<=\n)|(?<=[.!?] )", text or "")
 
 
-def plain(docs, min_chars=40):
+def passages(lines, gone, min_words):
+    """The repeated lines that stand in runs of two physical lines or of enough words."""
+    out, gone = set(), sorted(gone)
+    for k, i in enumerate(gone):
+        if k and gone[k - 1] == i - 1:
+            continue
+        run = [i]
+        while run[-1] + 1 in gone:
+            run.append(run[-1] + 1)
+        text = "".join(lines[x] for x in run).strip(" \n\r\t")
+        if re.search(r"\n\s*\S", text) or len(text.split()) >= min_words:
+            out.update(run)
+    return out
+
+
+def plain(docs, min_chars=40, min_words=30):
     """The operator's rules in plain Python: doc_id to text."""
     docs = sorted({(i, t or "") for i, t in docs}, key=lambda x: (x[0], signed(line_hash(x[1]))))
     parsed = []
@@ -55,7 +70,7 @@ def plain(docs, min_chars=40):
             right = same(bare[e : at(cuts, k + 3)], other[fe : at(fc, j + 3)], at(cuts, k + 2) - e, at(fc, j + 2) - fe)
             gone.setdefault(d, set()).update(range(s - left, e + right))
     return {
-        (i, text): "".join(u for k, u in enumerate(lines) if k not in gone.get(d, ()))
+        (i, text): "".join(u for k, u in enumerate(lines) if k not in passages(lines, gone.get(d, ()), min_words))
         for d, (i, text, lines, _, _) in enumerate(parsed)
     }
 
@@ -87,6 +102,12 @@ def test_passages_go_and_the_rest_stays(spark):
     assert out[7] == "Something else here! "
 
 
+def test_short_repeats_on_one_line_stay(spark):
+    short = "This is what every page says. It says so at the end."
+    texts = ["\n".join([*sentences(f"own{i}", 8), short]) for i in range(5)]
+    assert [r.text for r in dedup_lines(documents(spark, texts)).orderBy("doc_id").collect()] == texts
+
+
 def test_odd_rows(spark):
     copy = "\n".join(sentences("copy", 9))
     rows = [(1, copy), (2, copy), (2, copy), (None, None), (3, ""), (4, None), (5, "\n\n\n\n"), (6, "one line"), (7, "same.\n" * 300), (9, copy)]
