@@ -47,13 +47,13 @@ def get_document(meta: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFra
 
     A document without chunks has one row with null chunk columns; one without metadata has none (not found).
     Filter either input by document first: the filter reaches the scan. An outer join could not split the chunks of a
-    document that holds most of them, so the two cases are joined apart: chunks with metadata, which can, and metadata
-    without chunks, for which the chunk keys shrink to one per document.
+    document that holds most of them, so the two cases stand apart: chunks with metadata, joined so that they can be
+    split, and metadata that counts no chunks, which needs none of them.
     """
     details = ["chunk_id", "chunk_index", "page", "char_count"]
     summaries = chunks.select(*keys, *details, preview(F.col("text")).alias("text_preview"))
     described = summaries.join(meta, keys).select(*meta.columns, *details, "text_preview")
-    bare = meta.join(chunks.select(*keys).distinct(), keys, "left_anti")
+    bare = meta.filter(F.coalesce("total_chunks", F.lit(0)) == 0)
     return described.unionByName(bare, allowMissingColumns=True)
 
 
