@@ -52,6 +52,7 @@ def compact(store: Store) -> None:
         if store.exists(table):
             _drop_versions(store, table, gone)
     store.drop_partitions("deleted", done.select("client_id", "run_id").distinct())
+    store.remove(path)
 
 
 def _drop_versions(store: Store, table: str, gone: DataFrame) -> None:

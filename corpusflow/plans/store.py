@@ -22,6 +22,8 @@ DOCUMENT_KEY = ["client_id", "rel_path"]
 # a row group at once; both are bounded by looking at every row and closing row groups early.
 WIDE_ROWS = {"parquet.block.size": str(64 << 20), "parquet.block.size.row.check.min": "1"}
 
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
 # Tables that hold rows of documents, and change when one is deleted.
 DOCUMENT_TABLES = ("raw_files", "documents", "chunks", "vectors", "document_meta")
 
@@ -76,13 +78,22 @@ class Store:
         return fs.exists(path) and any(s.isDirectory() for s in fs.listStatus(path))
 
     def write(self, table: str, rows: DataFrame, partitions: tuple[str, ...] = ("client_id", "run_id")) -> None:
-        """Replaces the partitions that ``rows`` falls into; others stay."""
-        (
-            rows.write.mode("overwrite")
-            .options(partitionOverwriteMode="dynamic", **WIDE_ROWS)
-            .partitionBy(*partitions)
-            .parquet(self.path(table))
-        )
+        """Replaces the partitions that ``rows`` falls into; others stay.
+
+        A run writes a handful of partitions, so that each can have its open file, and rows that may hold whole files
+        need not be sorted by partition first.
+        """
+        kept = self.spark.conf.get(_WRITERS)
+        self.spark.conf.set(_WRITERS, "8")
+        try:
+            (
+                rows.write.mode("overwrite")
+                .options(partitionOverwriteMode="dynamic", **WIDE_ROWS)
+                .partitionBy(*partitions)
+                .parquet(self.path(table))
+            )
+        finally:
+            self.spark.conf.set(_WRITERS, kept)
 
     def append(self, table: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.path(table))
@@ -120,17 +131,24 @@ class Store:
 
         Both may read the table they change, so both are staged first.
         """
-        listed = self._stage(f"affected-{table}", affected.select(*partitions).distinct())
-        staged = self._stage(f"rewrite-{table}", kept)
+        names, copy = scratch_path(self.spark, f"affected-{table}"), scratch_path(self.spark, f"rewrite-{table}")
+        listed = self._stage(names, affected.select(*partitions).distinct())
+        staged = self._stage(copy, kept)
         self.write(table, staged, partitions)
         emptied = listed.join(staged.select(*partitions).distinct(), list(partitions), "left_anti")
         self.drop_partitions(table, emptied)
+        self.remove(names)
+        self.remove(copy)
 
-    def _stage(self, label: str, rows: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, label)
+    def _stage(self, path: str, rows: DataFrame) -> DataFrame:
         rows.write.options(**WIDE_ROWS).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def remove(self, path: str) -> None:
+        """Deletes a staged copy that has served."""
+        where = self._jpath(path)
+        where.getFileSystem(self._hadoop()).delete(where, True)
+
     def drop_partitions(self, table: str, listed: DataFrame) -> None:
         """Removes the folders of the partitions in ``listed``, a row for each."""
         for row in listed.toLocalIterator():
