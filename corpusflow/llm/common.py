@@ -27,7 +27,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``staged`` table once all that is made from it has been stored."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_python(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import staged, text_or_empty
+from corpusflow.llm.common import discard, staged, text_or_empty
 
 _TRIMMED = "rtrim(' \\n\\r\\t', {})"
 _LINES = r"split(coalesce(text, ''), '(?<=\\n)|(?<=[.!?] )', -1)"
@@ -42,6 +42,8 @@ def line_chunks(docs: DataFrame, min_chars: int = 40) -> DataFrame:
         "doc_id",
         "version",
         "h",
+        # Half of each hash is enough to see which neighbouring lines agree: bytes decide later.
+        F.expr("transform(h, x -> cast(x & 2147483647 as int))").alias("short"),
         "chars",
         F.expr(
             "filter(sequence(0, size(h) - 1), i -> i = 0 or"
@@ -57,9 +59,9 @@ def line_chunks(docs: DataFrame, min_chars: int = 40) -> DataFrame:
                 'n', coalesce(get(b, k + 1), size(h)) - s,
                 'key', xxhash64(slice(h, s + 1, coalesce(get(b, k + 1), size(h)) - s)),
                 'key2', hash(slice(h, s + 1, coalesce(get(b, k + 1), size(h)) - s)),
-                'before', reverse(slice(h, coalesce(get(b, k - 2), 0) + 1, s - coalesce(get(b, k - 2), 0))),
+                'before', reverse(slice(short, coalesce(get(b, k - 2), 0) + 1, s - coalesce(get(b, k - 2), 0))),
                 'n_before', s - coalesce(get(b, k - 1), 0),
-                'after', slice(h, coalesce(get(b, k + 1), size(h)) + 1,
+                'after', slice(short, coalesce(get(b, k + 1), size(h)) + 1,
                     coalesce(get(b, k + 3), size(h)) - coalesce(get(b, k + 1), size(h))),
                 'n_after', coalesce(get(b, k + 2), size(h)) - coalesce(get(b, k + 1), size(h)),
                 'filled', filter(slice(chars, s + 1, coalesce(get(b, k + 1), size(h)) - s), c -> c > 0)
@@ -90,12 +92,12 @@ def repeated_spans(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     ``f.doc_id, f.version, f_start``. The first occurrence is the one with the least (doc_id, version, start).
     """
     chunks = staged(line_chunks(docs, min_chars), "chunks")
+    times = chunks.groupBy("key", "key2").agg(F.count("*").alias("times")).filter("times > 1").select("key", "key2")
+    repeated = staged(chunks.join(staged(times, "keys"), ["key", "key2"]), "repeated")
+    discard(chunks)
     where = "struct(doc_id, version, start, before, n_before, after, n_after)"
-    first = staged(
-        chunks.groupBy("key", "key2").agg(F.count("*").alias("times"), F.min(F.expr(where)).alias("f")).filter("times > 1"),
-        "firsts",
-    )
-    hits = chunks.join(first, ["key", "key2"]).filter(
+    first = staged(repeated.groupBy("key", "key2").agg(F.min(F.expr(where)).alias("f")), "firsts")
+    hits = repeated.join(first, ["key", "key2"]).filter(
         "not (doc_id <=> f.doc_id and version = f.version and start = f.start)"
     )
     grown = hits.withColumn("left", F.expr(_same_lines("before"))).withColumn(
