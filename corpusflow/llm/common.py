@@ -91,8 +91,11 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def text_batches(texts: list[str], limit: int = 1 << 22):
-    """Index ranges of consecutive texts of about ``limit`` characters, a longer text by itself."""
+def text_batches(texts: list[str], limit: int = 1 << 20):
+    """Index ranges of consecutive texts of about ``limit`` characters, a longer text by itself.
+
+    Hashing words takes some fifty bytes a character while it lasts.
+    """
     first, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > limit:
@@ -106,7 +109,7 @@ def text_batches(texts: list[str], limit: int = 1 << 22):
 def map_texts(describe):
     """A function for ``mapInArrow``: replaces ``text`` by the columns that ``describe`` makes from a list of texts.
 
-    Null texts count as empty. Texts come in groups of a few million characters, whatever the size of the batch.
+    Null texts count as empty. Texts come in groups of about a million characters, whatever the size of the batch.
     """
 
     def run(batches):
