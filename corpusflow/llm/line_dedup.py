@@ -17,19 +17,36 @@ _TRIMMED = "rtrim(' \\n\\r\\t', {})"
 _LINES = r"split(coalesce(text, ''), '(?<=\\n)|(?<=[.!?] )', -1)"
 
 
-def line_chunks(docs: DataFrame, min_chars: int = 40) -> DataFrame:
-    """A row per chunk of two or more lines that are not blank, and of ``min_chars`` characters or more.
+def _enough(total: str, min_chars: int) -> str:
+    """SQL: whether lines of this total (as in ``line_chunks``) are two that are not blank, or one of many words."""
+    return f"(shiftright({total}, 40) >= 2 and {total} % {1 << 40} >= {int(min_chars)})"
+
+
+def line_chunks(docs: DataFrame, min_chars: int = 40, min_words: int = 30) -> DataFrame:
+    """A row per chunk, taken together with as many chunks after it as give two lines that are not blank (or one of
+    ``min_words`` words) and ``min_chars`` characters. The last such chunk of a text is also taken with all that follows.
 
     ``doc_id, version`` (hash of the text), ``start`` and ``n`` (lines, from 0), ``key`` and ``key2`` (hashes of the
-    chunk), ``before`` and ``after`` (line hashes of the two neighbouring chunks on either side, nearest line first),
-    ``n_before`` and ``n_after`` (lines of the nearest one).
+    lines), ``before`` and ``after`` (line hashes of the two neighbouring chunks on either side or of the next row's
+    lines, nearest line first), ``n_before`` (lines of the nearest chunk), ``n_after`` (lines of the row that begins
+    there; null if none does).
     """
-    lines = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("version"), F.expr(_LINES).alias("lines"))
+    words, least = int(min_words), 2 * int(min_words) - 1
+    many = rf"u rlike '^\\s*+(?:\\S++\\s++){{{words - 1}}}\\S'"
+    lines = docs.select(
+        "doc_id",
+        F.xxhash64(text_or_empty()).alias("version"),
+        F.expr(f"transform({_LINES}, u -> {_TRIMMED.format('u')})").alias("lines"),
+    )
     hashed = lines.select(
         "doc_id",
         "version",
-        F.expr(f"transform(lines, u -> xxhash64({_TRIMMED.format('u')}))").alias("h"),
-        F.expr(f"transform(lines, u -> length({_TRIMMED.format('u')}))").alias("chars"),
+        F.expr("transform(lines, u -> xxhash64(u))").alias("h"),
+        # Characters, and above 40 bits the lines that are not blank; one of many words counts as two.
+        F.expr(
+            f"transform(lines, u -> length(u) + case when u = '' then 0L when length(u) >= {least} and {many}"
+            f" then {2 << 40} else {1 << 40} end)"
+        ).alias("filled"),
     )
     rolled = hashed.select(
         "*",
@@ -44,40 +61,78 @@ def line_chunks(docs: DataFrame, min_chars: int = 40) -> DataFrame:
         "h",
         # Half of each hash is enough to see which neighbouring lines agree: bytes decide later.
         F.expr("transform(h, x -> cast(x & 2147483647 as int))").alias("short"),
-        "chars",
+        "filled",
         F.expr(
-            "filter(sequence(0, size(h) - 1), i -> i = 0 or"
-            " (i >= 2 and i < size(h) - 1 and r[i] < r[i - 1] and r[i] <= r[i + 1]))"
+            "concat(filter(sequence(0, size(h) - 1), i -> i = 0 or"
+            " (i >= 2 and i < size(h) - 1 and r[i] < r[i - 1] and r[i] <= r[i + 1])), array(size(h)))"
         ).alias("b"),
     )
-    pieces = cut.select(
+    summed = cut.select(
+        "doc_id",
+        "version",
+        "h",
+        "short",
+        "b",
+        F.expr(
+            "transform(sequence(0, size(b) - 2), k ->"
+            " aggregate(slice(filled, b[k] + 1, b[k + 1] - b[k]), 0L, (a, x) -> a + x))"
+        ).alias("c"),
+    )
+
+    def taken(chunks: int) -> str:
+        return (
+            f"aggregate(slice(c, k + 1, {chunks}), named_struct('sum', 0L, 'n', 0), (a, y) ->"
+            f" if({_enough('a.sum', min_chars)}, a, named_struct('sum', a.sum + y, 'n', a.n + 1)),"
+            f" a -> if({_enough('a.sum', min_chars)}, a.n, null))"
+        )
+
+    # Of two neighbouring chunks one has a line that is not blank, as no boundary falls between blank lines: these are
+    # all the chunks that may be needed.
+    most = 2 * max(int(min_chars), 2)
+    joined = summed.select(
+        "*",
+        F.expr(
+            f"transform(c, (x, k) -> if({_enough('x', min_chars)}, 1, coalesce({taken(4)}, {taken(most)})))"
+        ).alias("w"),
+    )
+    whole = joined.select(
+        "*",
+        F.expr(
+            "filter(transform(w, (m, k) -> named_struct('k', k, 'e', k + m)), p -> p.e is not null)"
+        ).alias("p"),
+    )
+    ended = whole.select(
+        "*",
+        F.expr(
+            "if(get(p, size(p) - 1).e < size(c),"
+            " array_append(p, named_struct('k', get(p, size(p) - 1).k, 'e', size(c))), p)"
+        ).alias("q"),
+    )
+    return ended.select(
         "doc_id",
         "version",
         F.expr(
-            """inline(filter(transform(b, (s, k) -> named_struct(
-                'start', s,
-                'n', coalesce(get(b, k + 1), size(h)) - s,
-                'key', xxhash64(slice(h, s + 1, coalesce(get(b, k + 1), size(h)) - s)),
-                'key2', hash(slice(h, s + 1, coalesce(get(b, k + 1), size(h)) - s)),
-                'before', reverse(slice(short, coalesce(get(b, k - 2), 0) + 1, s - coalesce(get(b, k - 2), 0))),
-                'n_before', s - coalesce(get(b, k - 1), 0),
-                'after', slice(short, coalesce(get(b, k + 1), size(h)) + 1,
-                    coalesce(get(b, k + 3), size(h)) - coalesce(get(b, k + 1), size(h))),
-                'n_after', coalesce(get(b, k + 2), size(h)) - coalesce(get(b, k + 1), size(h)),
-                'filled', filter(slice(chars, s + 1, coalesce(get(b, k + 1), size(h)) - s), c -> c > 0)
-            )), p -> size(p.filled) >= 2 and aggregate(p.filled, 0, (a, c) -> a + c) >= """
-            + str(int(min_chars))
-            + "))"
+            """inline(transform(q, p -> named_struct(
+                'start', b[p.k],
+                'n', b[p.e] - b[p.k],
+                'key', xxhash64(slice(h, b[p.k] + 1, b[p.e] - b[p.k])),
+                'key2', hash(slice(h, b[p.k] + 1, b[p.e] - b[p.k])),
+                'before', reverse(slice(short, b[greatest(p.k - 2, 0)] + 1, b[p.k] - b[greatest(p.k - 2, 0)])),
+                'n_before', b[p.k] - b[greatest(p.k - 1, 0)],
+                'after', slice(short, b[p.e] + 1,
+                    b[least(greatest(p.e + 2, p.e + coalesce(get(w, p.e), size(c))), size(c))] - b[p.e]),
+                'n_after', b[p.e + get(w, p.e)] - b[p.e]
+            )))"""
         ),
     )
-    return pieces.drop("filled")
 
 
 def _same_lines(side: str) -> str:
     """SQL: how many lines next to a chunk agree with those next to its first occurrence.
 
-    0 where the whole neighbouring chunks agree, as those are found by themselves. Boundaries depend on the lines around
-    them, so that inside a passage they differ within two chunks of its ends at most.
+    0 where all lines of the neighbouring chunk (on the right, of the row that begins there) agree, as those are found by
+    themselves. Boundaries depend on the lines around them, so that inside a passage they differ within two chunks of its
+    ends at most.
     """
     agree = (
         f"transform(sequence(0, least(size({side}), size(f.{side}))),"
@@ -87,11 +142,11 @@ def _same_lines(side: str) -> str:
     return f"if(n_{side} = f.n_{side} and {lines} >= n_{side}, 0, {lines})"
 
 
-def repeated_spans(docs: DataFrame, min_chars: int = 40) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_chars: int = 40, min_words: int = 30) -> DataFrame:
     """Spans of lines that repeat an earlier occurrence: ``doc_id, version, start, n`` and that occurrence's
     ``f.doc_id, f.version, f_start``. The first occurrence is the one with the least (doc_id, version, start).
     """
-    chunks = staged(line_chunks(docs, min_chars), "chunks")
+    chunks = staged(line_chunks(docs, min_chars, min_words), "chunks")
     times = chunks.groupBy("key", "key2").agg(F.count("*").alias("times")).filter("times > 1").select("key", "key2")
     repeated = staged(chunks.join(staged(times, "keys"), ["key", "key2"]), "repeated")
     discard(chunks)
@@ -134,7 +189,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_words: int = 30) -> Da
     words: single lines, and a few sentences of one, stay however often they occur. Columns of the input named as the three counts are replaced.
     """
     docs = docs.drop("lines", "removed_lines", "removed_chars")
-    spans = staged(repeated_spans(docs, min_chars), "spans")
+    spans = staged(repeated_spans(docs, min_chars, min_words), "spans")
     versions = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("version"), F.expr(_LINES).alias("lines"))
     asked = (
         spans.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.version").alias("version"))

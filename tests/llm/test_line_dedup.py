@@ -121,3 +121,43 @@ def test_odd_rows(spark):
         (5, "\n\n\n\n", 0), (6, "one line", 0), (7, "same.\n" * 300, 0),
     }
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_copies_of_short_or_blank_separated_lines_go(spark):
+    short = "\n".join(f"{chr(97 + k % 26)}{k}" for k in range(60))
+    spaced = "\n\n".join(f"Line {k} of {k * k}." for k in range(40)) + "\n\n\nEnd.\n"
+    shouted = " ".join(f"W{k}!!" for k in range(150))
+    long = " ".join(f"word{k}" for k in range(35))
+    few = "Too short. Stays."
+    copies = [short, spaced, shouted, long]
+    rows = [(i, t) for i, t in enumerate(copies * 2)] + [(8, few), (9, few)]
+    got = {r.doc_id: r.text for r in dedup_lines(documents(spark, rows)).collect()}
+    assert got == {i: t for i, t in enumerate(copies)} | {4: "", 5: "", 6: "", 7: "", 8: few, 9: few}
+
+
+def test_short_lines_inside_a_longer_passage_go(spark):
+    passages = [
+        "\n".join(f"{x}\n" if len(x) < 12 else x for k in range(14) for x in (f"p{n} {k}.", *sentences(f"shared{n}", k + 1)[k:]))
+        for n in range(20)
+    ]
+    texts = [
+        "\n".join([*sentences(f"own{i}x{n}", 5), passage, *sentences(f"end{i}x{n}", 5)])
+        for i in range(2)
+        for n, passage in enumerate(passages)
+    ]
+    out = {r.doc_id: r.text for r in dedup_lines(documents(spark, texts)).collect()}
+    for n in range(20):
+        assert out[n] == texts[n]
+        assert out[20 + n] == "\n".join([*sentences(f"own1x{n}", 5), *sentences(f"end1x{n}", 5)])
+
+
+@needs_tables
+def test_exact_copies_of_the_table_end_empty(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    seen, copies = set(), set()
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        if r.text in seen and len(r.text or "") >= 40:
+            copies.add(r.doc_id)
+        seen.add(r.text)
+    left = {r.doc_id: r.text for r in dedup_lines(docs).collect() if r.doc_id in copies and r.text}
+    assert copies and not left
