@@ -2,7 +2,8 @@
 
 Every piece of text of a page belongs to the path of tags from the root to it. Per path, the characters and the punctuation
 marks per piece are averaged, smoothed over the order in which paths appear, and fused into one weight. Paths of menus,
-notices and the like weigh nothing. The content is the subtree that holds nearly all of the weight, less such paths.
+notices and the like weigh nothing. The content is the subtree that holds nearly all of the weight, less such paths and
+lists of links. An article tag makes what stands in it heavier, and no more.
 """
 
 from __future__ import annotations
@@ -55,6 +56,9 @@ _CLOSE_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section"
     " table ul".split()
 )
+_LINK = re.compile(r"/a(?:\.[^/]*)?(?:/|$)")
+#: How much heavier text counts inside an article tag.
+_ARTICLE = 3
 _MARK = re.compile(r"[.,;:!?…。，、]")
 
 
@@ -123,23 +127,55 @@ def text_pieces(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
 
 
 def path_weights(pieces: list[tuple[str, str, bool, bool, bool]]) -> dict[str, float]:
-    """A weight per path: smoothed characters per piece times the share of smoothed punctuation, 0 outside."""
+    """A weight per path: smoothed characters per piece times the share of smoothed punctuation, 0 outside, and 0 for the
+    lighter of the two where some text stands inside article tags and some does not.
+    """
     sums: dict[str, list[float]] = {}
     for path, text, outside, inside, _ in pieces:
         if stripped := text.strip():
-            own = sums.setdefault(path, [0.0, 0.0, 0.0, 0.0 if outside else 1.0, 1.0])
+            own = sums.setdefault(path, [0.0, 0.0, 0.0, 0.0 if outside else 1.0, False])
             own[0] += len(stripped)
             own[1] += len(_MARK.findall(stripped))
             own[2] += 1
-            own[4] = 8.0 if inside else own[4]
+            own[4] = own[4] or inside
     ratios = [(s[0] / s[2], s[1] / s[2]) for s in sums.values()]
     out = {}
     for i, (path, s) in enumerate(sums.items()):
         near = [(math.exp(-((k - i) ** 2) / 2), *ratios[k]) for k in range(max(0, i - 2), min(len(ratios), i + 3))]
         total = sum(w for w, _, _ in near)
         chars, marks = (sum(w * x[j] for w, *x in near) / total for j in (0, 1))
-        out[path] = s[3] * s[4] * math.log1p(chars) * (1 + math.log1p(marks)) * s[0]
-    return out
+        out[path] = s[3] * math.log1p(chars) * (1 + math.log1p(marks)) * s[0]
+    # Text inside article tags and text outside of them are different stories. The heavier one is the content; the tags
+    # treble a weight.
+    tagged = sum(w for p, w in out.items() if sums[p][4])
+    article = _ARTICLE * tagged >= sum(out.values()) - tagged and tagged > 0
+    return {p: w if sums[p][4] == article else 0.0 for p, w in out.items()}
+
+
+def _below(values: dict[str, float]) -> dict[str, float]:
+    """The sum of values of each subtree."""
+    inside: dict[str, float] = {}
+    for path, value in values.items():
+        for m in re.finditer(r"/|$", path):
+            if m.start():
+                inside[path[: m.start()]] = inside.get(path[: m.start()], 0) + value
+    return inside
+
+
+def _link_lists(pieces: list[tuple[str, str, bool, bool, bool]], weights: dict[str, float], root: str) -> set[str]:
+    """Subtrees below ``root`` that are links by half and weigh less per character than its other text."""
+    chars: dict[str, float] = {}
+    for path, text, *_ in pieces:
+        if weights.get(path):
+            chars[path] = chars.get(path, 0) + len(text.strip())
+    size, weight = _below(chars), _below({p: w for p, w in weights.items() if w})
+    links = _below({p: n for p, n in chars.items() if _LINK.search(p)})
+    all_weight, all_size = weight.get(root, sum(weights.values())), size.get(root, sum(chars.values()))
+    return {
+        p
+        for p, n in links.items()
+        if p.startswith(f"{root}/") and not _leaf_of_block(p) and 2 * n >= size[p] and weight[p] * (all_size - size[p]) < (all_weight - weight[p]) * size[p]
+    }
 
 
 def main_text(page: str, share: float = 0.9) -> str:
@@ -149,21 +185,19 @@ def main_text(page: str, share: float = 0.9) -> str:
     total = sum(weights.values())
     if not total:
         return ""
-    inside: dict[str, float] = {}
-    for path, weight in weights.items():
-        for m in re.finditer(r"/|$", path):
-            if m.start():
-                inside[path[: m.start()]] = inside.get(path[: m.start()], 0) + weight
+    inside = _below(weights)
     # The deepest subtree that holds the share; of one path through the tree, as any other holds less than half.
     root = max((p for p, w in inside.items() if w >= share * total), key=lambda p: p.count("/"), default="")
     while root and _leaf_of_block(root):
         root = root.rpartition("/")[0]
-    articles = any(i and weights.get(p) for p, _, o, i, _ in pieces if not o)
+    gone = _link_lists(pieces, weights, root)
+    listed = {p: any(p == g or p.startswith(f"{g}/") for g in gone) for p in weights} if gone else {}
     blocks: list[str] = []
-    for path, text, outside, article, begins in pieces:
+    for path, text, outside, _, begins in pieces:
         if begins or not blocks:
             blocks.append("")
-        kept = article if articles else path == root or path.startswith(f"{root}/")
+        # Blank text has no weight of its own and goes with the blocks around it.
+        kept = (path == root or path.startswith(f"{root}/")) and weights.get(path, 1) and not listed.get(path)
         if kept and not outside:
             blocks[-1] += text
     return " ".join(" ".join(b.split()) for b in blocks if b.strip())

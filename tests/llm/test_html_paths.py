@@ -39,3 +39,23 @@ def test_odd_rows(spark):
     got = sorted((str(r.page_id), r.text) for r in extract_main_text(pages).collect())
     assert got == [("1", ""), ("2", ""), ("4", "<" * 5000), ("5", ""), ("5", "deep, text"), ("None", "Text, here.")]
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+STORY = "".join(f"<p>Paragraph {k} tells, at length, of what came to pass; of who was there, and of why it went on so.</p>" for k in range(9))
+
+
+def told(page):
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", page)).split())
+
+
+def test_teasers_in_article_tags_are_no_story():
+    teasers = "".join(f"<article class=card><h3>Teaser {k}</h3><p>Read about it, now.</p></article>" for k in range(6))
+    page = f"<body><div class=text><h1>Head</h1>{STORY}</div><div class=more>{teasers}</div></body>"
+    assert main_text(page) == told(f"<h1>Head</h1>{STORY}")
+
+
+def test_link_lists_inside_main_go_and_plain_lists_stay():
+    links = "<div class=others><ul>" + "".join(f"<li><a href=x>Other page {k}</a></li>" for k in range(12)) + "</ul></div>"
+    steps = "<ul>" + "".join(f"<li>{k} eggs</li>" for k in range(5)) + "</ul>"
+    page = f"<body><main><h1>Head</h1>{links}{STORY}{steps}</main><div>Elsewhere, this and that.</div></body>"
+    assert main_text(page) == told(f"<h1>Head</h1>{STORY}{steps}")
