@@ -33,7 +33,7 @@ _INLINE = frozenset(
     " label img".split()
 )
 #: Tags whose text is no part of an article, wherever they stand.
-_OUTSIDE = frozenset("nav header footer aside form button select option menu dialog head fieldset input object".split())
+_OUTSIDE = frozenset("nav header footer aside button select option menu dialog head fieldset input object".split())
 #: Words in class, id, role or label that mark such parts.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu"
@@ -57,40 +57,81 @@ _CLOSE_P = frozenset(
     " table ul".split()
 )
 _LINK = re.compile(r"/a(?:\.[^/]*)?(?:/|$)")
+_SHARE = 0.9
 #: How much heavier text counts inside an article tag.
 _ARTICLE = 3
 _MARK = re.compile(r"[.,;:!?…。，、]")
 
 
 class _Node:
-    __slots__ = ("content", "name", "outside", "path")
+    __slots__ = ("above", "marks", "name", "outside", "path")
 
-    def __init__(self, name: str, path: str, outside: bool, content: bool):
-        self.name, self.path, self.outside, self.content = name, path, outside, content
+    def __init__(self, name: str, path: str, outside: bool, marks: tuple[str, ...], above: tuple[str, ...] | None):
+        self.name, self.path, self.outside, self.marks, self.above = name, path, outside, marks, above
 
 
 def _opened(name: str, attributes: str, parent: _Node) -> _Node:
-    words, outside, content = [], name in _OUTSIDE, name in ("article", "main")
+    words, marked, content = [], name == "form", name in ("article", "main")
     for m in _ATTRIBUTE.finditer(attributes) if "=" in attributes else ():
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() in ("class", "id"):
             words.append(value)
         content = content or any(v in _CONTENT for v in value.split())
-        outside = outside or any(p in _MARKS for v in value.split() for p in (v, *re.split(r"[-_]+", v)))
+        marked = marked or any(p in _MARKS for v in value.split() for p in (v, *re.split(r"[-_]+", v)))
     if name in ("html", "body", "article", "main"):
-        outside = name in _OUTSIDE
-    label = name + "".join(f".{w}" for w in words)
-    return _Node(name, f"{parent.path}/{label}", parent.outside or outside, content)
+        marked = False
+    path = f"{parent.path}/{name}" + "".join(f".{w}" for w in words)
+    above = parent.marks if content and parent.above is None else parent.above
+    marks = (*parent.marks, path) if marked else parent.marks
+    return _Node(name, path, parent.outside or name in _OUTSIDE, marks, above)
 
 
 def text_pieces(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
-    """``path, text, outside, inside an article, begins a block`` of each piece of text, in page order."""
-    root = _Node("", "", False, False)
-    stack, at, block, articles = [root], 0, True, 0
+    """``path, text, outside, inside an article, begins a block`` of each piece of text, in page order.
+
+    A part that words or a form mark is outside, unless it is a wrapper: it holds half of the page's text, and half of the
+    text inside article tags, or nearly all of the text that is not marked elsewhere where there are no such tags.
+    """
+    pieces = list(_marked_pieces(page))
+    every = tagged = free = 0
+    below: dict[str, list[int]] = {}  # all text, text inside articles, text that no mark within is around
+    outer: dict[str, str] = {}
+    for _, text, outside, marks, above, _ in pieces:
+        size = 0 if outside else len(text.strip())
+        every += size
+        free += 0 if marks else size
+        tagged += 0 if above is None else size
+        for i, m in enumerate(marks):
+            if m not in below:
+                below[m] = [0, 0, 0]
+                outer[m] = marks[i - 1] if i else ""
+        if marks:
+            below[marks[-1]][0] += size
+            below[marks[-1]][2] += size
+        if above:
+            below[above[-1]][1] += size
+    lifted = set()
+    for m in sorted(below, key=len, reverse=True):
+        size, inside, own = below[m]
+        near = 2 * inside >= tagged if tagged else own >= _SHARE * (free + own)
+        if size and 2 * size >= every and near:
+            lifted.add(m)
+        if o := outer[m]:
+            below[o][0] += size
+            below[o][1] += inside
+            below[o][2] += own if m in lifted else 0
+    for path, text, outside, marks, above, begins in pieces:
+        yield path, text, outside or not lifted.issuperset(marks), above is not None, begins
+
+
+def _marked_pieces(page: str) -> Iterator[tuple[str, str, bool, tuple[str, ...], tuple[str, ...] | None, bool]]:
+    """As ``text_pieces``, with the paths of the marked parts around a piece, and of those around the article it is in."""
+    root = _Node("", "", False, (), None)
+    stack, at, block = [root], 0, True
 
     def pieces(upto: int):
         if upto > at:
-            yield stack[-1].path, references.unescape(page[at:upto]), stack[-1].outside, articles > 0, block
+            yield stack[-1].path, references.unescape(page[at:upto]), stack[-1].outside, stack[-1].marks, stack[-1].above, block
 
     for m in _TOKEN.finditer(page):
         for piece in pieces(m.start()):
@@ -105,7 +146,6 @@ def text_pieces(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
         if m["close"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
-                    articles -= sum(n.content for n in stack[k:])
                     del stack[k:]
                     break
                 if stack[k].name in ("table", "article", "main", "body") and name in ("p", "li", "td", "th", "tr", "dd", "dt"):
@@ -115,14 +155,12 @@ def text_pieces(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
         if closes:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name in closes:
-                    articles -= sum(n.content for n in stack[k:])
                     del stack[k:]
                     break
                 if stack[k].name not in _INLINE and stack[k].name not in ("p", *closes):
                     break
         if name not in _VOID and not m["attributes"].rstrip().endswith("/"):
             stack.append(_opened(name, m["attributes"], stack[-1]))
-            articles += stack[-1].content
     yield from pieces(len(page))
 
 

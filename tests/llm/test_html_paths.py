@@ -59,3 +59,16 @@ def test_link_lists_inside_main_go_and_plain_lists_stay():
     steps = "<ul>" + "".join(f"<li>{k} eggs</li>" for k in range(5)) + "</ul>"
     page = f"<body><main><h1>Head</h1>{links}{STORY}{steps}</main><div>Elsewhere, this and that.</div></body>"
     assert main_text(page) == told(f"<h1>Head</h1>{STORY}{steps}")
+
+
+def test_wrappers_with_listed_words_keep_their_text():
+    for wrapper in ('<div class="has-sidebar">', '<div id="page-header-fixed">', "<form action=x>"):
+        close = "</form>" if "form" in wrapper else "</div>"
+        for story in (f"<article>{STORY}</article>", f"<div class=story>{STORY}</div>"):
+            page = f"<body>{wrapper}<div class=sidebar><p>Other, news.</p></div>{story}{close}</body>"
+            assert main_text(page) == told(STORY)
+    nested = f'<form><div class="no-sidebar"><div class="search-enabled">{STORY}</div></div></form>'
+    assert main_text(nested) == told(STORY)
+    comments = f"<div class=comments>{STORY}{STORY}</div>"
+    assert main_text(f"<article>{STORY}{comments}</article>") == told(STORY)
+    assert main_text(f"<div class=story>{STORY}</div>{comments}") == told(STORY)
