@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import chat, chosen_path, hilbert_ann, html_paths, line_dedup, mixing, pii, quality, tiling, warc
+from corpusflow.llm import (
+    bag_search,
+    block_naming,
+    chat,
+    chosen_path,
+    fill_middle,
+    hilbert_ann,
+    html_paths,
+    line_dedup,
+    mixing,
+    pii,
+    quality,
+    tiling,
+    warc,
+)
 from corpusflow.llm.common import table
 from corpusflow.session import scratch_path
 
@@ -101,6 +115,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays of each group of equal ones, for every document."""
+    out = block_naming.group_copies(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for every benchmark item."""
+    return bag_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the fill-in-the-middle form of every document and of the text rebuilt from it."""
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = fill_middle.restore(made.withColumn("output_sha256", F.sha2(F.col("output").cast("binary"), 256)))
+    return both.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        "output_sha256",
+        F.sha2(F.col("text").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
@@ -112,6 +152,9 @@ QUERIES: dict[str, Query] = {
     "op8_mix": op8_mix,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 _ESCAPED = r"length({0}) + length({0}) - length(replace({0}, chr(92), '')) + length({0}) - length(replace(replace({0}, '<', ''), '>', ''))"
 
@@ -142,4 +185,73 @@ select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
     case when n >= 1000 and page_id is distinct from top then 'revisit' else 'response' end as record_type,
     case when n >= 1000 and page_id is distinct from top then top end as refers_to
 from latest""",
+    "op11_exact_dedup": r"""
+with bare as (
+    select doc_id, length(coalesce("text", '')) as chars,
+        regexp_replace(coalesce("text", ''), '[\x20\x09-\x0D]+', '', 'g') as body
+    from documents
+), grouped as (
+    select doc_id, first_value(doc_id) over (partition by body order by chars desc, doc_id) as keep_id,
+        count(*) over (partition by body) as group_size, sha256(body) as text_sha256
+    from bare
+)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from grouped""",
+    "op12_ranked_search": r"""
+with words as (
+    select doc_id, unnest(regexp_extract_all("text", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as word
+    from documents
+), counted as (
+    select doc_id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term, count(*) as tf
+    from words group by all
+), sizes as (
+    select doc_id, cast(sum(tf) as bigint) as n from counted group by doc_id
+), totals as (
+    select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as terms from sizes
+), asked as (
+    select distinct item_id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+    from (
+        select item_id, unnest(regexp_extract_all("text", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as word
+        from benchmark
+    )
+), weights as (
+    select term, cast(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+    from counted, totals where term in (select term from asked) group by term
+), scored as (
+    select item_id, doc_id,
+        cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) as bigint) as score
+    from counted join asked using (term) join weights using (term) join sizes using (doc_id), totals
+    group by item_id, doc_id
+), ranked as (
+    select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank,
+        doc_id, score
+    from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 50""",
+    "op13_fill_in_middle": r"""
+with given as (
+    select doc_id, coalesce("text", '') as body, sha256('1:' || doc_id) as h,
+        regexp_extract_all(coalesce("text", ''), '[A-Za-z]+|[^A-Za-z]') as u
+    from documents
+), hashed as (
+    select doc_id, body, u, cast(len(u) as bigint) as n,
+        cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+        cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4
+    from given
+), formed as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high,
+        case when body = '' or contains(body, '<P>') or contains(body, '<S>') or contains(body, '<M>')
+            or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form
+    from hashed
+), parts as (
+    select doc_id, n, form, body, array_to_string(u[1:low], '') as p, array_to_string(u[low + 1:high], '') as m,
+        array_to_string(u[high + 1:n], '') as s
+    from formed
+)
+select doc_id, n, form,
+    case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+    case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+    sha256(case form when 'plain' then body when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+    sha256(body) as restored_sha256
+from parts""",
 }
