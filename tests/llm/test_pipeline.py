@@ -51,7 +51,7 @@ def test_run_and_empty_table(spark, tmp_path):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["op6_chat", "op7_warc"])
+@pytest.mark.parametrize("name", ["op6_chat", "op7_warc", "op11_exact_dedup", "op12_ranked_search", "op13_fill_in_middle"])
 def test_queries_equal_their_sql(spark, name):
     from compare import connect, difference
 
