@@ -46,7 +46,8 @@ def _named(keys: DataFrame, by: list[str]) -> DataFrame:
 def block_names(docs: DataFrame, size: int, keys=block_key, attempts: int = 16) -> tuple[DataFrame, int]:
     """``k1, k2, times, name`` per distinct block, and the attempt whose keys no two blocks share."""
     for attempt in range(attempts):
-        block = docs.select(F.explode(_blocks(without_blanks(), size)).alias("block"))
+        bare = docs.select(without_blanks().alias("_bare"))  # a column of its own: blocks refer to it many times
+        block = bare.select(F.explode(_blocks(F.col("_bare"), size)).alias("block"))
         counted = block.groupBy(*keys(F.col("block"), attempt), "block").agg(F.count("*").alias("times"))
         names = _named(counted.select("k1", "k2", "times"), ["k1", "k2"])
         if names.groupBy("k1", "k2").count().filter("count > 1").isEmpty():
