@@ -17,11 +17,14 @@ def running_total(df: DataFrame, groups: list[str], position: str, value: str, o
     return dense_order(df.dropna(subset=[*groups, position]), groups, [F.col(position)], value, out)
 
 
-def dense_order(df: DataFrame, groups: list[str], order: list[Column], weight: str, out: str) -> DataFrame:
+def dense_order(
+    df: DataFrame, groups: list[str], order: list[Column], weight: str, out: str, part: str | None = None
+) -> DataFrame:
     """Adds ``out``: the sum of ``weight`` over earlier rows of the group in any sortable order.
 
     Rows are range-partitioned and checkpointed, which fixes the partitions; totals per (group, partition) then
-    give each partition its base. A group may span any number of partitions.
+    give each partition its base. A group may span any number of partitions. ``part`` names a column that keeps the
+    partition's number: it grows along the order, and further passes can go by it.
     """
     ranged = truncate_lineage(
         df.repartitionByRange(*[F.col(g) for g in groups], *order).withColumn("_part", F.spark_partition_id())
@@ -34,6 +37,7 @@ def dense_order(df: DataFrame, groups: list[str], order: list[Column], weight: s
     )
     inside = Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    kept = [F.col("_part").alias(part)] if part else []
     return local.join(bases, [*groups, "_part"]).select(
-        *df.columns, (F.col("_base") + F.col("_local")).cast("long").alias(out)
+        *df.columns, (F.col("_base") + F.col("_local")).cast("long").alias(out), *kept
     )

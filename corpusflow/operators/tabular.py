@@ -3,8 +3,10 @@
 A table is one page however long it is, and greedy packing runs from its first line to its last. To keep one long table
 from becoming one task, lines are numbered and cut into blocks. The only thing a block needs from the past is where the
 open buffer starts, and that is one of a few hundred lines before it. So every block first works out, for each possible
-start, where it would leave the buffer; the blocks' small answers are chained; then all blocks pack at once. The result is
-exactly that of packing in one go.
+start, where it would leave the buffer: a step function with few steps. These compose, so that a run of blocks has a step
+function too: blocks are composed by the fan, their compositions again, until a table has one run; on the way back each
+run's first block gets its start from above. Then all blocks pack at once. No task sees more than a fan of blocks, and the
+result is exactly that of packing in one go.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql.window import Window
 from corpusflow.functions.text import only_present, strip
 from corpusflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHARS, next_flush
 from corpusflow.operators.ordinals import running_total
+from corpusflow.session import truncate_lineage
 
-# Lines a block holds, unless the chunk settings ask for more.
+# Lines a block holds, unless the chunk settings ask for more, and blocks whose step functions meet in a task.
 BLOCK_LINES = 20_000
+BLOCK_FAN = 256
 
 
 def row_line(columns: dict[str, Column]) -> Column:
@@ -48,6 +52,7 @@ def chunk_lines(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     block_lines: int = BLOCK_LINES,
+    fan: int = BLOCK_FAN,
 ) -> DataFrame:
     """Chunks of tables given as rows of lines: ``groups``, ``chunk_index``, ``text``, ``char_count``.
 
@@ -79,7 +84,7 @@ def chunk_lines(
     blocks = numbered.select(*groups, "_n", "_line", F.explode(copies).alias("_block"))
 
     keys = [lines.schema[g] for g in groups]
-    entries = _chain(_explore(blocks, groups, keys, block, size, overlap), groups, keys)
+    entries = _entries(_explore(blocks, groups, keys, block, size, overlap), groups, keys, fan)
 
     def pack(key, pdf):
         pdf = pdf.sort_values("_n")
@@ -166,35 +171,62 @@ def _explore(blocks, groups, keys, block, size, overlap) -> DataFrame:
     return lengths.groupBy(*groups, "_block").applyInPandas(explore, answer)
 
 
-def _chain(answers: DataFrame, groups, keys) -> DataFrame:
-    """Per block, the first line of the open buffer on entry, the first chunk index, and whether it is the last.
-
-    One short row per block, read in order as a stream: a task holds a single buffer start, not a table's blocks.
-    """
-    following = F.lead("_block").over(Window.partitionBy(*groups).orderBy("_block"))
-    ordered = (
-        answers.withColumn("_is_last", following.isNull())
-        .repartition(*groups)
-        .sortWithinPartitions(*groups, "_block")
-    )
-    schema = T.StructType(
-        keys
-        + [
-            T.StructField("_block", T.LongType()),
-            T.StructField("_entry", T.LongType()),
-            T.StructField("_index", T.LongType()),
-            T.StructField("_is_last", T.BooleanType()),
-        ]
+def _entries(answers: DataFrame, groups, keys, fan: int) -> DataFrame:
+    """Per block, the first line of the open buffer on entry, the first chunk index, and whether it is the last."""
+    levels = [truncate_lineage(answers)]
+    last = levels[0].groupBy(*groups).agg(F.max("_block").alias("_last"))
+    top = last.agg(F.max("_last")).first()[0] or 0
+    while top >= fan:
+        levels.append(truncate_lineage(_compose(levels[-1], groups, fan)))
+        top //= fan
+    over = F.floor(F.col("_block") / fan).alias("_over")
+    entries = _walk(levels.pop().withColumns({"_over": F.lit(0), "_start": F.lit(0), "_first": F.lit(0)}), groups, keys)
+    while levels:
+        above = entries.select(
+            *groups, F.col("_block").alias("_over"), F.col("_entry").alias("_start"), F.col("_index").alias("_first")
+        )
+        entries = _walk(levels.pop().withColumn("_over", over).join(above, [*groups, "_over"]), groups, keys)
+    return entries.join(last, groups).select(
+        *groups, "_block", "_entry", "_index", (F.col("_block") == F.col("_last")).alias("_is_last")
     )
 
-    def follow(batches):
-        entry, index = 0, 0
-        for pdf in batches:
-            out = []
-            for *key, block, froms, leaves, kept, is_last in pdf.itertuples(index=False, name=None):
-                out.append([*key, block, entry, index, is_last])
-                run = bisect_right(list(froms), entry) - 1
-                entry, index = (0, 0) if is_last else (int(leaves[run]), index + int(kept[run]))
-            yield pd.DataFrame(out, columns=schema.names, dtype=object)
-
-    return ordered.mapInPandas(follow, schema)
+
+def _step(froms, leaves, kept, entry: int) -> tuple[int, int]:
+    """Where a block entered with a buffer from line ``entry`` leaves it, and the chunks it keeps."""
+    run = bisect_right(froms, entry) - 1
+    return int(leaves[run]), int(kept[run])
+
+
+def _compose(answers: DataFrame, groups, fan: int) -> DataFrame:
+    """The step functions of runs of ``fan`` blocks: the first's steps, taken through the others."""
+    schema = answers.schema
+
+    def compose(key, pdf):
+        rows = pdf.sort_values("_block")[["_from", "_leave", "_kept"]].itertuples(index=False, name=None)
+        froms, leaves, kept = (x.tolist() for x in next(rows))
+        for step in rows:
+            step = [x.tolist() for x in step]
+            onward = [_step(*step, leave) for leave in leaves]
+            leaves, kept = [leave for leave, _ in onward], [a + b for a, (_, b) in zip(kept, onward)]
+            changed = [i for i in range(len(froms)) if not i or (leaves[i], kept[i]) != (leaves[i - 1], kept[i - 1])]
+            froms, leaves, kept = ([column[i] for i in changed] for column in (froms, leaves, kept))
+        return pd.DataFrame([[*key, froms, leaves, kept]], columns=schema.names)
+
+    over = F.floor(F.col("_block") / fan).alias("_block_over")
+    return answers.groupBy(*groups, over).applyInPandas(compose, schema)
+
+
+def _walk(answers: DataFrame, groups, keys) -> DataFrame:
+    """``_entry`` and ``_index`` of each block of a run, from those of the run (``_over``): ``_start`` and ``_first``."""
+    schema = T.StructType(keys + [T.StructField(c, T.LongType()) for c in ("_block", "_entry", "_index")])
+
+    def walk(key, pdf):
+        pdf = pdf.sort_values("_block")
+        entry, index, out = int(pdf["_start"].iloc[0]), int(pdf["_first"].iloc[0]), []
+        for block, *step in pdf[["_block", "_from", "_leave", "_kept"]].itertuples(index=False, name=None):
+            out.append([*key[:-1], block, entry, index])
+            entry, kept = _step(*(x.tolist() for x in step), entry)
+            index += kept
+        return pd.DataFrame(out, columns=schema.names, dtype=object)
+
+    return answers.groupBy(*groups, "_over").applyInPandas(walk, schema)

@@ -22,7 +22,7 @@ from corpusflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, as_pages, c
 from corpusflow.operators.embedding import EmbedderFactory, HashingEmbedder, embed
 from corpusflow.operators.tabular import row_line
 from corpusflow.operators.vectors import assign_vector_ids
-from corpusflow.plans.store import DOCUMENT_KEY, Store
+from corpusflow.plans.store import DOCUMENT_KEY, RENEWED, Store
 from corpusflow.session import spread
 from corpusflow.sources.extract import NATIVE, extract, is_native
 from corpusflow.sources.files import UPLOAD_EXTENSIONS, locate, not_loaded, read_file, read_files, upload_gate
@@ -268,6 +268,8 @@ def chunk_and_embed(store: Store, documents: DataFrame, run: Run) -> None:
     stamped = chunks.withColumn("uploaded_at", F.lit(metadata.iso_utc(run.started)))
     vectors = embed(stamped, factory=run.factory).withColumn("model", F.lit(run.model_key))
     store.write("chunks", vectors)
+    # A run that is repeated writes its chunks anew: what was embedded again before then is void.
+    store.drop_run(RENEWED, run.client, run.run_id)
 
 
 def model_name(factory: EmbedderFactory, name: str | None = None) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators import catalog
 from corpusflow.operators.embedding import EmbedderFactory, HashingEmbedder, embed
 from corpusflow.plans.ingest import model_name
-from corpusflow.plans.store import DOCUMENT_KEY, DOCUMENT_TABLES, Store
+from corpusflow.plans.store import CHUNK_KEY, DOCUMENT_KEY, DOCUMENT_TABLES, RENEWABLE, RENEWED, Store
 from corpusflow.session import scratch_path
 
 
@@ -35,15 +35,40 @@ def delete_documents(store: Store, targets: DataFrame) -> DataFrame:
     report_path = scratch_path(store.spark, "delete-report")
     catalog.delete_report(wanted, stored_objects(store).distinct()).write.parquet(report_path)
     listed = gone.select(*DOCUMENT_KEY, F.col("run_id").alias("deleted_run"))
-    store.write("deleted", listed.withColumn("run_id", F.lit(f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}")))
+    store.write("deleted", listed.withColumn("run_id", F.lit(_now())))
     return store.spark.read.parquet(report_path)
 
 
+def _now() -> str:
+    """The time as an id that sorts by it."""
+    return f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}"
+
+
 def compact(store: Store) -> None:
-    """Rewrites the partitions that hold deleted versions without them, then empties ``deleted``.
+    """Rewrites the partitions that hold deleted versions without them, and those with chunks embedded again with their
+    newest vectors; then empties ``deleted`` and ``renewed``.
 
-    Repeating it after a failure is safe: rows that are gone already are not missed.
+    Repeating it after a failure is safe: rows that are gone already are not missed, and vectors folded in are folded in
+    once more. What is embedded again meanwhile stays in ``renewed``.
     """
+    _drop_deleted(store)
+    if store.exists(RENEWED):
+        _fold_renewed(store)
+
+
+def _fold_renewed(store: Store) -> None:
+    path = scratch_path(store.spark, "fold")
+    store.renewals().select("client_id", "run_id", "version").distinct().write.parquet(path)
+    done = store.spark.read.parquet(path)
+    runs = done.select("client_id", "run_id").distinct()
+    for table in RENEWABLE:
+        rows = store.read(table).join(runs, ["client_id", "run_id"], "left_semi")
+        store.rewrite(table, runs, store.renewed(table, rows), ("client_id", "run_id"))
+    store.drop_partitions(RENEWED, done)
+    store.remove(path)
+
+
+def _drop_deleted(store: Store) -> None:
     path = scratch_path(store.spark, "compact")
     store.deleted().write.parquet(path)
     done = store.spark.read.parquet(path)
@@ -74,7 +99,8 @@ def rebuild(
 ) -> DataFrame:
     """Embeds a document's chunks, or all of a client's, again. Returns ``doc_id, action`` per document.
 
-    ``action`` is ``rebuilt``, ``skipped`` (no chunks) or ``error`` (asked for, but without chunks). Chunks that
+    Writes a row per chunk embedded again into ``renewed`` and touches nothing else; ``Store.current`` shows the newest
+    vectors from then on. ``action`` is ``rebuilt``, ``skipped`` (no chunks) or ``error`` (asked for, but without chunks). Chunks that
     already bear the model's name are left as they are, unless ``force``.
     """
     model = model_name(factory, model)
@@ -92,24 +118,7 @@ def rebuild(
     outcome.write.parquet(report)
 
     stale = chunks if force else chunks.filter(F.col("model") != model)
-    affected_path = scratch_path(store.spark, "rebuild-runs")
-    stale.select("client_id", "run_id").distinct().write.parquet(affected_path)
-    affected = store.spark.read.parquet(affected_path)
-    if not affected.isEmpty():
-        run_key = ["client_id", "run_id"]
-        whole = store.read("chunks").join(affected, run_key, "left_semi")
-        chosen = F.lit(True) if doc_id is None else F.col("doc_id") == doc_id
-        due = chosen if force else chosen & (F.col("model") != model)
-        renewed = embed(whole.filter(due).drop("embedding", "model"), factory=factory).withColumn("model", F.lit(model))
-        kept = renewed.select(*whole.columns).unionByName(whole.filter(~due))
-        store.rewrite("chunks", affected, kept, tuple(run_key))
-        _renew_vectors(store, affected, run_key)
+    renewed = embed(stale.select(*CHUNK_KEY, "text"), factory=factory).withColumn("model", F.lit(model))
+    rows = renewed.select(*CHUNK_KEY, "embedding", "model").withColumn("version", F.lit(_now()))
+    store.write(RENEWED, rows, ("client_id", "run_id", "version"))
     return store.spark.read.parquet(report)
-
-
-def _renew_vectors(store: Store, affected: DataFrame, run_key: list[str]) -> None:
-    """The index rows of the affected runs with the vectors their chunks now have; ids stay."""
-    key = [*DOCUMENT_KEY, "run_id", "chunk_id"]
-    rows = store.read("vectors").join(affected, run_key, "left_semi")
-    fresh = store.read("chunks").join(affected, run_key, "left_semi").select(*key, "embedding")
-    store.rewrite("vectors", rows, rows.drop("embedding").join(fresh, key), tuple(run_key))

@@ -644,6 +644,11 @@ ORACLES["delete_stored"] = f"""
 ORACLES["rebuild_document"] = """
     SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 32 ELSE 64 END::INTEGER AS vector_size FROM documents"""
 
+ORACLES["rebuild_folded"] = """
+    SELECT folded, doc_id, 'hashing-' || size AS model, size AS vector_size, CASE WHEN folded THEN size ELSE 64 END AS stored
+    FROM (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 8 WHEN 2 THEN 32 ELSE 64 END AS size FROM documents),
+      (VALUES (FALSE), (TRUE)) t(folded)"""
+
 ORACLES["exact_dedup"] = """
     SELECT doc_id, doc_id = min(doc_id) OVER (PARTITION BY text) AS kept, min(doc_id) OVER (PARTITION BY text) AS first_id
     FROM documents"""
@@ -652,3 +657,10 @@ ORACLES["delimited_lines"] = """
     SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos,
       'c_custkey: ' || c_custkey || ' | name: a "b", ' || c_name ||
       CASE WHEN c_custkey % 3 > 0 THEN ' | segment: ' || c_mktsegment ELSE '' END AS line FROM customer"""
+
+ORACLES["delimited_records"] = """
+    SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos,
+      CASE WHEN c_custkey % 7 > 0 THEN 'key: ' || c_custkey || ' | the' || chr(10) || 'name: first; "line"' || chr(10) || 'of ' ||
+        c_name || ' | size: 5" wide' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE ' | segment: ' || c_mktsegment END END AS line,
+      CASE WHEN c_custkey % 7 = 0 THEN '4 columns expected, 5 found' END AS error
+    FROM customer"""

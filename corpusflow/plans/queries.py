@@ -224,6 +224,24 @@ def delimited_lines(spark, folder):
     return read.select(nation.alias("c_nationkey"), "pos", "line")
 
 
+@query
+def delimited_records(spark, folder):
+    """Customers as a delimited file per nation with line feeds, quotes and separators in cells, and some records too long."""
+    root = scratch_path(spark, "records")
+    name = F.concat(F.lit('"first; ""line""\nof '), "c_name", F.lit('"'))
+    record = F.concat_ws(
+        ";", _text(F.col("c_custkey")), name, F.lit('5" wide'), F.when(F.col("c_custkey") % 5 == 0, F.lit('"\n\n"')).otherwise(F.col("c_mktsegment")),
+        F.when(F.col("c_custkey") % 7 == 0, F.lit("more")),
+    )
+    rows = table(spark, folder, "customer").select("c_nationkey", "c_custkey", record.alias("value"))
+    header = rows.select("c_nationkey", F.lit(-1).cast("long").alias("c_custkey"), F.lit('key;"the\nname";size;segment').alias("value")).distinct()
+    ordered = rows.unionByName(header).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    ordered.drop("c_custkey").write.partitionBy("c_nationkey").text(root)
+    read = delimited.delimited_lines(spark, root, ("txt",))
+    nation = F.regexp_extract("rel_path", "c_nationkey=([0-9]+)", 1).cast("int")
+    return read.select(nation.alias("c_nationkey"), "pos", "line", "error")
+
+
 @query
 def tsv_text(spark, folder):
     rows = table(spark, folder, "part")
@@ -1105,7 +1123,9 @@ def _named_files(spark, docs: DataFrame) -> str:
     """``docs`` as JSON lines in the files ``part0.txt`` to ``part3.txt`` of a fresh folder, by document id."""
     root = scratch_path(spark, "named")
     lines = docs.select(
-        F.pmod("doc_id", F.lit(_BUCKETS)).alias("b"), F.to_json(F.struct("doc_id", "text")).alias("value")
+        F.pmod("doc_id", F.lit(_BUCKETS)).alias("b"),
+        # Padded: a file whose only line has no more characters than a chunk must exceed would give none.
+        F.to_json(F.struct("doc_id", F.lit("." * chunking.MIN_CHARS).alias("pad"), "text")).alias("value"),
     )
     lines.repartition("b").write.partitionBy("b").text(root)
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -1212,6 +1232,29 @@ def rebuild_document(spark, folder):
     return lines.select(F.from_json("line", "doc_id long").alias("r"), "vector_size").select("r.doc_id", "vector_size")
 
 
+@query
+def rebuild_folded(spark, folder):
+    """Vector sizes after one file was embedded again twice and another once, before and after these were folded in.
+
+    ``stored`` is the size that the chunk table itself holds.
+    """
+    store, _ = _ingested(spark, folder)
+    for doc, size in (("part1", 16), ("part2", 32), ("part1", 8)):
+        maintenance.rebuild(store, "acme", doc_id=doc, factory=_hashing(size), model=f"hashing-{size}")
+    parts = []
+    for folded in (False, True):
+        if folded:
+            maintenance.compact(store)
+        key = ["client_id", "run_id", "rel_path", "chunk_id"]
+        raw = store.read("chunks").select(*key, F.size("embedding").alias("stored"))
+        index = store.current("vectors").select(*key, F.size("embedding").alias("vector_size"))
+        rows = store.current("chunks").select(*key, "model", "text").join(index, key).join(raw, key)
+        lines = rows.select("model", "vector_size", "stored", F.explode(F.split("text", "\n")).alias("line"))
+        found = lines.select(F.lit(folded).alias("folded"), F.from_json("line", "doc_id long")["doc_id"].alias("doc_id"), "model", "vector_size", "stored")
+        parts.append(_stored(found, "renewed"))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def exact_dedup(spark, folder):
     """Which documents repeat the text of an earlier one."""
@@ -1268,7 +1311,7 @@ def rebuild_index(spark, folder):
     chunks = store.current("chunks").groupBy("client_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.min(size).alias("low"), F.max(size).alias("high")
     )
-    index = store.read("vectors").groupBy("client_id").agg(
+    index = store.current("vectors").groupBy("client_id").agg(
         F.count(F.lit(1)).alias("vectors"), F.min(size).alias("index_low"), F.max(size).alias("index_high")
     )
     status = catalog.rebuild_status(outcome).select(F.lit("acme").alias("client_id"), "status", "skipped", "errors")

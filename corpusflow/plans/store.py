@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from corpusflow.session import scratch_path
 
-PARTITIONS = ("client_id", "run_id", "is_native")
+PARTITIONS = ("client_id", "run_id", "is_native", "version")
 DOCUMENT_KEY = ["client_id", "rel_path"]
 
 # A row may hold a whole file. Parquet looks at its buffer every 100 rows only and a reader decodes up to 4096 rows of
@@ -27,6 +27,12 @@ _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 # Tables that hold rows of documents, and change when one is deleted.
 DOCUMENT_TABLES = ("raw_files", "documents", "chunks", "vectors", "document_meta")
 
+# What a later embedding of a chunk puts in place of the stored one, by table.
+CHUNK_KEY = [*DOCUMENT_KEY, "run_id", "chunk_id"]
+RENEWABLE = {"chunks": ("embedding", "model"), "vectors": ("embedding",)}
+RENEWED = "renewed"
+_RENEWED = "rel_path string, chunk_id string, embedding array<float>, model string, client_id string, run_id string, version string"
+
 
 @dataclass(frozen=True)
 class Store:
@@ -95,11 +101,16 @@ class Store:
         finally:
             self.spark.conf.set(_WRITERS, kept)
 
+    def drop_run(self, table: str, client_id: str, run_id: str) -> None:
+        """Removes what a run has written to a table, if anything."""
+        self.remove(self._run_path(table, client_id, run_id))
+
     def append(self, table: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.path(table))
 
     def current(self, table: str) -> DataFrame:
-        """Rows of finished runs that no later run of their document supersedes and that have not been deleted.
+        """Rows of finished runs that no later run of their document supersedes and that have not been deleted, with their
+        newest vectors.
 
         The run list is short and prunes partitions. What is superseded is worked out on ``documents``, where every file
         of a run has a row, with text or without: a file that turned blank leaves nothing current. Those rows are small
@@ -112,11 +123,25 @@ class Store:
         gone = old.select(*DOCUMENT_KEY, "run_id")
         deleted = self.deleted().select(*DOCUMENT_KEY, F.col("deleted_run").alias("run_id"))
         gone = gone.union(deleted).distinct()
-        return (
+        rows = (
             self.read(table)
             .join(finished, ["client_id", "run_id"], "left_semi")
             .join(gone, [*DOCUMENT_KEY, "run_id"], "left_anti")
         )
+        return self.renewed(table, rows)
+
+    def renewed(self, table: str, rows: DataFrame) -> DataFrame:
+        """``rows`` of ``table`` with the vectors that later embeddings have put in place of the stored ones.
+
+        Those lie in a table of their own, a row per chunk embedded again; the newest version of a chunk holds. Few of
+        them travel to the rows; many are joined, until ``compact`` has folded them in.
+        """
+        fields = RENEWABLE.get(table, ())
+        if not fields or not self.exists(RENEWED):
+            return rows
+        newest = self.renewals().groupBy(*CHUNK_KEY).agg(F.max(F.struct("version", *fields)).alias("_new"))
+        shown = [F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns]
+        return rows.join(newest, CHUNK_KEY, "left").select(*shown)
 
     def deleted(self) -> DataFrame:
         """Versions of documents that have been deleted and not yet compacted away; none where nothing ever was."""
@@ -126,6 +151,11 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", path).parquet(path)
 
+    def renewals(self) -> DataFrame:
+        """The vectors that later embeddings have made and that have not been folded in yet, by version."""
+        path = self.path(RENEWED)
+        return self.spark.read.schema(_RENEWED).option("basePath", path).parquet(path)
+
     def rewrite(self, table: str, affected: DataFrame, kept: DataFrame, partitions: tuple[str, ...]) -> None:
         """Puts ``kept`` in place of the partitions listed in ``affected``; those left without rows are removed.
 
@@ -145,7 +175,7 @@ class Store:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def remove(self, path: str) -> None:
-        """Deletes a staged copy that has served."""
+        """Deletes a folder, such as a staged copy that has served; one that does not exist is no fault."""
         where = self._jpath(path)
         where.getFileSystem(self._hadoop()).delete(where, True)
 

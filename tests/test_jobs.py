@@ -111,11 +111,50 @@ def test_directory_life_cycle(spark, folder, tmp_path):
     assert actions == {"deck": "rebuilt", "short": "rebuilt"}
     sizes = {(r.client_id, len(r.embedding)) for r in store.current("chunks").collect()}
     assert sizes == {("007", 4), ("other", 8)}
-    assert {len(r.embedding) for r in store.read("vectors").filter(mine).collect()} == {4}
+    assert {len(r.embedding) for r in store.current("vectors").filter(mine).collect()} == {4}
     missing = maintenance.rebuild(store, "007", doc_id="ghost", factory=other_model).collect()
     assert [(r.doc_id, r.action) for r in missing] == [("ghost", "error")]
 
 
+def stored_files(root):
+    return {p: p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def test_rebuilding_one_document_writes_its_rows_only(spark, folder, tmp_path):
+    root = tmp_path / "store"
+    store = Store(spark, str(root))
+    ingest.ingest_directory(store, str(folder), at(1))
+    before = stored_files(root)
+    maintenance.rebuild(store, "007", doc_id="deck", factory=other_model)
+    after = stored_files(root)
+    assert before.items() <= after.items() and {p.parts[len(root.parts)] for p in after.keys() - before.keys()} == {"renewed"}
+    renewed = spark.read.parquet(store.path("renewed"))
+    assert {(r.rel_path, r.chunk_id) for r in renewed.collect()} == {("a/deck.pptx", f"deck_chunk_000{i}") for i in range(2)}
+
+    def sizes(table):
+        return {(r.rel_path, len(r.embedding)) for r in table.collect()}
+
+    others = {("a/b.docx", 8), ("b.txt", 8)}
+    for table in ("chunks", "vectors"):
+        assert sizes(store.current(table)) == others | {("a/deck.pptx", 4)}
+        assert sizes(store.read(table)) == others | {("a/deck.pptx", 8)}
+    # A model that chunks bear already is not run again; the newest version holds; compaction folds it in.
+    maintenance.rebuild(store, "007", doc_id="deck", factory=other_model)
+    assert stored_files(root) == after
+    maintenance.rebuild(store, "007", doc_id="deck", factory=small_model)
+    assert sizes(store.current("vectors")) == others | {("a/deck.pptx", 8)}
+    maintenance.rebuild(store, "007", doc_id="b", factory=other_model)
+    whole = {t: sorted(map(str, store.current(t).collect())) for t in ("chunks", "vectors")}
+    maintenance.compact(store)
+    assert store.renewals().count() == 0
+    for table, rows in whole.items():
+        assert sorted(map(str, store.current(table).collect())) == rows == sorted(map(str, store.read(table).select(*store.current(table).columns).collect()))
+    # A run that is repeated makes its chunks anew, and what was embedded again before is void.
+    maintenance.rebuild(store, "007", factory=other_model)
+    ingest.ingest_directory(store, str(folder), at(1))
+    assert sizes(store.current("chunks")) == others | {("a/deck.pptx", 8)}
+
+
 def test_failed_runs(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     (tmp_path / "e").mkdir()
