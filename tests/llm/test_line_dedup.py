@@ -47,34 +47,55 @@ def plain(docs, min_chars=40, min_words=30):
         cuts = [k for k in range(len(h)) if k == 0 or (2 <= k < len(h) - 1 and r[k] < r[k - 1] and r[k] <= r[k + 1])]
         parsed.append((i, text, lines, bare, [*cuts, len(h)]))
     first, gone = {}, {}
+    taken = [joined_chunks(bare, cuts, min_chars, min_words) for _, _, _, bare, cuts in parsed]
+
+    def around(d, k, e):
+        """Lines on both sides, nearest first, and how many the nearest chunk, or the row that begins there, has."""
+        _, _, _, bare, cuts = parsed[d]
+        w, size = taken[d][0], len(cuts) - 1
+        onward = w[e] if e < size else None
+        until = min(max(e + 2, e + (size if onward is None else onward)), size)
+        before = bare[cuts[max(k - 2, 0)] : cuts[k]][::-1], cuts[k] - cuts[max(k - 1, 0)]
+        return before, (bare[cuts[e] : cuts[until]], None if onward is None else cuts[e + onward] - cuts[e])
+
+    def same(own, theirs):
+        n = 0
+        while n < min(len(own[0]), len(theirs[0])) and own[0][n] == theirs[0][n]:
+            n += 1
+        return 0 if own[1] is not None and own[1] == theirs[1] and n >= own[1] else n
+
     for d, (_, _, _, bare, cuts) in enumerate(parsed):
-        for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            filled = [b for b in bare[s:e] if b]
-            if len(filled) < 2 or sum(map(len, filled)) < min_chars:
-                continue
-            f = first.setdefault(tuple(bare[s:e]), (d, k))
-            if f == (d, k):
-                continue
-            other, fc = parsed[f[0]][3], parsed[f[0]][4]
-            fs, fe = fc[f[1]], fc[f[1] + 1]
-            at = lambda c, j: c[min(max(j, 0), len(c) - 1)]
-
-            def same(own, theirs, mine, other_size):
-                n = 0
-                while n < min(len(own), len(theirs)) and own[n] == theirs[n]:
-                    n += 1
-                return 0 if mine == other_size and n >= mine else n
-
-            j = f[1]
-            left = same(bare[at(cuts, k - 2) : s][::-1], other[at(fc, j - 2) : fs][::-1], s - at(cuts, k - 1), fs - at(fc, j - 1))
-            right = same(bare[e : at(cuts, k + 3)], other[fe : at(fc, j + 3)], at(cuts, k + 2) - e, at(fc, j + 2) - fe)
-            gone.setdefault(d, set()).update(range(s - left, e + right))
+        for k, e in taken[d][1]:
+            f = first.setdefault(tuple(bare[cuts[k] : cuts[e]]), (d, k, e))
+            if f != (d, k, e):
+                left, right = map(same, around(d, k, e), around(*f))
+                gone.setdefault(d, set()).update(range(cuts[k] - left, cuts[e] + right))
     return {
         (i, text): "".join(u for k, u in enumerate(lines) if k not in passages(lines, gone.get(d, ()), min_words))
         for d, (i, text, lines, _, _) in enumerate(parsed)
     }
 
 
+def joined_chunks(bare, cuts, min_chars, min_words):
+    """Of each chunk, with how many after it it is long enough (None if never), and all chunks taken together."""
+    size = len(cuts) - 1
+    many = re.compile(rf"\s*(?:\S+\s+){{{min_words - 1}}}\S", re.ASCII)
+    counts = []
+    for k in range(size):
+        filled = [b for b in bare[cuts[k] : cuts[k + 1]] if b]
+        counts.append((sum(2 if many.match(b) else 1 for b in filled), sum(map(len, filled))))
+    w = []
+    for k in range(size):
+        lines = chars = n = 0
+        while k + n < size and not (lines >= 2 and chars >= min_chars):
+            lines, chars, n = lines + counts[k + n][0], chars + counts[k + n][1], n + 1
+        w.append(n if lines >= 2 and chars >= min_chars else None)
+    rows = [(k, k + n) for k, n in enumerate(w) if n is not None]
+    if rows and rows[-1][1] < size:
+        rows.append((rows[-1][0], size))
+    return w, rows
+
+
 @needs_tables
 def test_equals_plain_version(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
