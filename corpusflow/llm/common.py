@@ -19,14 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
     """``df`` written to the folder all executors share and read back.
 
-    Cuts the lineage, keeps later joins free to split hot keys, and outlives a lost executor.
+    Cuts the lineage, keeps later joins free to split hot keys, and outlives a lost executor. Columns of ``hashes`` are
+    written without looking for values that repeat.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", not hashes).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -38,6 +39,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows of ``df`` that meet a condition on columns it computes.
+
+    A plain filter is pushed below the projections that compute them and does all their work again. One that refers to
+    a row's number in its task is not.
+    """
+    return df.withColumn("_place", F.monotonically_increasing_id()).filter(condition & (F.col("_place") >= 0)).drop("_place")
+
+
 def with_python(spark: SparkSession) -> None:
     """Make this package importable in Python workers."""
     ship_package(spark)
