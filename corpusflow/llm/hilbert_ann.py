@@ -1,8 +1,9 @@
 """Nearest neighbours by shifted space-filling curves.
 
 Vectors are projected to a few dimensions, several times with other directions and shifts, and put in order along a Hilbert
-curve each time. Each ordering is cut into ranges of about equal size. A query meets the vectors of the ranges around its
-own; what is nearest in each range, by exact distance, is merged over ranges and orderings.
+curve each time. Each ordering is cut into ranges of about equal size. A vector travels once per ordering, to its range; a
+query visits the ranges around its own and streams past their vectors. What is nearest in each range, by exact distance,
+is merged over ranges and orderings.
 
 ``reach`` is the share of the ordering on either side of a query. Where vectors are close to evenly spread in all directions
 (as in the test tables: nearest at 1.04, tenth at 1.12, any at 1.41), no ordering of projections tells near from far well,
@@ -27,9 +28,9 @@ BITS = 8
 REACH = 0.11
 #: Rows of the sample that sets scales and range bounds, at most about twice as many.
 SAMPLE = 16_384
-#: Vectors in a range, and queries beside it, that a task holds at once.
-RANGE_ROWS = 4096
-QUERY_ROWS = 2048
+#: Bytes of the vectors of a range, which a task holds, and distances it works out at once.
+RANGE_BYTES = 4 << 20
+_CELLS = 1 << 21
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -100,11 +101,8 @@ def _matrix(column) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
 
 
-def _placed(found: Orderings, blocks: int, reach: int):
-    """Vectors with the cells they stand in (side 1), queries with those they visit (side 0).
-
-    A cell is an ordering, a range and a block of queries.
-    """
+def _placed(found: Orderings, reach: int):
+    """Vectors with the ranges they stand in (side 0), queries with those they visit (side 1). A cell is a range."""
 
     def run(batches):
         for batch in batches:
@@ -112,79 +110,63 @@ def _placed(found: Orderings, blocks: int, reach: int):
                 continue
             vectors, ids = _matrix(batch.column("v")), batch.column("uid").to_numpy()
             asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            block = (mix(ids.astype(np.uint64) ^ np.uint64(0x5EED)) % np.uint64(blocks)).astype(np.int64)
             for k in range(len(found.bounds)):
                 count = len(found.bounds[k]) + 1
                 at = found.ranges(k, vectors, ids)
-                base = k * count * blocks
-                rows = np.repeat(np.arange(len(ids)), blocks)
-                cells = base + np.repeat(at, blocks) * blocks + np.tile(np.arange(blocks), len(ids))
                 near = at[:, None] + np.arange(-reach, reach + 1)[None]
-                visits = asks[:, None] & (near >= 0) & (near < count)
-                q, j = np.nonzero(visits)
-                asked = base + near[q, j] * blocks + block[q]
-                take = np.concatenate([rows, q])
+                q, j = np.nonzero(asks[:, None] & (near >= 0) & (near < count))
+                cells = k * count + np.concatenate([at, near[q, j]])
+                sides = np.repeat([0, 1], [len(ids), len(q)]).astype(np.int32)
+                take = pa.array(np.concatenate([np.arange(len(ids)), q]))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([cells, asked]), pa.int64()),
-                        pa.array(np.concatenate([np.ones(len(rows)), np.zeros(len(q))]).astype(np.int32), pa.int32()),
-                        batch.column("uid").take(pa.array(take)),
-                        batch.column("v").take(pa.array(take)),
-                    ],
-                    names=["cell", "side", "uid", "v"],
+                    [pa.array(cells, pa.int64()), pa.array(sides), *(batch.column(c).take(take) for c in ("uid", "least", "v"))],
+                    names=["cell", "side", "uid", "least", "v"],
                 )
 
     return run
 
 
 def _nearest(k: int):
-    """The ``k`` nearest vectors of each query in its cell, its own aside. Rows come by cell, queries first."""
+    """The ``k`` nearest vectors of each query in its cell, its own aside. Rows come by cell, vectors first."""
 
-    def best(queries, ids, vectors, kept):
-        q_ids, q = queries
-        square = (q**2).sum(1)[:, None] + (vectors**2).sum(1)[None] - 2 * q @ vectors.T
+    def best(ids, least, vectors, q_ids, q):
+        own = (vectors**2).sum(1)
+        square = (q**2).sum(1)[:, None] + own[None] - 2 * q @ vectors.T
         square[q_ids[:, None] == ids[None]] = np.inf
-        some = min(len(ids), k + 8)  # more than asked for, as differences are rounded here
-        for i, cols in enumerate(np.argpartition(square, some - 1, axis=1)[:, :some]):
+        # Differences are rounded here: whatever may be as near as the k-th is looked at exactly.
+        limit = np.partition(square, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(q), np.inf)
+        limit += 1e-11 * ((q**2).sum(1) + own.max())
+        for i in range(len(q)):
+            cols = np.flatnonzero(square[i] <= limit[i])
+            cols = cols[ids[cols] != q_ids[i]]
             exact = np.sqrt(((vectors[cols] - q[i]) ** 2).sum(1))
-            kept.setdefault(i, []).extend((d, u) for d, u in zip(exact, ids[cols], strict=True) if u != q_ids[i])
-            # Equal distances stay, so that ties can go to the smaller vec_id later.
-            if len(kept[i]) > k:
-                kept[i].sort()
-                limit = kept[i][k - 1][0]
-                kept[i] = [x for x in kept[i] if x[0] <= limit]
-
-    def closed(queries, kept):
-        out = [(queries[0][i], u, d) for i, rows in kept.items() for d, u in rows]
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-            names=["query", "uid", "distance"],
-        )
+            # Of equally near ones those with the smallest vec_ids are all that a result can name.
+            order = np.lexsort((least[cols], exact))[:k]
+            yield np.full(len(order), q_ids[i]), ids[cols[order]], exact[order]
 
     def run(batches):
-        cell, ids, parts, kept = None, [], [], {}
-        queries = None
+        cell, parts, held = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
             cells, sides = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
-            uids, vectors = batch.column("uid").to_numpy(), _matrix(batch.column("v"))
+            rows = batch.column("uid").to_numpy(), batch.column("least").to_numpy(), _matrix(batch.column("v"))
             cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(sides) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(cells)], strict=True):
                 if cells[lo] != cell:
-                    if kept:
-                        yield closed(queries, kept)
-                    cell, ids, parts, kept, queries = cells[lo], [], [], {}, None
+                    cell, parts, held = cells[lo], [], None
                 if sides[lo] == 0:
-                    ids.append(uids[lo:hi])
-                    parts.append(vectors[lo:hi])
-                elif ids:
-                    if queries is None:
-                        queries = (np.concatenate(ids), np.concatenate(parts))
-                    best(queries, uids[lo:hi], vectors[lo:hi], kept)
-        if kept:
-            yield closed(queries, kept)
+                    parts.append([x[lo:hi] for x in rows])
+                    continue
+                if held is None and parts:
+                    held = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                if held is None:
+                    continue
+                step = max(1, _CELLS // len(held[0]))
+                for at in range(lo, hi, step):
+                    end = min(at + step, hi)
+                    found = [np.concatenate(x) for x in zip(*best(*held, rows[0][at:end], rows[2][at:end]), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query", "uid", "distance"])
 
     return run
 
@@ -226,13 +208,15 @@ def nearest(
     )
     queried = usable.filter(asks).groupBy("v").agg(F.lit(True).alias("asks"))
     index = staged(
-        copies.select("v")
-        .distinct()
+        copies.groupBy("v")
+        .agg(F.min("vec_id").cast("long").alias("least"))
         .join(queried, "v", "left")
-        .select(F.monotonically_increasing_id().alias("uid"), "v", F.coalesce("asks", F.lit(False)).alias("asks")),
+        .select(F.monotonically_increasing_id().alias("uid"), "least", "v", F.coalesce("asks", F.lit(False)).alias("asks")),
         "index",
     )
-    total, asked = index.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
+    total, asked, width = index.agg(
+        F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0)), F.max(F.size("v"))
+    ).first()
     answer = "query_id long, rank int, vec_id long, score double"
     if not total or not asked:
         return spark.createDataFrame([], answer)
@@ -240,11 +224,10 @@ def nearest(
     sample = index.filter(F.expr(f"pmod(xxhash64(uid), {part}) = 0")).orderBy("uid").toArrow()
     if not sample.num_rows:
         sample = index.orderBy("uid").limit(1).toArrow()
-    ranges = max(1, min(64, total // 16), total // RANGE_ROWS)
+    ranges = max(1, min(64, total // 16), total // max(1, RANGE_BYTES // (8 * width)))
     around = max(1, math.ceil(reach * ranges))
-    blocks = max(1, -(-asked * (2 * around + 1) // (ranges * QUERY_ROWS)))
     found = fit_orderings(_matrix(sample.column("v")), sample.column("uid").to_numpy(), orderings, ranges, seed)
-    placed = index.mapInArrow(_placed(found, blocks, around), "cell long, side int, uid long, v array<double>")
+    placed = index.mapInArrow(_placed(found, around), "cell long, side int, uid long, least long, v array<double>")
     hits = (
         placed.repartition("cell")
         .sortWithinPartitions("cell", "side")

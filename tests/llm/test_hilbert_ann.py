@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
+from corpusflow.llm import hilbert_ann
 from corpusflow.llm.hilbert_ann import hilbert_keys, nearest
 from llm_helpers import FOLDER, needs_tables
 
@@ -52,6 +54,29 @@ def test_copies_ties_and_invalid_vectors(spark):
         assert np.allclose([d for d, _ in mine[i]], [d for d, _ in near])
 
 
+def test_many_vectors_at_the_same_distance(spark):
+    """128 vectors one unit from the query, in a table of 6,000 far ones: the smallest ids win."""
+    near = np.eye(64)
+    rows = [(0, np.zeros(64) + 0.0)] + [(1 + i, v) for i, v in enumerate([*near, *-near])]
+    rng = np.random.default_rng(4)
+    rows += [(1000 + i, v) for i, v in enumerate(rng.normal(size=(6000, 64)) * 9)]
+    rows = [(i, (v + 3).tolist()) for i, v in rows]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in nearest(df, every=10**6, reach=1.0).collect())
+    assert got == [(i, i, 1.0) for i in range(1, 11)]
+
+
+def test_a_vector_travels_once_per_ordering(spark):
+    rng = np.random.default_rng(5)
+    vectors, ids = rng.normal(size=(3000, 8)), np.arange(3000)
+    found = hilbert_ann.fit_orderings(vectors, ids, 3, 50, 1)
+    batch = pa.RecordBatch.from_pydict({"uid": ids, "least": ids, "v": list(vectors), "asks": ids % 2 == 0})
+    sent = pa.Table.from_batches(hilbert_ann._placed(found, 2)([batch])).to_pandas()
+    standing = sent[sent.side == 0]
+    assert len(standing) == 3 * 3000 and set(standing.groupby("uid").size()) == {3}
+    assert len(sent[sent.side == 1]) <= 3 * 1500 * 5
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0)], SCHEMA)
     assert [(r.query_id, r.rank, r.vec_id) for r in nearest(df).collect()] == [(0, 1, 1)]
