@@ -2,8 +2,9 @@
 
 Records are sorted by page number over ranges that depend on the data alone. Each is a gzip member of its own, with headers
 and digests made anew. A task concatenates members and closes an archive when the next one would pass the size limit.
-Spark's own writer stores archives under temporary names; they get their final names before the manifest is
-written, and readers only take archives that the manifest names.
+Spark's own writer stores archives under temporary names. The manifest is made from these; then they get their final names,
+and the manifest is put in its place last. Readers only take archives that it names. What a run that died before that has
+left in the folder is replaced or ignored; a folder that has a manifest is not written again.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from corpusflow.llm.common import staged, with_python
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 16 << 20
+#: Bytes of html for each task that writes archives, and how many tasks write at least.
+SHARD_BYTES, SHARDS = 256 << 20, 16
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _COLUMNS = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
@@ -131,7 +134,7 @@ def range_bounds(pages: DataFrame, shards: int) -> np.ndarray:
 def write_archives(
     pages: DataFrame,
     path: str,
-    shards: int = 16,
+    shards: int | None = None,
     limit: int = ARCHIVE_BYTES,
     least: int = LEAST_REVISIT,
     date: str = "2000-01-01T00:00:00Z",
@@ -139,11 +142,18 @@ def write_archives(
     """Write ``pages`` (page_id, url, html, any other columns) as archives below ``path`` and return the manifest:
     ``archive, bytes, sha1``.
 
-    Reruns over the same rows write the same archives. Null html is an empty payload, a null url an empty address, rows
+    Reruns over the same rows write the same archives. ``shards`` tasks write them, by default one for every
+    ``SHARD_BYTES`` of html and ``SHARDS`` at least. A folder that has a manifest is refused. Null html is an empty payload, a null url an empty address, rows
     without page_id come first; rows that repeat are records of their own. A single record may pass ``limit``.
     """
     spark = pages.sparkSession
     with_python(spark)
+    manifest_at = f"{path.rstrip('/')}/manifest"
+    if _exists(spark, manifest_at):
+        raise FileExistsError(manifest_at)
+    if shards is None:
+        total = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
+        shards = max(SHARDS, -(-total // SHARD_BYTES))
     bounds = range_bounds(pages, shards)
     rows = with_revisits(pages, least).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     made = rows.mapInPandas(_members(bounds, date), "shard int, place long, member binary")
@@ -151,26 +161,44 @@ def write_archives(
     files = dealt.mapInPandas(_archives(limit), "value binary").select(F.col("value").cast("string").alias("value"))
     temporary = f"{path.rstrip('/')}/_temporary-{uuid.uuid4().hex}"
     files.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").option("compression", "none").text(temporary)
-    _rename(spark, temporary, path)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    manifest = found.select(
-        F.element_at(F.split("path", "/"), -1).alias("archive"),
+    written = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(temporary)
+    part = F.element_at(F.split("path", "/"), -1)
+    manifest = written.select(
+        F.concat(
+            F.lit("pages-"), F.regexp_extract(part, _PART, 1), F.lit("-"), F.regexp_extract(part, _PART, 2), F.lit(".warc.gz")
+        ).alias("archive"),
         F.col("length").alias("bytes"),
         F.sha1("content").alias("sha1"),
     )
-    manifest.write.parquet(f"{path.rstrip('/')}/manifest")
-    return spark.read.parquet(f"{path.rstrip('/')}/manifest")
+    listed = staged(manifest, "manifest")
+    _rename(spark, temporary, path)
+    listed.write.parquet(manifest_at)
+    return spark.read.parquet(manifest_at)
+
+
+#: Names of Spark's part files: the task, and which of its files.
+_PART = r"^part-(\d+)-.*-c(\d+)\.txt$"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def _rename(spark: SparkSession, temporary: str, path: str) -> None:
-    """Names by shard and order in place of Spark's. Moves entries of the file system only, an entry per archive."""
+    """Names by shard and order in place of Spark's. Moves entries of the file system only, an entry per archive.
+
+    An archive of the same name was left by a run that died before its manifest, and gives way.
+    """
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(temporary)
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
     for status in files.listStatus(place):
-        name = status.getPath().getName()
-        if m := re.fullmatch(r"part-(\d+)-.*-c(\d+)\.txt", name):
-            files.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(path, f"pages-{m[1]}-{m[2]}.warc.gz"))
+        if m := re.match(_PART, status.getPath().getName()):
+            final = jvm.org.apache.hadoop.fs.Path(path, f"pages-{m[1]}-{m[2]}.warc.gz")
+            files.delete(final, False)
+            if not files.rename(status.getPath(), final):
+                raise OSError(f"{status.getPath()} could not be named {final}")
     files.delete(place, True)
 
 

@@ -3,6 +3,9 @@ import hashlib
 import os
 import random
 
+import pytest
+
+from corpusflow.llm import warc
 from corpusflow.llm.warc import parse_archive, read_archives, write_archives
 from corpusflow.session import scratch_path
 
@@ -57,6 +60,28 @@ def test_record_of_many_megabytes(spark):
     assert {(r.page_id, r.payload_bytes) for r in read_archives(spark, path).collect()} == {(1, len(noise)), (2, 5)}
 
 
+def test_run_after_one_that_died_before_its_manifest(spark):
+    path = scratch_path(spark, "warc-again")
+    folder = path.removeprefix("file:")
+    write_archives(spark.createDataFrame([(i, "old", f"old {i}") for i in range(50)], PAGE), path, shards=4)
+    os.rename(f"{folder}/manifest", f"{folder}-manifest-gone")
+    pages = spark.createDataFrame([(i, "new", f"new {i}") for i in range(5)], PAGE)
+    manifest = write_archives(pages, path, shards=2)
+    assert {(r.page_id, r.url) for r in read_archives(spark, path).collect()} == {(i, "new") for i in range(5)}
+    for r in manifest.collect():
+        data = open(f"{folder}/{r.archive}", "rb").read()  # noqa: SIM115
+        assert (len(data), hashlib.sha1(data).hexdigest()) == (r.bytes, r.sha1)
+    with pytest.raises(FileExistsError):
+        write_archives(pages, path)
+
+
+def test_shards_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SHARD_BYTES", 1000)
+    pages = spark.createDataFrame([(i, "u", "x" * 400) for i in range(100)], PAGE)
+    manifest = write_archives(pages, scratch_path(spark, "warc-shards"))
+    assert len({r.archive.split("-")[1] for r in manifest.collect()}) > 2 * warc.SHARDS
+
+
 def test_empty_table(spark):
     path = scratch_path(spark, "warc-empty")
     assert write_archives(spark.createDataFrame([], PAGE), path).count() == 0
