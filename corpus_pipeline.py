@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import chosen_path, line_dedup, mixing, quality, tiling
-from corpusflow.llm.common import staged, table
+from corpusflow.llm.common import filter_computed, staged, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages out of texts; a document of which nothing is left goes."""
     out = line_dedup.dedup_lines(docs)
     changed = F.col("removed_lines") > 0
-    kept = out.filter(~changed | (F.trim("text") != ""))
+    kept = filter_computed(out, ~changed | (F.trim("text") != ""))
     return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(
         docs.columns
     )
