@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusflow.operators.ordinals import dense_order
@@ -18,6 +21,8 @@ from corpusflow.session import scratch_path
 QUERY_BYTES = 16 << 20
 # Vectors compared with the queries in one matrix product.
 _STEP = 2048
+# Pivots of an index, which meet every query in the driver.
+MOST_PIVOTS = 1024
 
 
 def vector_stats(vectors: DataFrame, groups: list[str], vector: str = "embedding") -> DataFrame:
@@ -95,29 +100,164 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, block_bytes: int = QUE
     """Exact k nearest neighbours by squared L2 distance: ``query_id, vec_id, distance, rank``.
 
     ``corpus`` has ``vec_id`` and ``embedding``, ``queries`` has ``query_id`` and ``embedding``. The corpus stays where it
-    is and is read once per block of queries. A block holds ``block_bytes`` of vectors at most, travels to every task and is
-    released before the next. A task sends on the k best per query, never a distance per pair. Results are stored in
-    the shared folder block by block, so a lost executor costs a block at most.
+    is and is read once per block of queries. A block holds ``block_bytes`` of vectors at most and travels to every task. A
+    task sends on the k best per query, never a distance per pair. Of several blocks each is released before the next, and
+    results are stored in the shared folder block by block, so a lost executor costs a block at most.
     """
-    spark = corpus.sparkSession
-    asked = scratch_path(spark, "queries")
+    spark, near = corpus.sparkSession, corpus.select(F.col("vec_id").cast("long"), "embedding")
+    found = scratch_path(spark, "hits")
+    for ids, vectors, whole in _query_blocks(queries, block_bytes):
+        held = spark.sparkContext.broadcast((ids, vectors))
+        hits = _merge(near.mapInArrow(_scan(held, k), _HIT), k)
+        if whole:
+            return hits
+        hits.write.mode("append").parquet(found)
+        held.destroy()
+    return spark.read.schema(_HIT + ", rank int").parquet(found) if _exists(spark, found) else spark.createDataFrame([], _HIT + ", rank int")
+
+
+def _exists(spark, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Ids and vectors of the queries in blocks of ``block_bytes`` at most, and whether a block holds all of them."""
+    spark = queries.sparkSession
     rows = queries.select(F.col("query_id").cast("long"), "embedding")
-    count, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    if not count:
-        return spark.createDataFrame([], _HIT + ", rank int")
-    blocks = -(-count // max(1, block_bytes // (8 * width)))
+    first = rows.first()
+    if first is None:
+        return
+    most = max(1, block_bytes // (8 * max(1, len(first.embedding))))
+    part = rows.limit(most + 1).toArrow()
+    if part.num_rows <= most:
+        yield part.column("query_id").to_numpy(), _matrix(part.column("embedding")), True
+        return
+    asked = scratch_path(spark, "queries")
+    blocks = -(-rows.count() // most)
     numbered = rows.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     numbered.repartition("block").write.partitionBy("block").parquet(asked)
-    found = scratch_path(spark, "hits")
     for block in range(blocks):
         part = spark.read.parquet(asked).filter(F.col("block") == block).toArrow()
-        if not part.num_rows:
-            continue
-        held = spark.sparkContext.broadcast((part.column("query_id").to_numpy(), _matrix(part.column("embedding"))))
-        near = corpus.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_scan(held, k), _HIT)
-        _merge(near, k).write.mode("append").parquet(found)
-        held.destroy()
-    return spark.read.schema(_HIT + ", rank int").parquet(found)
+        if part.num_rows:
+            yield part.column("query_id").to_numpy(), _matrix(part.column("embedding")), False
+
+
+@dataclass(frozen=True)
+class PivotIndex:
+    """Vectors stored by their nearest pivot: where, the pivots, and of each the least and greatest distance and the
+    number of its vectors."""
+
+    path: str
+    pivots: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    counts: np.ndarray
+
+
+def build_pivot_index(corpus: DataFrame, pivots: int | None = None) -> PivotIndex:
+    """Stores ``vec_id, embedding`` in a folder per pivot.
+
+    Pivots are vectors of the corpus, by default the square root of their number and at most ``MOST_PIVOTS``. Equal vectors and
+    a dense region share a folder, which is dealt over several files.
+    """
+    spark, path = corpus.sparkSession, scratch_path(corpus.sparkSession, "pivots")
+    rows = corpus.select(F.col("vec_id").cast("long"), "embedding").filter("vec_id is not null and embedding is not null")
+    count = rows.count()
+    wanted = pivots or max(1, min(MOST_PIVOTS, math.isqrt(count)))
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).toArrow()
+    points = _matrix(chosen.column("embedding")) if count else np.zeros((0, 0))
+    held = spark.sparkContext.broadcast(points)
+
+    def place(batches):
+        points = held.value
+        for batch in batches:
+            if batch.num_rows:
+                distance = _distances(_matrix(batch.column("embedding")), points)
+                block = distance.argmin(1)
+                away = distance[np.arange(len(block)), block]
+                columns = [batch.column("vec_id"), batch.column("embedding"), pa.array(block, pa.int32()), pa.array(away)]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "embedding", "block", "away"])
+
+    placed = rows.mapInArrow(place, T.StructType([*rows.schema, T.StructField("block", T.IntegerType()), T.StructField("away", T.DoubleType())]))
+    salted = placed.repartition("block", F.pmod(F.xxhash64("vec_id"), F.lit(4)))
+    salted.write.partitionBy("block").parquet(path)
+    low, high, counts = np.full(len(points), np.inf), np.full(len(points), -np.inf), np.zeros(len(points), np.int64)
+    if count:
+        facts = spark.read.parquet(path).groupBy("block").agg(F.min("away"), F.max("away"), F.count("*"))
+        for row in facts.toLocalIterator():  # a row per pivot
+            low[row[0]], high[row[0]], counts[row[0]] = row[1:]
+    return PivotIndex(path, points, low, high, counts)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    square = np.einsum("ij,ij->i", a, a)[:, None] - 2 * (a @ b.T) + np.einsum("ij,ij->i", b, b)
+    return np.sqrt(np.maximum(square, 0))
+
+
+def admitted_blocks(index: PivotIndex, distances: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Which blocks (columns) may hold a vector within ``bound`` of each query (rows), from its distances to the pivots.
+
+    A vector at distance r from a pivot is no nearer to the query than the difference of r and the query's distance.
+    """
+    least = np.maximum(distances - index.high, index.low - distances)
+    # Distances come from rounded products: some slack, relative to what was subtracted, lets more in, never less.
+    return (index.counts > 0) & (least <= bound[:, None] + 1e-6 * (1 + distances))
+
+
+def search_pivots(index: PivotIndex, queries: DataFrame, k: int, block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The same as ``search``, reading only blocks that can hold a neighbour.
+
+    Each query first meets the blocks around it that hold k vectors; its k-th distance there bounds what it is looking
+    for. Of the other blocks only those are read whose distances to their pivot leave room for a vector within a
+    query's bound, and met by these queries alone. Exact by the triangle inequality.
+    """
+    found, answered = None, 0
+    for ids, vectors, _ in _query_blocks(queries, block_bytes):
+        spark = queries.sparkSession
+        path, answered = scratch_path(spark, "hits"), answered + 1
+        distances = _distances(vectors, index.pivots)
+        order = np.argsort(distances, axis=1)
+        held = np.cumsum(index.counts[order], axis=1)
+        # As many of the nearest blocks as hold k vectors, for each query.
+        near = np.zeros(distances.shape, bool)
+        np.put_along_axis(near, order, np.concatenate([np.zeros((len(ids), 1)), held[:, :-1]], 1) < k, 1)
+        near &= index.counts > 0
+        _search_admitted(index, ids, vectors, near, k).write.parquet(f"{path}/near")
+        first = spark.read.parquet(f"{path}/near")
+        reached = first.groupBy("query_id").agg(F.max("distance").alias("far"), F.count("*").alias("n")).toArrow()
+        bound = np.full(len(ids), np.inf)
+        where = {q: i for i, q in enumerate(ids.tolist())}
+        for q, far, n in zip(*(reached.column(c).to_pylist() for c in ("query_id", "far", "n"))):
+            bound[where[q]] = math.sqrt(far) if n >= k else np.inf
+        rest = admitted_blocks(index, distances, bound) & ~near
+        hits = first.drop("rank").unionByName(_search_admitted(index, ids, vectors, rest, k).drop("rank"))
+        _merge(hits, k).write.parquet(f"{path}/all")
+        part = spark.read.parquet(f"{path}/all")
+        found = part if found is None else found.unionByName(part)
+    return queries.sparkSession.createDataFrame([], _HIT + ", rank int") if found is None else found
+
+
+def _search_admitted(index: PivotIndex, ids: np.ndarray, vectors: np.ndarray, admitted: np.ndarray, k: int) -> DataFrame:
+    """The k nearest vectors of each query in the blocks that admit it. Blocks that admit none are not read."""
+    spark = SparkSession.active()
+    wanted = np.flatnonzero(admitted.any(0)).tolist()
+    schema = "vec_id long, embedding array<float>, away double, block int"
+    rows = spark.read.schema(schema).parquet(index.path).filter(F.col("block").isin(wanted) if wanted else F.lit(False))
+    held = spark.sparkContext.broadcast((ids, vectors, admitted))
+
+    def scan(batches):
+        ids, vectors, admitted = held.value
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            for block in np.unique(blocks):
+                mine, asking = np.flatnonzero(blocks == block), np.flatnonzero(admitted[:, block])
+                if len(asking):
+                    part = batch.take(pa.array(mine))
+                    near = _nearest(vectors[asking], ids[asking], _matrix(part.column("embedding")), part.column("vec_id").to_numpy(), k)
+                    yield pa.RecordBatch.from_pandas(near, preserve_index=False)
+
+    return _merge(rows.select("vec_id", "embedding", "block").mapInArrow(scan, _HIT), k)
 
 
 def _scan(held, k: int):

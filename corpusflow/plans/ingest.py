@@ -23,10 +23,11 @@ from corpusflow.operators.embedding import EmbedderFactory, HashingEmbedder, emb
 from corpusflow.operators.tabular import row_line
 from corpusflow.operators.vectors import assign_vector_ids
 from corpusflow.plans.store import DOCUMENT_KEY, RENEWED, Store
-from corpusflow.session import spread
-from corpusflow.sources.extract import NATIVE, extract, is_native
+from corpusflow.session import scratch_path, spread
+from corpusflow.sources.extract import NATIVE, NO_TEXT, extract, is_native
 from corpusflow.sources.files import UPLOAD_EXTENSIONS, locate, not_loaded, read_file, read_files, upload_gate
 from corpusflow.sources.formats import READERS, Reader
+from corpusflow.sources.long_text import SPLITTABLE, chunk_long_text, long_lines
 from corpusflow.sources.manifest import plan_drive, plan_sharepoint
 
 RUN = T.StructType(
@@ -55,6 +56,7 @@ NO_FILE = "File not found: {}"
 NO_DOCUMENTS = "No supported documents found"
 NO_REMOTE_FILES = "No supported files found in {} folder"
 TOO_LARGE = "File is too large to read"
+NOT_ARCHIVED = "File is too large to archive"
 NO_CHUNKS = "Chunk creation failed — no chunks produced"
 
 # Where stored objects are addressed.
@@ -79,6 +81,8 @@ class Run:
     model: str | None = None
     readers: dict[str, Reader] | None = None
     replace_index: bool = True
+    # Bytes above which text is read in splits; by default, what a row can hold.
+    split_above: int | None = None
 
     @property
     def model_key(self) -> str:
@@ -115,7 +119,10 @@ def _run_row(store: Store, run: Run, **values) -> DataFrame:
 
 
 def _failed(store: Store, run: Run, error: str) -> DataFrame:
-    return _run_row(store, run, status="failed", message=FAILED, error=error)
+    """The summary of a run that came to nothing, listed in ``failed_runs``: ``runs`` has those whose rows count."""
+    row = _run_row(store, run, status="failed", message=FAILED, error=error)
+    store.append("failed_runs", row)
+    return row
 
 
 def ingest_files(store: Store, files: DataFrame, run: Run) -> DataFrame:
@@ -123,18 +130,55 @@ def ingest_files(store: Store, files: DataFrame, run: Run) -> DataFrame:
     began = time.monotonic()
     if not run.client:
         return _failed(store, run, NO_CLIENT)
-    largest = largest_file(store.spark)
+    largest = min(largest_file(store.spark), run.split_above or 2**31)
     archive(store, files.filter(F.col("length") <= largest), run)
-    if not store.run_exists("raw_files", run.client, run.run_id):
+    large = files.filter(F.col("length") > largest).drop("content")
+    long = _read_long(store, large.filter(_splittable(run)), run)
+    extract_archive(store, run, large.filter(~_splittable(run)), long)
+    if not store.run_exists("documents", run.client, run.run_id):
         return _failed(store, run, NO_DOCUMENTS)
-    extract_archive(store, run, files.filter(F.col("length") > largest))
     documents = store.read_run("documents", run.client, run.run_id).filter(F.col("pages").isNotNull())
     if documents.isEmpty():
         return _failed(store, run, NO_DOCUMENTS)
-    chunk_and_embed(store, documents, run)
+    chunk_and_embed(store, documents, run, long)
     return finish(store, run, began)
 
 
+def _splittable(run: Run) -> Column:
+    """Files that can be read in splits: no reader of the run's own takes them whole."""
+    return F.col("ext").isin(*[e for e in SPLITTABLE if e not in (run.readers or {})])
+
+
+@dataclass(frozen=True)
+class LongText:
+    """Files read in splits: ``files`` with the ``error`` of those without text, and ``chunks`` by ``rel_path``."""
+
+    files: DataFrame
+    chunks: DataFrame
+
+
+def _read_long(store: Store, files: DataFrame, run: Run) -> LongText | None:
+    """The chunks of files too large for a row, stored on the side; records that cannot be shown go to ``line_errors``."""
+    first = files.select("path", "rel_path").head()
+    if first is None:
+        return None
+    root = first.path[: -len(first.rel_path)]
+    lines, chunks = scratch_path(store.spark, "long-lines"), scratch_path(store.spark, "long-chunks")
+    long_lines(files, root).write.parquet(lines)
+    read = store.spark.read.parquet(lines)
+    chunk_long_text(read, run.size, run.overlap).write.parquet(chunks)
+    faults = read.filter(F.col("error").isNotNull())
+    store.write("line_errors", run.stamp(faults.select("rel_path", "pos", "error")))
+    texts = read.groupBy("rel_path").agg(
+        F.bool_or(F.col("line").isNotNull() & (F.trim("line") != "")).alias("filled"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("fault"),
+    )
+    told = files.join(texts, "rel_path", "left").withColumn(
+        "error", F.when(F.coalesce("filled", F.lit(False)), None).otherwise(F.coalesce("fault", F.lit(NO_TEXT)))
+    )
+    return LongText(told.drop("filled", "fault"), store.spark.read.parquet(chunks))
+
+
 def ingest_directory(store: Store, root: str, run: Run) -> DataFrame:
     """All supported files below ``root``."""
     if not root:
@@ -234,18 +278,22 @@ def largest_file(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
 
 
-def extract_archive(store: Store, run: Run, too_large: DataFrame) -> None:
+def extract_archive(store: Store, run: Run, too_large: DataFrame, long: LongText | None = None) -> None:
     """Page text of the archived files into ``documents``; files without text, and those too large to read, keep a row
-    with the reason."""
-    raw = store.read_run("raw_files", run.client, run.run_id).drop("sha256", "object_name")
+    with the reason. One read in splits has a page without text, which only its chunks hold."""
     extra = F.lit(None) if not run.extra_metadata else _literal_map(run.extra_metadata)
-    rows = extract(raw, run.readers).select(
-        *[c for c in raw.columns if c not in ("content", "is_native")],
-        "pages",
-        "error",
-    )
-    lost = run.stamp(too_large.drop("content")).withColumn("error", F.lit(TOO_LARGE))
-    rows = rows.unionByName(lost, allowMissingColumns=True).select(
+    rows = run.stamp(too_large).withColumns({"pages": F.lit(None).cast(schemas.PAGES), "error": F.lit(TOO_LARGE)})
+    if store.run_exists("raw_files", run.client, run.run_id):
+        raw = store.read_run("raw_files", run.client, run.run_id).drop("sha256", "object_name")
+        read = extract(raw, run.readers).select(
+            *[c for c in raw.columns if c not in ("content", "is_native")], "pages", "error"
+        )
+        rows = read.unionByName(rows)
+    if long:
+        page = F.array(F.struct(F.lit(1), F.lit(None), F.lit(None))).cast(schemas.PAGES)
+        shown = F.when(F.col("error").isNull(), page).alias("pages")
+        rows = rows.unionByName(run.stamp(long.files).select(*[c for c in rows.columns if c not in ("pages", "error")], shown, "error"))
+    rows = rows.select(
         "*",
         make_doc_id(F.col("rel_path")).alias("doc_id"),
         F.coalesce(F.size("pages"), F.lit(0)).alias("total_pages"),
@@ -259,12 +307,17 @@ def _literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def chunk_and_embed(store: Store, documents: DataFrame, run: Run) -> None:
-    """Chunks of the run's documents with their vectors. No shuffle: pages of a document share a row."""
+def chunk_and_embed(store: Store, documents: DataFrame, run: Run, long: LongText | None = None) -> None:
+    """Chunks of the run's documents with their vectors. No shuffle, as pages of a document share a row, but for those
+    of files read in splits, which have been packed before."""
     source = documents.select(
         "client_id", "run_id", "rel_path", "doc_id", "source_file", "source_type", "extra_metadata", "pages"
     )
-    chunks = with_chunk_ids(chunk_documents(spread(source), run.size, run.overlap))
+    chunks = chunk_documents(spread(source), run.size, run.overlap)
+    if long:
+        about = documents.select([c for c in source.columns if c != "pages"])
+        chunks = chunks.unionByName(long.chunks.withColumn("page", F.lit(1).cast("long")).join(about, "rel_path"))
+    chunks = with_chunk_ids(chunks)
     stamped = chunks.withColumn("uploaded_at", F.lit(metadata.iso_utc(run.started)))
     vectors = embed(stamped, factory=run.factory).withColumn("model", F.lit(run.model_key))
     store.write("chunks", vectors)
@@ -357,16 +410,21 @@ def finish(store: Store, run: Run, began: float) -> DataFrame:
 def _record_uploads(store: Store, run: Run) -> tuple[int, int]:
     """The result of storing each file in ``uploads``, and how many were stored and not.
 
-    A file whose client or name is blank has no key to store it under; one too large to read was not archived.
+    A file whose client or name is blank has no key to store it under; one too large for a row was not archived.
     """
-    stored = store.read_run("raw_files", run.client, run.run_id).select(*DOCUMENT_KEY, "run_id", "object_name")
-    results = metadata.upload_results(stored, ACCOUNT, CONTAINER)
-    lost = store.read_run("documents", run.client, run.run_id).filter(F.col("error") == TOO_LARGE)
+    key = [*DOCUMENT_KEY, "run_id"]
+    lost = store.read_run("documents", run.client, run.run_id)
+    results = None
+    if store.run_exists("raw_files", run.client, run.run_id):
+        stored = store.read_run("raw_files", run.client, run.run_id).select(*key, "object_name")
+        results = metadata.upload_results(stored, ACCOUNT, CONTAINER)
+        lost = lost.join(stored.select(*key), key, "left_anti")
+    reason = F.when(F.col("error") == TOO_LARGE, TOO_LARGE).otherwise(NOT_ARCHIVED)
     missing = lost.select(
-        *DOCUMENT_KEY, "run_id", F.lit(False).alias("success"), F.lit("").alias("blob_name"),
-        F.lit(None).cast("string").alias("blob_url"), "error",
+        *key, F.lit(False).alias("success"), F.lit("").alias("blob_name"),
+        F.lit(None).cast("string").alias("blob_url"), reason.alias("error"),
     )
-    store.write("uploads", results.unionByName(missing))
+    store.write("uploads", missing if results is None else results.unionByName(missing))
     totals = store.read_run("uploads", run.client, run.run_id).agg(
         F.count_if("success").alias("sent"), F.count_if(~F.col("success")).alias("failed")
     ).first()

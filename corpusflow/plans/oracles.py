@@ -664,3 +664,37 @@ ORACLES["delimited_records"] = """
         c_name || ' | size: 5" wide' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE ' | segment: ' || c_mktsegment END END AS line,
       CASE WHEN c_custkey % 7 = 0 THEN '4 columns expected, 5 found' END AS error
     FROM customer"""
+
+ORACLES["knn_pivots"] = ORACLES["knn_l2"]
+
+ORACLES["ingest_long"] = ORACLES["ingest_directory"]
+
+ORACLES["stream_rewritten"] = """
+    SELECT doc_id, sha256(text) AS sha256, length(text)::INTEGER AS n_chars, CASE WHEN doc_id % 4 = 1 THEN 2 ELSE 1 END::BIGINT AS versions
+    FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'new ' || text ELSE text END AS text FROM documents)"""
+
+ORACLES["utc_now"] = "SELECT event_id, TRUE AS well_formed, TRUE AS recent FROM events"
+
+ORACLES["list_hidden"] = """
+    SELECT filename, 'html' AS file_type, round_even(size / 1024, 2) AS size_kb, subfolder
+    FROM (SELECT CASE WHEN page_id % 2 = 0 THEN '_p' ELSE 'p' END || page_id || '.html' AS filename,
+            CASE page_id % 3 WHEN 0 THEN '_drafts' WHEN 1 THEN 'a/.cache' ELSE 'a' END AS subfolder,
+            CASE WHEN page_id % 5 = 0 THEN 0 ELSE strlen(html) END AS size
+          FROM pages)"""
+
+ORACLES["document_meta_files"] = f"""
+    WITH RECURSIVE {_CONVERSATION_CHUNKS}, {_META}
+    SELECT 'conv_' || conv_id AS doc_id, source_file, total_pages, total_chunks, total_chars
+    FROM meta WHERE total_chars % 7 <> 0"""
+
+ORACLES["object_round_trip"] = """
+    WITH docs AS (SELECT doc_id, 'raw/' || lang || '/' || doc_id || '.txt' AS name, text FROM documents),
+    puts AS (
+      SELECT doc_id % 3 = 1 AS overwrite, CASE WHEN doc_id % 2 = 0 THEN 'new/' || name ELSE name END AS name,
+        CASE WHEN doc_id % 3 = 1 THEN 'True ' ELSE 'False ' END || text AS text, doc_id
+      FROM docs WHERE doc_id % 3 < 2),
+    done AS (SELECT *, overwrite OR doc_id % 2 = 0 AS success FROM puts)
+    SELECT 'put' AS what, name AS blob_name, success, CASE WHEN NOT success THEN 'The specified blob already exists.' END AS detail FROM done
+    UNION ALL SELECT 'read', name, TRUE, sha256(text) FROM (
+      SELECT name, text FROM done WHERE success
+      UNION ALL SELECT name, text FROM docs WHERE name NOT IN (SELECT name FROM done WHERE success))"""

@@ -19,8 +19,8 @@ from corpusflow.operators import catalog, chunking, embedding, metadata, tabular
 from corpusflow.plans import ingest, maintenance
 from corpusflow.plans.store import Store
 from corpusflow.session import scratch_path, ship_package, spread
-from corpusflow.sources import delimited, extract, files, manifest, objects, sample_files
-from corpusflow.streaming.folder import stream_folder
+from corpusflow.sources import delimited, extract, files, manifest, objects, records, sample_files
+from corpusflow.streaming.folder import stream_changes, stream_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -657,6 +657,65 @@ def put_objects(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def object_round_trip(spark, folder):
+    """Documents put as objects, some of them again with and without overwriting, and read back by key.
+
+    Every result is a row: the puts with what went wrong, and what is stored in the end.
+    """
+    root = scratch_path(spark, "objects")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    name = F.concat(F.lit("raw/"), F.col("lang"), F.lit("/"), _text(F.col("doc_id")), F.lit(".txt")).alias("name")
+    objects.write_objects(docs.select(name, _bytes(F.col("text")).alias("content")), root).count()
+    puts = []
+    for overwrite, rest in ((False, 0), (True, 1)):
+        part = docs.filter(F.col("doc_id") % 3 == rest)
+        fresh = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("new/"), name)).otherwise(name).alias("name")
+        content = _bytes(F.concat(F.lit(f"{overwrite} "), "text")).alias("content")
+        done = objects.write_objects(part.select(fresh, content), root, overwrite)
+        puts.append(done.select(F.lit("put").alias("what"), "blob_name", "success", F.col("error").alias("detail")))
+    keys = docs.select(name).unionByName(docs.select(F.concat(F.lit("new/"), name).alias("name")))
+    read = objects.read_objects(keys, root).select(
+        F.lit("read").alias("what"), F.col("name").alias("blob_name"), F.lit(True).alias("success"), F.sha2("content", 256).alias("detail")
+    )
+    return puts[0].unionByName(puts[1]).unionByName(read)
+
+
+@query
+def list_hidden(spark, folder):
+    """Pages as files, some with hidden names or in hidden folders and some without a byte: the listing of the folder."""
+    root = scratch_path(spark, "tree")
+    key = F.col("page_id")
+    name = F.concat(
+        F.when(key % 3 == 0, "_drafts/").when(key % 3 == 1, "a/.cache/").otherwise("a/"),
+        F.when(key % 2 == 0, "_p").otherwise("p"), _text(key), F.lit(".html"),
+    ).alias("name")
+    content = F.when(key % 5 == 0, F.lit(b"")).otherwise(_bytes(F.col("html"))).alias("content")
+    objects.write_objects(spread(table(spark, folder, "pages").select("page_id", "html")).select(name, content), root).count()
+    return files.scan_directory(spark, root)
+
+
+@query
+def document_meta_files(spark, folder):
+    """Metadata files written as objects, a broken one for every seventh, and read back."""
+    root = scratch_path(spark, "meta")
+    about = ("source_file", "total_pages", "total_chunks", "total_chars")
+    meta = _conversation_meta(spark, folder).select(F.concat(F.lit("conv_"), "conv_id").alias("doc_id"), *about)
+    text_ = F.to_json(F.struct(*meta.columns))
+    broken = F.when(F.col("total_chars") % 7 == 0, F.substr(text_, F.lit(1), F.length(text_) - 1)).otherwise(text_)
+    name = F.concat(F.lit("acme/"), "doc_id", F.lit("_meta.json")).alias("name")
+    objects.write_objects(spread(meta.select(name, _bytes(broken).alias("content"))), root).count()
+    return records.read_document_meta(spark, root).select(*meta.columns)
+
+
+@query
+def utc_now(spark, folder):
+    """The time of the query beside each event: well formed, and not before the event's stamp of 2020 or after."""
+    now = text.utc_now_iso()
+    shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{6})?\+00:00$"
+    return table(spark, folder, "events").select("event_id", now.rlike(shape).alias("well_formed"), (now >= "2024").alias("recent"))
+
+
 @query
 def public_url(spark, folder):
     url = paths.public_url(F.lit("account"), F.lit("container"), F.col("name"))
@@ -854,6 +913,15 @@ def knn_blocks(spark, folder):
     return vectors.search(corpus, asked, 5, block_bytes=64 * 64 * 8).withColumn("distance", F.round("distance", 6))
 
 
+@query
+def knn_pivots(spark, folder):
+    """The same search by an index that leaves out blocks of vectors too far away."""
+    corpus = table(spark, folder, "embeddings")
+    asked = corpus.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = vectors.search_pivots(vectors.build_pivot_index(corpus), asked, 5, block_bytes=256 * 64 * 8)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
 @query
 def knn_chunk_join(spark, folder):
     labels = table(spark, folder, "embeddings").select("vec_id", "label")
@@ -1330,3 +1398,32 @@ def stream_ingest(spark, folder):
     stream = stream_folder(store, landed, scratch_path(spark, "stream"), _run(), files_per_batch=1000)
     stream.awaitTermination()
     return _ingested_documents(store)
+
+
+@query
+def stream_rewritten(spark, folder):
+    """A stream of file versions: one file is rewritten between two triggers. What is current, and how often each was read."""
+    store = Store(spark, scratch_path(spark, "store"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    root, checkpoint = _named_files(spark, docs), scratch_path(spark, "stream")
+    stream_changes(store, root, checkpoint, _run()).awaitTermination()
+    part = docs.filter(F.pmod("doc_id", F.lit(_BUCKETS)) == 1)
+    fresh = _named_files(spark, part.select("doc_id", F.concat(F.lit("new "), "text").alias("text")))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(f"{root}/part1.txt"), False)
+    fs.rename(path(f"{fresh}/part1.txt"), path(f"{root}/part1.txt"))
+    stream_changes(store, root, checkpoint, _run()).awaitTermination()
+    read = store.read("documents").groupBy("rel_path").agg(F.count("*").alias("versions"))
+    versions = read.select(F.regexp_extract("rel_path", r"part(\d+)", 1).cast("int").alias("b"), "versions")
+    found = _ingested_documents(store).withColumn("b", F.pmod("doc_id", F.lit(_BUCKETS)).cast("int"))
+    return found.join(versions, "b").drop("b")
+
+
+@query
+def ingest_long(spark, folder):
+    """Documents as lines of a few files, all read in splits as if too long to be read whole."""
+    store = Store(spark, scratch_path(spark, "store"))
+    root = _named_files(spark, table(spark, folder, "documents"))
+    ingest.ingest_directory(store, root, replace(_run(), split_above=1000))
+    return _ingested_documents(store)

@@ -9,6 +9,7 @@ line whether it begins a record. Lines of one record are then put together again
 from __future__ import annotations
 
 import csv as csv_format
+import re
 from typing import Iterable
 
 import pandas as pd
@@ -37,13 +38,18 @@ LONG_HEADER = "the header has more than {} lines"
 LONG_RECORD = "a record of {} characters is too long"
 
 
-def _split_lines(spark: SparkSession, root: str, extensions: Iterable[str]) -> DataFrame:
-    """``rel_path, value, pos`` and ``part``: lines, their place in the file, and the partition they are in."""
+def split_lines(spark: SparkSession, root: str, paths: list[str] | None = None, extensions: Iterable[str] = ()) -> DataFrame:
+    """``rel_path, value, pos`` and ``part``: lines, their place in the file, and the partition they are in.
+
+    Of the files at ``paths``, all below ``root``, or of all with one of the ``extensions``.
+    """
     full, _, is_folder = locate(spark, root)
     if not is_folder:
         raise ValueError(f"Invalid directory path: {root}")
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", any_case_glob(extensions))
-    lines = reader.text(full).select(
+    reader = spark.read.option("recursiveFileLookup", True)
+    if paths is None:
+        reader = reader.option("pathGlobFilter", any_case_glob(extensions))
+    lines = reader.text([_unglobbed(p) for p in paths] if paths is not None else full).select(
         F.substr(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), F.lit(len(full.rstrip("/")) + 2)).alias("rel_path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
@@ -53,12 +59,17 @@ def _split_lines(spark: SparkSession, root: str, extensions: Iterable[str]) -> D
     return dense_order(lines, ["rel_path"], [F.col("_start"), F.col("_row")], "_one", "pos", part="part")
 
 
+def _unglobbed(path: str) -> str:
+    """A path whose special characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def file_lines(spark: SparkSession, root: str, extensions: Iterable[str]) -> DataFrame:
     """``rel_path, pos, value``: the lines of the files below ``root`` with their place in the file, from 0.
 
     Files are read in splits. A line's order is its split's start, then its place in the task that read it.
     """
-    return _split_lines(spark, root, extensions).select("rel_path", "pos", "value")
+    return split_lines(spark, root, extensions=extensions).select("rel_path", "pos", "value")
 
 
 def _ends_quoted(line: Column, separator: str) -> Column:
@@ -159,6 +170,7 @@ def delimited_lines(
     extensions: Iterable[str] = ("csv",),
     separators: tuple[str, ...] = CSV_SEPARATORS,
     record_chars: int = RECORD_CHARS,
+    paths: list[str] | None = None,
 ) -> DataFrame:
     """``rel_path, pos, line, error``: a ``name: value`` line per record of the delimited files below ``root``.
 
@@ -166,10 +178,10 @@ def delimited_lines(
     cells may hold separators, doubled quotes and line feeds, wherever a split cuts them. Blank cells and those that mean
     none are left out, records without any value too. ``pos`` numbers records from 0. A record that cannot be shown
     has an ``error`` in place of its line: one with more cells than the header, or of more than ``record_chars``
-    characters. So has a file without a header. ``operators.tabular.chunk_lines`` packs the lines.
+    characters. So has a file without a header. ``paths`` names files to read in place of ``extensions``. ``operators.tabular.chunk_lines`` packs the lines.
     """
     valid = F.make_valid_utf8("value")
-    lines = _split_lines(spark, root, extensions).select("rel_path", "pos", "part", valid.alias("value"))
+    lines = split_lines(spark, root, paths, extensions).select("rel_path", "pos", "part", valid.alias("value"))
     headers = _headers(lines, separators)
     text, mark = F.col("value"), F.col("separator")
 

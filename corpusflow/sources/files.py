@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.paths import extension, file_name, path_parts
 from corpusflow.functions.text import strip
+from corpusflow.sources.tree import list_tree, open_files, passed_over
 
 # Extensions read from folders, by kind.
 DOCUMENTS = ("pdf", "docx", "doc", "txt", "rtf", "odt")
@@ -77,11 +78,35 @@ def describe_files(files: DataFrame, root: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, root: str, extensions: Iterable[str] = FOLDER_EXTENSIONS) -> DataFrame:
-    """Files below ``root`` with their bytes. Columns not used further on, ``content`` too, are not read."""
+    """Files below ``root`` with their bytes: by Spark's own source, and those that it passes over by name.
+
+    One of the latter that no row can hold has no content.
+    """
     full, exists, is_folder = locate(spark, root)
     if not is_folder:
         raise ValueError(f"Invalid directory path: {root}")
-    return describe_files(file_reader(spark.read, extensions).load(full), full)
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    shown = describe_files(file_reader(spark.read, extensions).load(full), full)
+    others = list_files(spark, root, extensions).filter(passed_over(F.col("rel_path"), F.col("length")))
+    return shown.unionByName(open_files(others, full, most))
+
+
+def list_files(spark: SparkSession, root: str, extensions: Iterable[str] = FOLDER_EXTENSIONS) -> DataFrame:
+    """All files below ``root`` with these extensions, as ``read_files`` shows them but for their bytes; none is opened."""
+    full, _, is_folder = locate(spark, root)
+    if not is_folder:
+        raise ValueError(f"Invalid directory path: {root}")
+    return describe_tree(list_tree(spark, full), full, extensions)
+
+
+def describe_tree(listed: DataFrame, root: str, extensions: Iterable[str]) -> DataFrame:
+    """Path facts of a listing of the folder ``root``."""
+    rel = F.col("rel_path")
+    rows = listed.select(
+        F.concat(F.lit(root.rstrip("/") + "/"), rel).alias("path"), rel, file_name(rel).alias("source_file"),
+        extension(file_name(rel)).alias("ext"), "length", "modified",
+    )
+    return rows.filter(F.col("ext").isin(*extensions))
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +144,7 @@ def scan_directory(spark: SparkSession, root: str) -> DataFrame:
     _, _, is_folder = locate(spark, root)
     if not is_folder:
         return spark.createDataFrame([], "filename string, file_type string, size_kb double, subfolder string")
-    return describe_listing(read_files(spark, root).drop("content"))
+    return describe_listing(list_files(spark, root))
 
 
 def upload_gate(

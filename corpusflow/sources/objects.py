@@ -1,4 +1,4 @@
-"""Stored objects: listing, reading and existence by key."""
+"""Stored objects: listing, reading, writing and existence by key."""
 
 from __future__ import annotations
 
@@ -7,15 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.paths import content_type
 from corpusflow.functions.text import utc_iso
+from corpusflow.session import scratch_path, ship_package
 from corpusflow.sources.files import locate
-
-
-def _load(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
-    full, _, is_folder = locate(spark, root)
-    if not is_folder:
-        raise ValueError(f"Invalid directory path: {root}")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return reader.load(full), len(full.rstrip("/")) + 2
+from corpusflow.sources.tree import EXISTS, UNFINISHED, list_tree, open_files, write_files
 
 
 def describe_objects(objects: DataFrame) -> DataFrame:
@@ -30,12 +24,12 @@ def describe_objects(objects: DataFrame) -> DataFrame:
 
 def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """Objects below ``root`` whose key starts with ``prefix``; their bytes are not read."""
-    files, start = _load(spark, root)
-    named = files.select(
-        F.substr(F.col("path"), F.lit(start)).alias("name"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified"),
-    )
+    full, _, is_folder = locate(spark, root)
+    if not is_folder:
+        raise ValueError(f"Invalid directory path: {root}")
+    named = list_tree(spark, full).select(
+        F.col("rel_path").alias("name"), F.col("length").alias("size_bytes"), "modified"
+    ).filter(~F.endswith("name", F.lit(UNFINISHED)))
     return describe_objects(with_prefix(named, prefix))
 
 
@@ -43,15 +37,43 @@ def with_prefix(objects: DataFrame, prefix: str) -> DataFrame:
     return objects.filter(F.startswith(F.col("name"), F.lit(prefix)))
 
 
-def read_objects(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
-    """Name and bytes of the objects with these keys; a missing key gives no row."""
+def read_objects(keys: DataFrame, root: str) -> DataFrame:
+    """The rows of ``keys`` (column ``name``) with the bytes of the object of that name; a missing one gives no row.
+
+    Objects are opened where their rows are.
+    """
+    ship_package(keys.sparkSession)
+    full, _, _ = locate(keys.sparkSession, root)
+    return open_files(keys, full, name="name").filter(F.col("content").isNotNull())
+
+
+def write_objects(incoming: DataFrame, root: str, overwrite: bool = True) -> DataFrame:
+    """Puts the ``content`` of each row of ``incoming`` at its ``name`` below ``root``; ``success, blob_name, error`` per row.
+
+    Objects are written where their rows are, under temporary names first. Without ``overwrite`` one whose name is taken stays
+    as it was, and the result is an error. What is taken is settled before anything is written, so that a task that
+    is run again gives the same answer; another writer's object put meanwhile is kept too. Names are unique.
+    """
+    spark = incoming.sparkSession
+    ship_package(spark)
     full, _, _ = locate(spark, root)
-    paths = [f"{full.rstrip('/')}/{key}" for key in keys]
-    present = [p for p in paths if locate(spark, p)[1]]
-    if not present:
-        return spark.createDataFrame([], "name string, content binary")
-    files = spark.read.format("binaryFile").load(present)
-    return files.select(F.substr(F.col("path"), F.lit(len(full.rstrip("/")) + 2)).alias("name"), "content")
+    results, path = [], scratch_path(spark, "put")
+    if not overwrite:
+        before = scratch_path(spark, "present")
+        _present(incoming.select("name"), full).write.parquet(before)
+        present = spark.read.parquet(before)
+        incoming, taken = (incoming.join(present, "name", kind) for kind in ("left_anti", "left_semi"))
+        results.append(taken.select(F.lit(False).alias("success"), F.col("name").alias("blob_name"), F.lit(EXISTS).alias("error")))
+    write_files(incoming, full, "name", overwrite).write.parquet(path)
+    done = spark.read.schema("success boolean, blob_name string, error string").parquet(path)
+    for more in results:
+        done = done.unionByName(more)
+    return done
+
+
+def _present(keys: DataFrame, full: str) -> DataFrame:
+    """The names among ``keys`` that are taken: each is looked up by itself, without a byte read."""
+    return open_files(keys, full, name="name", start=0).filter(F.col("content").isNotNull()).select("name")
 
 
 def which_exist(keys: DataFrame, objects: DataFrame) -> DataFrame:
@@ -74,6 +96,6 @@ def put_objects(stored: DataFrame, incoming: DataFrame, overwrite: bool = True)
     results = which_exist(incoming.select("name"), stored).select(
         done.alias("success"),
         F.col("name").alias("blob_name"),
-        F.when(~done, "The specified blob already exists.").alias("error"),
+        F.when(~done, EXISTS).alias("error"),
     )
     return after, results
