@@ -213,7 +213,7 @@ def search_pivots(index: PivotIndex, queries: DataFrame, k: int, block_bytes: in
     query's bound, and met by these queries alone. Exact by the triangle inequality.
     """
     found, answered = None, 0
-    for ids, vectors, _ in _query_blocks(queries, block_bytes):
+    for ids, vectors, _ in _query_blocks(queries, block_bytes) if len(index.pivots) else ():
         spark = queries.sparkSession
         path, answered = scratch_path(spark, "hits"), answered + 1
         distances = _distances(vectors, index.pivots)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions import paths, text
-from corpusflow.sources import extract, files, objects, sample_files
+from corpusflow.sources import extract, files, objects, sample_files, tree
 from corpusflow.sources.formats import Page
 
 
@@ -24,6 +24,8 @@ def folder(tmp_path):
         "x.bin": b"zz",
         "noext": b"zz",
         "_hidden.txt": b"zz",
+        ".cache/x=1/_y.md": b"deep and hidden",
+        "empty.txt": b"",
         "u.txt": "\U0001f600 wide".encode("utf-16"),
         "old.ppt": b"zz",
     }
@@ -38,6 +40,8 @@ def test_scan_lists_in_path_order_without_content(spark, folder):
     scanned = files.scan_directory(spark, folder)
     rows = [tuple(r) for r in scanned.collect()]
     assert [(r[3], r[0]) for r in rows] == [
+        (".cache/x=1", "_y.md"),
+        ("", "_hidden.txt"),
         ("a", "Main.PY"),
         ("a", "b.txt"),
         ("a/c", "e.txt"),
@@ -45,11 +49,12 @@ def test_scan_lists_in_path_order_without_content(spark, folder):
         ("", "a.txt"),
         ("", "bad.xlsx"),
         ("", "data set.JSON"),
+        ("", "empty.txt"),
         ("", "old.ppt"),
         ("", "u.txt"),
         ("", "w.docx"),
     ]
-    assert rows[0][1] == "py" and rows[4][2] == 0.12
+    assert rows[2][1] == "py" and rows[6][2] == 0.12 and rows[9][2] == 0
     assert "content" not in scanned._jdf.queryExecution().executedPlan().toString()
 
 
@@ -73,12 +78,14 @@ def test_extraction_and_errors(spark, folder):
         "data set.JSON": '{\n  "a": 1\n}',
         "w.docx": "hello",
         "u.txt": "\U0001f600 wide",
+        "_hidden.txt": "zz",
+        ".cache/x=1/_y.md": "deep and hidden",
     }
     assert docs["data set.JSON"].doc_id == "data_set" and docs["w.docx"].total_pages == 1
     errors = {r.path.rsplit("/", 1)[1]: r.reason.split(":")[0] for r in extract.to_errors(found).collect()}
-    assert errors == {"e.txt": "no text", "bad.xlsx": "BadZipFile", "old.ppt": "MissingReader"}
-    missing = files.not_loaded(files.read_files(spark, folder).drop("content"), extract.to_documents(found), ["rel_path"])
-    assert {r.rel_path for r in missing.collect()} == {"a/c/e.txt", "bad.xlsx", "old.ppt"}
+    assert errors == {"e.txt": "no text", "empty.txt": "no text", "bad.xlsx": "BadZipFile", "old.ppt": "MissingReader"}
+    missing = files.not_loaded(files.list_files(spark, folder), extract.to_documents(found), ["rel_path"])
+    assert {r.rel_path for r in missing.collect()} == {"a/c/e.txt", "bad.xlsx", "old.ppt", "empty.txt"}
 
 
 def test_readers_can_be_added_and_replaced(spark, folder):
@@ -97,13 +104,62 @@ def test_objects(spark, folder):
     assert set(listed) == {"a/b.txt", "a/Main.PY", "a/c/notes.md", "a/c/e.txt"}
     assert listed["a/c/notes.md"].content_type == "text/markdown" and listed["a/b.txt"].size_bytes == 10
     assert listed["a/b.txt"].last_modified.endswith("+00:00")
-    read = objects.read_objects(spark, folder, ["a.txt", "none"]).collect()
-    assert [(r.name, len(r.content)) for r in read] == [("a.txt", 128)]
+    asked = [(k,) for k in ("a.txt", "none", "a", "a.txt/x", "../root/a.txt", "_hidden.txt", "empty.txt", None, "")]
+    read = objects.read_objects(spark.createDataFrame(asked, "name string"), folder).collect()
+    assert {(r.name, len(r.content)) for r in read} == {("a.txt", 128), ("_hidden.txt", 2), ("empty.txt", 0)}
     keys = spark.createDataFrame([("a.txt",), ("none",)], "name string")
     flags = objects.which_exist(keys, objects.list_objects(spark, folder)).collect()
     assert {r.name: r.exists for r in flags} == {"a.txt": True, "none": False}
 
 
+def test_listing_shares_out_folders_and_misses_none(spark, tmp_path):
+    wanted = set()
+    for i in range(300):
+        name = "/".join([f"d{i % 7}", f"_e{i % 5}", f".f{i % 3}"][: i % 4] + [f"{'.' * (i % 2)}n{i}.txt"])
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * (i % 3))
+        wanted.add((name, i % 3))
+    (tmp_path / "no files").mkdir()
+    for folders in (1, 4, 1000):
+        tree.list_tree(spark, str(tmp_path))
+        listed = spark.read.format(tree.FORMAT).option("folders", folders).load(str(tmp_path))
+        rows = listed.collect()
+        assert {(r.rel_path, r.length) for r in rows} == wanted and len(rows) == 300
+    assert listed.rdd.getNumPartitions() > 20
+    assert {r.rel_path for r in files.read_files(spark, str(tmp_path)).collect()} == {n for n, _ in wanted}
+
+
+def test_objects_are_put_whole_and_taken_names_kept(spark, tmp_path):
+    root = tmp_path / "bucket"
+    root.mkdir()
+    rows = [("a/1", b"one"), ("a/2", None), ("b", b"x" * 100_000), ("../up", b"no"), ("", b"no"), (None, b"no"), ("/abs", b"no"), ("a//3", b"no")]
+    incoming = spark.createDataFrame([(n, c and bytearray(c)) for n, c in rows], "name string, content binary").repartition(3)
+
+    def put(df, overwrite):
+        return sorted(((r.blob_name or "", r.success, r.error) for r in objects.write_objects(df, str(root), overwrite).collect()))
+
+    def stored():
+        return {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+    bad = [(n, False, tree.BAD_KEY) for n in ("", "", "../up", "/abs", "a//3")]
+    assert put(incoming, False) == sorted([*bad, ("a/1", True, None), ("a/2", True, None), ("b", True, None)])
+    assert stored() == {"a/1": b"one", "a/2": b"", "b": b"x" * 100_000}
+    later = spark.createDataFrame([("a/1", bytearray(b"uno")), ("c", bytearray(b"3"))], "name string, content binary")
+    assert put(later, False) == [("a/1", False, tree.EXISTS), ("c", True, None)]
+    assert stored()["a/1"] == b"one"
+    assert put(later, True) == [("a/1", True, None), ("c", True, None)]
+    assert stored() == {"a/1": b"uno", "a/2": b"", "b": b"x" * 100_000, "c": b"3"}
+
+
+def test_a_repeated_put_gives_the_same_answer(tmp_path):
+    """A task that is run again meets its own object; another writer's is kept."""
+    system, path = tree.file_system(str(tmp_path))
+    for _ in range(2):
+        assert tree.write_file(system, path, "k/x", b"mine", overwrite=False) is None
+    assert tree.write_file(system, path, "k/x", b"other", overwrite=False) == tree.EXISTS
+    assert (tmp_path / "k/x").read_bytes() == b"mine" and len(list(tmp_path.rglob("*"))) == 2
+
+
 def test_path_functions(spark):
     names = ["a.tar.gz", ".bashrc", "a.", "noext", "x/y.TXT", "..a", "x/"]
     rows = spark.createDataFrame([(n,) for n in names], "p string").select(

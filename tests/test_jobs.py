@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from functools import partial
 
@@ -12,8 +13,8 @@ from corpusflow.operators.embedding import HashingEmbedder
 from corpusflow.plans import ingest, maintenance
 from corpusflow.plans.ingest import Run
 from corpusflow.plans.store import Store
-from corpusflow.sources import manifest, sample_files
-from corpusflow.streaming.folder import changed_files, stream_folder
+from corpusflow.sources import long_text, manifest, sample_files
+from corpusflow.streaming.folder import changed_files, stream_changes, stream_folder
 
 
 def small_model():
@@ -200,19 +201,89 @@ def test_drive_and_sharepoint_jobs(spark, folder, tmp_path):
     assert lookup_jobs(asked, jobs).first().status == "not_found"
 
 
+@contextmanager
+def setting(spark, **values):
+    kept = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in kept}
+    for k, v in kept.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_one_large_file_stops_nothing(spark, folder, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
+    (folder / "big.json").write_text(str(list(range(3000))))
     (folder / "big.txt").write_text("big words here\n" * 400)
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "3000")
-    try:
+    with setting(spark, spark__sql__sources__binaryFile__maxLength=3000):
         done = ingest.ingest_directory(store, str(folder), at(1)).first()
-    finally:
-        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
     assert done.status == "partial" and done.total_chunks > 0
     reasons = {r.rel_path: r.error for r in store.read("documents").filter("pages IS NULL").collect()}
-    assert reasons["big.txt"] == ingest.TOO_LARGE
-    failed = {r.rel_path for r in store.read("uploads").filter("NOT success").collect()}
-    assert "big.txt" in failed and len(failed) == done.uploads_failed
+    assert reasons["big.json"] == ingest.TOO_LARGE and "big.txt" not in reasons
+    failed = {r.rel_path: r.error for r in store.read("uploads").filter("NOT success").collect()}
+    assert failed["big.json"] == ingest.TOO_LARGE and failed["big.txt"] == ingest.NOT_ARCHIVED
+    assert len(failed) == done.uploads_failed
+    text = "\n".join(r.text for r in store.current("chunks").filter("rel_path = 'big.txt'").orderBy("chunk_index").collect())
+    assert text.count("big words here") >= 400
+
+
+def test_folder_of_files_too_large_only(spark, tmp_path):
+    store, root = Store(spark, str(tmp_path / "store")), tmp_path / "in"
+    root.mkdir()
+    (root / "big.json").write_text(str(list(range(3000))))
+    with setting(spark, spark__sql__sources__binaryFile__maxLength=3000):
+        row = ingest.ingest_directory(store, str(root), at(1)).first()
+    assert (row.status, row.error) == ("failed", ingest.NO_DOCUMENTS)
+    assert [(r.rel_path, r.error) for r in store.read("documents").collect()] == [("big.json", ingest.TOO_LARGE)]
+    ingest.ingest_directory(store, str(tmp_path / "none"), at(2, client_id=" "))
+    listed = spark.read.parquet(store.path("failed_runs")).orderBy("run_id").collect()
+    assert [(r.client_id, r.error) for r in listed] == [("007", ingest.NO_DOCUMENTS), ("", ingest.BAD_FOLDER.format(tmp_path / "none"))]
+
+
+def test_text_read_in_splits_gives_the_chunks_of_one_pass(spark, tmp_path):
+    root = tmp_path / "in"
+    lines = ["word " * (i % 23) + f"é{i}" for i in range(600)]
+    contents = {
+        "plain.txt": "\n".join(lines).encode(),
+        "sub/a [1].txt": ("\ufeff" + "\r\n".join(lines)).encode(),
+        "latin.rst": "\r".join(lines).encode("latin-1"),
+        "notes.md": b"\n".join(x.encode() + b"\xe2\x82" for x in lines),
+        "code+1.PY": ("\n\n" + "\n".join(lines)).encode(),
+        "blank.txt": b" \n" * 500,
+        "blank.py": b" \n" * 500,
+        "table.csv": ("name,note\n" + "".join(f'{x},"{i}\nof"\n' for i, x in enumerate(lines))).encode(),
+        "table.tsv": ("name\tnote\n" + "".join(f"{x}\t{i}\n" for i, x in enumerate(lines))).encode(),
+        "small.txt": b"y" * 50,
+    }
+    for name, content in contents.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    (root / "wide.txt").write_bytes(("x" * 700).encode("utf-16"))
+    (root / "ragged.csv").write_text("a,b\n" + "1,2,3\n" * 200 + "fine enough to make a chunk of more than thirty,2\n")
+    stores = []
+    for k, above in enumerate((None, 1000)):
+        store = Store(spark, str(tmp_path / f"store{k}"))
+        with setting(spark, spark__sql__files__maxPartitionBytes=2000, spark__sql__files__openCostInBytes=0):
+            summary = ingest.ingest_directory(store, str(root), at(1, split_above=above)).first()
+        stores.append((store, summary))
+
+    def chunks(store):
+        rows = store.current("chunks").select("rel_path", "chunk_id", "page", "text", "char_count", "embedding").collect()
+        return sorted((r.rel_path, r.chunk_id, r.page, r.text, r.char_count, tuple(r.embedding)) for r in rows)
+
+    whole, split = ([c for c in chunks(s) if c[0] not in ("wide.txt", "ragged.csv")] for s, _ in stores)
+    assert whole == split and len({c[0] for c in whole}) == len(contents) - 2
+    store, summary = stores[1]
+    reasons = {r.rel_path: r.error for r in store.read("documents").filter("pages IS NULL").collect()}
+    assert reasons == {"blank.txt": "no text", "blank.py": "no text", "wide.txt": long_text.UTF16}
+    errors = store.read("line_errors").filter("rel_path = 'ragged.csv'").collect()
+    assert sorted(r.pos for r in errors) == list(range(200)) and {r.error for r in errors} == {"2 columns expected, 3 found"}
+    assert [c[3] for c in chunks(store) if c[0] == "ragged.csv"] == ["a: fine enough to make a chunk of more than thirty | b: 2"]
+    assert summary.total_chunks == len(chunks(store)) and summary.status == "partial"
+    assert [r.vec_id for r in store.current("vectors").orderBy("vec_id").collect()] == list(range(summary.total_chunks))
 
 
 def test_a_model_needs_a_name(spark):
@@ -231,3 +302,24 @@ def test_stream_takes_each_file_once(spark, folder, tmp_path):
     start().awaitTermination()
     assert chunk_keys(store.current("chunks")) == sorted([*first, ("new.txt", 0)])
     assert sorted(r.vec_id for r in store.read("vectors").collect()) == list(range(10))
+
+
+def test_stream_of_versions(spark, folder, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    start = partial(stream_changes, store, str(folder), str(tmp_path / "cp"), at(1))
+    (folder / "_hidden.txt").write_text("h" * 40)
+    start().awaitTermination()
+    first = chunk_keys(store.current("chunks"))
+    assert len(first) == 10 and ("_hidden.txt", 0) in first
+    seen = store.read("documents").count()
+    # Nothing new: no run. Then one file is rewritten, one turns blank and one is new.
+    start().awaitTermination()
+    assert store.read("documents").count() == seen
+    (folder / "b.txt").write_text("rewritten " * 5)
+    (folder / "_hidden.txt").write_text("")
+    (folder / "new.txt").write_text("n" * 50)
+    start().awaitTermination()
+    assert store.read("documents").count() == seen + 3
+    rest = [k for k in first if k[0] not in ("b.txt", "_hidden.txt")]
+    assert chunk_keys(store.current("chunks")) == sorted([*rest, ("b.txt", 0), ("new.txt", 0)])
+    assert store.current("chunks").filter("rel_path = 'b.txt'").first().text == ("rewritten " * 5).strip()

@@ -85,3 +85,52 @@ def test_stats_see_mixed_dimensions(spark):
     df = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0]), ("b", [1.0])], "g string, embedding array<float>")
     got = {r.g: (r.ntotal, r.dim, r.same_dim) for r in vectors.vector_stats(df, ["g"]).collect()}
     assert got == {"a": (1, 1, True), "b": (2, 2, False)}
+
+
+def clustered(n, dim=8, clusters=12):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(clusters, dim)) * 20
+    points = centres[np.arange(n) % clusters] + rng.normal(size=(n, dim))
+    points[::50] = points[0]  # many equal vectors
+    return [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(points)]
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 20 * 8 * 8])
+def test_search_by_pivots_equals_search(spark, block_bytes):
+    rows = clustered(900)
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(i, [x + 0.1 for x in v]) for i, v in rows[::13]], "query_id long, embedding array<float>")
+    index = vectors.build_pivot_index(corpus)
+    assert len(index.pivots) == 30 and index.counts.sum() == 900
+    key = ["query_id", "rank", "vec_id", "distance"]
+    for k in (1, 7, 60):
+        got = {tuple(r) for r in vectors.search_pivots(index, queries, k, block_bytes).select(*key).collect()}
+        assert got == {tuple(r) for r in vectors.search(corpus, queries, k, block_bytes).select(*key).collect()}
+
+
+def test_far_blocks_are_not_read(spark, monkeypatch):
+    rows = clustered(900)
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = vectors.build_pivot_index(corpus)
+    queries = spark.createDataFrame([(i, v) for i, v in rows[1:4]], "query_id long, embedding array<float>")
+    read, scan = [], vectors._search_admitted
+
+    def counted(index, ids, given, admitted, k):
+        read.append(admitted)
+        return scan(index, ids, given, admitted, k)
+
+    monkeypatch.setattr(vectors, "_search_admitted", counted)
+    assert vectors.search_pivots(index, queries, 5).count() == 15
+    near, rest = read
+    # Three queries in three of twelve clusters: most of the 30 blocks admit none of them.
+    assert not (near & rest).any() and (near | rest).any(0).sum() <= 15 and (near | rest).sum(1).max() <= 8
+
+
+def test_pivots_of_few_or_no_vectors(spark):
+    schema = "vec_id long, embedding array<float>"
+    queries = spark.createDataFrame([(1, [0.0, 1.0])], "query_id long, embedding array<float>")
+    few = vectors.build_pivot_index(spark.createDataFrame([(5, [1.0, 1.0]), (None, [0.0, 0.0]), (6, None)], schema))
+    assert [(r.vec_id, r.distance) for r in vectors.search_pivots(few, queries, 3).collect()] == [(5, 1.0)]
+    assert vectors.search_pivots(few, queries.limit(0), 3).count() == 0
+    none = vectors.build_pivot_index(spark.createDataFrame([], schema))
+    assert vectors.search_pivots(none, queries, 3).count() == 0
