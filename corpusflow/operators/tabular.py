@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from corpusflow.functions.text import only_present, strip
 from corpusflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHARS, next_flush
 from corpusflow.operators.ordinals import running_total
-from corpusflow.session import truncate_lineage
+from corpusflow.session import scratch_path, truncate_lineage
 
 # Lines a block holds, unless the chunk settings ask for more, and blocks whose step functions meet in a task.
 BLOCK_LINES = 20_000
@@ -78,6 +78,8 @@ def chunk_lines(
         .select(*groups, "_first", F.posexplode("_parts").alias("_at", "_line"))
         .select(*groups, (F.col("_first") + F.col("_at")).alias("_n"), "_line")
     )
+    # Read by both passes: stored once, rather than numbered again for the second.
+    numbered = _stored(numbered)
     # A block also gets the lines before it that an open buffer can reach back to.
     own = F.floor(F.col("_n") / block)
     copies = F.when(F.col("_n") % block >= block - reach, F.array(own, own + 1)).otherwise(F.array(own))
@@ -115,6 +117,12 @@ def chunk_lines(
     return blocks.join(entries, [*groups, "_block"]).groupBy(*groups, "_block").applyInPandas(pack, schema)
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    path = scratch_path(rows.sparkSession, "lines")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _after_flush(start: int, stop: int, overlap: int) -> tuple[int, int]:
     """The buffer once line ``stop`` has closed the one from ``start``: its first and last line."""
     return (max(start, stop - overlap) if overlap > 0 else stop), stop
