@@ -247,13 +247,15 @@ def similar_classes(docs: DataFrame, **options) -> DataFrame:
     and are each their own class; a null doc_id is never the class of rows that have one. Rows equal in doc_id and
     text count as copies. ``options``: those of ``keyed_classes``.
     """
-    return keyed_classes(docs, **options).drop("key")
+    return keyed_classes(docs, **options).drop("key", "class_key")
 
 
 def keyed_classes(
     docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, recall: float = 0.995, seed: int = 11
 ) -> DataFrame:
-    """``similar_classes`` with ``key``, the MD5 of the text. ``recall`` sets the number of runs."""
+    """``similar_classes`` with ``key``, the MD5 of the text, and ``class_key``, that of the class's first text: by doc_id,
+    null last, then key. ``recall`` sets the number of runs.
+    """
     with_python(docs.sparkSession)
     runs = runs_needed(recall)
     seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
@@ -335,14 +337,15 @@ def _classes(paths: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
     counts = links.groupBy("a").agg(F.sum("texts").alias("n_texts"), F.sum("docs").alias("n_docs"))
     labels = connected_components(links.select("a", "b"))
     named = (
-        labels.join(texts.select(F.col("tid").alias("node"), "doc_id"), "node")
+        labels.join(texts.select(F.col("tid").alias("node"), "doc_id", "key"), "node")
         .groupBy("label")
-        .agg(F.min("doc_id").alias("class_id"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+        .select("label", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("class_key"))
     )
     linked = staged(
         labels.join(named, "label")
         .join(counts.withColumnRenamed("a", "node"), "node")
-        .select(F.col("node").alias("tid"), "class_id", "n_texts", "n_docs"),
+        .select(F.col("node").alias("tid"), "class_id", "class_key", "n_texts", "n_docs"),
         "linked",
     )
     described = staged(
@@ -351,6 +354,7 @@ def _classes(paths: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
         .select(
             "key",
             F.coalesce("class_id", "doc_id").alias("class_id"),
+            F.coalesce("class_key", "key").alias("class_key"),
             (F.col("copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"),
             F.coalesce("n_texts", F.lit(0)).alias("n_text_links"),
         ),
@@ -359,17 +363,18 @@ def _classes(paths: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
     with_words = paths.filter("n > 0").select("key", "doc_id").join(described, "key")
     none = F.lit(0).cast("long")
     without = paths.filter("n = 0").select(
-        "key", "doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_text_links")
+        "key", "doc_id", F.col("doc_id").alias("class_id"), F.col("key").alias("class_key"), none.alias("n_links"), none.alias("n_text_links")
     )
     return with_words.union(without)
 
 
 def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the first of their class, by doc_id, unchanged.
+    """The rows of ``docs`` that are the first of their class, by doc_id (null last), then by the hash of the text, unchanged.
 
-    Rows that repeat the first's doc_id and text are the same document and stay with it.
+    Rows that repeat the first's doc_id and text are the same document and stay with it; near copies that only share
+    its doc_id, or have none, go.
     """
-    classes = keyed_classes(docs, **options).filter("n_links > 0 and not (doc_id <=> class_id)")
+    classes = keyed_classes(docs, **options).filter("n_links > 0 and not (doc_id <=> class_id and key = class_key)")
     gone = staged(classes.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "gone")
     same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.unhex(F.md5(text_or_empty())) == gone["gone_key"])
     return docs.join(gone, same, "left_anti")

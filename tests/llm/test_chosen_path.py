@@ -61,6 +61,16 @@ def test_equals_all_pairs(spark):
     assert ids == {c for _, c, _, _ in got}
 
 
+def test_one_of_near_copies_that_share_an_id_stays(spark):
+    rng = random.Random(9)
+    words = [[f"{g}w{k}" for k in range(300)] for g in range(3)]
+    rows = [(7, varied(words[0], rng, 1)) for _ in range(4)]  # one id, four texts
+    rows += [(None, varied(words[1], rng, 1)) for _ in range(4)]  # no id at all
+    rows += [(None, varied(words[2], rng, 1)), (8, varied(words[2], rng, 1)), (8, rows[0][1] + " more"), (9, None), (None, None)]
+    kept = sorted((r.doc_id or 0, (r.text or "")[:2]) for r in keep_one_per_class(documents(spark, rows)).collect())
+    assert kept == [(0, ""), (0, "1w"), (7, "0w"), (8, "2w"), (9, "")]
+
+
 @needs_tables
 def test_equals_all_pairs_on_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
