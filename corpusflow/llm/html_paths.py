@@ -34,14 +34,20 @@ _INLINE = frozenset(
 )
 #: Tags whose text is no part of an article, wherever they stand.
 _OUTSIDE = frozenset("nav header footer aside button select option menu dialog head fieldset input object".split())
-#: Words in class, id, role or label that mark such parts.
+#: Words in class, id, role or label that mark such parts, also inside a longer name (``comment-list``).
 _MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu"
-    " breadcrumb breadcrumbs sidebar rail footer header masthead copyright cookie cookies consent gdpr notice popup modal"
-    " overlay newsletter subscribe signup login comment comments reply replies respond discussion disqus share sharing"
-    " social related recommended trending pagination pager toolbar widget search skip complementary contentinfo"
-    " dialog alert tags".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu"
+    " breadcrumb breadcrumbs sidebar masthead copyright cookie cookies consent gdpr popup modal newsletter subscribe signup"
+    " login comment comments reply replies respond disqus pagination pager".split()
 )
+#: Words that mark them alone; inside a longer name (``social-history``) in an article, the text decides.
+_HINTS = frozenset(
+    "banner rail header footer notice overlay discussion share sharing social related recommended trending toolbar widget"
+    " search skip complementary contentinfo dialog alert tags".split()
+)
+#: Ends the path of a part that only a longer name with such a word marks.
+_HINTED = "\0"
+_PROSE_CHARS = 200
 _CONTENT = frozenset("article main articlebody post-body entry-content article-body post-content".split())
 _CLOSES = {
     "li": ("li",),
@@ -71,18 +77,21 @@ class _Node:
 
 
 def _opened(name: str, attributes: str, parent: _Node) -> _Node:
-    words, marked, content = [], name == "form", name in ("article", "main")
+    words, marked, hinted, content = [], name == "form", False, name in ("article", "main")
     for m in _ATTRIBUTE.finditer(attributes) if "=" in attributes else ():
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() in ("class", "id"):
             words.append(value)
         content = content or any(v in _CONTENT for v in value.split())
-        marked = marked or any(p in _MARKS for v in value.split() for p in (v, *re.split(r"[-_]+", v)))
+        for v in value.split():
+            parts = re.split(r"[-_]+", v)
+            marked = marked or v in _HINTS or any(p in _MARKS for p in (v, *parts))
+            hinted = hinted or any(p in _HINTS for p in parts)
     if name in ("html", "body", "article", "main"):
-        marked = False
+        marked = hinted = False
     path = f"{parent.path}/{name}" + "".join(f".{w}" for w in words)
     above = parent.marks if content and parent.above is None else parent.above
-    marks = (*parent.marks, path) if marked else parent.marks
+    marks = (*parent.marks, path if marked else path + _HINTED) if marked or hinted else parent.marks
     return _Node(name, path, parent.outside or name in _OUTSIDE, marks, above)
 
 
@@ -90,7 +99,8 @@ def text_pieces(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
     """``path, text, outside, inside an article, begins a block`` of each piece of text, in page order.
 
     A part that words or a form mark is outside, unless it is a wrapper: it holds half of the page's text, and half of the
-    text inside article tags, or nearly all of the text that is not marked elsewhere where there are no such tags.
+    text inside article tags, or nearly all of the text that is not marked elsewhere where there are no such tags. Nor is one
+    outside that a word inside a longer name marks, if it stands in an article and reads like the rest of it.
     """
     pieces = list(_marked_pieces(page))
     every = tagged = free = 0
@@ -120,10 +130,33 @@ def text_pieces(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
             below[o][0] += size
             below[o][1] += inside
             below[o][2] += own if m in lifted else 0
+    lifted |= _prose(pieces)
     for path, text, outside, marks, above, begins in pieces:
         yield path, text, outside or not lifted.issuperset(marks), above is not None, begins
 
 
+def _prose(pieces: list) -> set[str]:
+    """Parts inside an article, marked by a word in a longer name only, whose pieces are about as long and as punctuated as
+    those of the article that nothing marks, and which are no lists of links."""
+    sums: dict[str, list[int]] = {}
+    for path, text, outside, marks, above, _ in pieces:
+        stripped = text.strip()
+        key = marks[-1] if marks else ""
+        if stripped and not outside and above is not None and (not key or key.endswith(_HINTED)):
+            own = sums.setdefault(key, [0, 0, 0, 0])
+            linked = len(stripped) if _LINK.search(path) else 0
+            for i, n in enumerate((len(stripped), len(_MARK.findall(stripped)), 1, linked)):
+                own[i] += n
+    rest = sums.pop("", None)
+    if not rest:
+        return set()
+    return {
+        m
+        for m, (chars, marks, count, linked) in sums.items()
+        if chars >= _PROSE_CHARS and 3 * linked < chars and 2 * chars * rest[2] >= rest[0] * count and 2 * marks * rest[0] >= rest[1] * chars
+    }
+
+
 def _marked_pieces(page: str) -> Iterator[tuple[str, str, bool, tuple[str, ...], tuple[str, ...] | None, bool]]:
     """As ``text_pieces``, with the paths of the marked parts around a piece, and of those around the article it is in."""
     root = _Node("", "", False, (), None)

@@ -72,3 +72,19 @@ def test_wrappers_with_listed_words_keep_their_text():
     comments = f"<div class=comments>{STORY}{STORY}</div>"
     assert main_text(f"<article>{STORY}{comments}</article>") == told(STORY)
     assert main_text(f"<div class=story>{STORY}</div>{comments}") == told(STORY)
+
+
+def test_longer_names_with_listed_words_are_judged_by_their_text():
+    for name in ('class="social-history"', 'id="search-strategy"', "class=alert_story"):
+        section = f"<section {name}><h2>Part</h2>{STORY}</section>"
+        assert main_text(f"<body><article><h1>Head</h1>{STORY}{section}</article></body>") == told(f"<h1>Head</h1>{STORY}{section}")
+    links = "".join(f"<a href=x>Share it on network {k}, please, do, now.</a> " for k in range(20))
+    out = [
+        f'<div class="social-links">{links}</div>',
+        '<div class="related-posts"><h3>More</h3><p>Read on.</p></div>',
+        f'<div class="comment-list">{STORY}</div>',
+        f"<div class=social>{STORY}</div>",
+        '<div class="share-bar">' + "<span>Like</span><i>x</i>" * 60 + "</div>",
+    ]
+    for part in out:
+        assert main_text(f"<body><article><h1>Head</h1>{STORY}{part}</article></body>") == told(f"<h1>Head</h1>{STORY}")
