@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and identifiers that turn up in the same contexts, in built-in functions.
 
-Entities found by the fixed patterns are seeds. The word before an entity is a lexical pattern. Patterns and instances form
-a graph: a pattern is trusted by the share of its occurrences in the whole corpus that stand before trusted
-instances, and an instance by the patterns that it follows. After a few rounds, patterns that were confirmed by several
-different instances mark the identifiers behind them that no fixed pattern knows.
+Entities found by the fixed patterns are seeds. Lexical patterns are the word before an entity, the two words before it and
+the word after it; a seed of several parts also is an instance of the words inside it (``+1`` before ``(706) 555-3138``).
+Patterns and instances form a graph: a pattern is trusted by the share of its occurrences in the whole corpus that stand
+beside trusted instances, and an instance by the patterns that it stands beside. After a few rounds, patterns that were
+confirmed by several different instances mark the identifiers beside them that no fixed pattern found.
 """
 
 from __future__ import annotations
@@ -23,11 +24,21 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Identifiers: runs of these characters with four digits or more, and six characters or more.
-_IDENTIFIER = r"(?<![A-Za-z0-9._@+/-])(?=[A-Za-z._@+/-]*+[0-9])[A-Za-z0-9._@+/-]++"
-#: A word that may precede an entity, with the colon or equals sign that ends it.
-_CONTEXT = r"[^\s=:\"'(]++[=:]?"
-_REACH = 64
+#: Identifiers: runs of these characters, after digits in brackets or not, or short groups of digits parted by blanks; with
+#: four digits or more, and six characters or more.
+_IDENTIFIER = (
+    r"(?<![A-Za-z0-9._@+/-])(?:[0-9]{1,5}+(?:\x20[0-9]{1,5}+(?![A-Za-z0-9._@+/-]))++"
+    r"|(?:\([0-9]{1,5}+\)\x20?+)?(?=[A-Za-z._@+/-]*+[0-9])[A-Za-z0-9._@+/-]*[A-Za-z0-9])"
+)
+#: A word that may stand beside an entity, with the colon or equals sign that ends it; blanks before that are left out.
+_WORD = r"[^\s=:\"'(]++[=:]?"
+_DETACHED = r"(?<!\s)\s++(?=[=:])"
+#: The next word after the rest of the entity's own.
+_NEXT = rf"^[^\s=:\"'(]*+[=:]?+[\s\"'(=:]*+({_WORD})"
+#: A word is known by this many last characters; contexts lie within the reach.
+_TAIL, _REACH = 64, 256
+#: Sorts of patterns.
+_LEFT, _PAIR, _RIGHT = 0, 1, 2
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -71,16 +82,38 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def _before(text: Column, start: Column) -> Column:
-    """The word before a place, within reach; null where there is none."""
-    near = F.lower(F.substring(text, F.greatest(start - _REACH, F.lit(0)) + 1, F.least(start, F.lit(_REACH))))
-    word = F.regexp_extract(near, rf"({_CONTEXT})[\s\"'(]*$", 1)
-    return F.when(word != "", F.xxhash64(word))
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), _DETACHED, "")
+
+
+def _key(*words: Column) -> Column:
+    return F.xxhash64(*[F.right(w, F.lit(_TAIL)) for w in words])
+
+
+def _patterns(text: Column, x: Column) -> Column:
+    """``sort, key`` of the patterns that an instance stands beside, within reach."""
+    start, end = x["start"], x["end"]
+    near = _plain(F.substring(text, F.greatest(start - _REACH, F.lit(0)) + 1, F.least(start, F.lit(_REACH))))
+    # An array of one element brings the words into a lambda, so that they are looked for once.
+    before = F.transform(F.array(F.regexp_extract_all(near, F.lit(_WORD), F.lit(0))), lambda w: _left(w, start))
+    after = F.regexp_extract(_plain(F.substring(text, end + 1, F.lit(_REACH))), _NEXT, 1)
+    right = F.struct(F.lit(_RIGHT).alias("sort"), F.when(F.length(after).between(1, _TAIL), _key(after)).alias("key"))
+    return F.filter(F.concat(F.flatten(before), F.array(right)), lambda p: p["key"].isNotNull())
+
+
+def _left(words: Column, start: Column) -> Column:
+    last, other, n = F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(-2)), F.size(words)
+    # The first word of the window may be cut.
+    whole = (n >= 3) | (start <= _REACH) | (F.length(other) >= _TAIL)
+    return F.array(
+        F.struct(F.lit(_LEFT).alias("sort"), F.when(n >= 1, _key(last)).alias("key")),
+        F.struct(F.lit(_PAIR).alias("sort"), F.when((n >= 2) & whole, _key(other, last)).alias("key")),
+    )
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A stored row per row of ``docs``: ``rid, doc_id, base`` (kind number, start, end, hash of the value, word before)
-    and ``others``, the identifiers that overlap none of them.
+    """A stored row per row of ``docs``: ``rid, doc_id, base`` (kind number, start, end, hash of the value, patterns),
+    ``inner``, the identifiers that begin inside one of them and end there, and ``others``, those that overlap none.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     text, none = F.col("text"), F.array().cast("array<struct<start:int,end:int,value:string>>")
@@ -96,13 +129,17 @@ def scan(docs: DataFrame) -> DataFrame:
 
     rows = rows.withColumn("base", F.concat(*[kept(i, k) for i, k in enumerate(KINDS)]))
     rows = rows.withColumn("runs", F.when(digit, _found(text, _IDENTIFIER)).otherwise(none))
-    free = F.filter(
-        "runs",
-        lambda x: (F.length(x["value"]) >= 6)
-        & (F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 4)
-        & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+    runs = F.filter(
+        "runs", lambda x: (F.length(x["value"]) >= 6) & (F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 4)
+    )
+    rows = rows.withColumn("runs", runs)
+    rows = rows.withColumn(
+        "inner",
+        F.filter("runs", lambda x: F.exists("base", lambda b: (b["start"] < x["start"]) & (x["end"] <= b["end"]))),
+    ).withColumn(
+        "free",
+        F.filter("runs", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))),
     )
-    rows = rows.withColumn("free", free)
 
     def described(x, kind):
         return F.struct(
@@ -110,7 +147,7 @@ def scan(docs: DataFrame) -> DataFrame:
             x["start"].alias("start"),
             x["end"].alias("end"),
             F.xxhash64(x["value"]).alias("value"),
-            _before(text, x["start"]).alias("word"),
+            _patterns(text, x).alias("patterns"),
         )
 
     return staged(
@@ -118,6 +155,7 @@ def scan(docs: DataFrame) -> DataFrame:
             F.monotonically_increasing_id().alias("rid"),
             "doc_id",
             F.transform("base", lambda x: described(x, x["kind"])).alias("base"),
+            F.transform("inner", lambda x: described(x, F.lit(0))).alias("inner"),
             F.transform("free", lambda x: described(x, F.lit(len(KINDS)))).alias("others"),
         ),
         "scan",
@@ -127,25 +165,46 @@ def scan(docs: DataFrame) -> DataFrame:
 def trusted_patterns(
     docs: DataFrame, scanned: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.5
 ) -> DataFrame:
-    """``word, trust`` of the patterns that ``support`` different trusted instances or more confirm.
+    """``sort, key, trust`` of the patterns that ``support`` different trusted instances or more confirm.
 
-    In each round a pattern's trust is the trust of the instances behind it over all its occurrences in the corpus, and
-    an instance's the chance that one of its patterns is right; seeds keep theirs.
+    In each round a pattern's trust is the trust of the instances beside it over all its occurrences in the corpus, and
+    an instance's the chance that one of its patterns of at least ``least`` is right, so that doubtful ones do not add up
+    to trust; seeds keep theirs. Patterns beside fewer than ``support``
+    different instances can never be confirmed and are not counted.
     """
-    every = scanned.select(F.explode(F.concat("base", "others")).alias("x")).select("x.*").filter("word is not null")
-    edges = staged(
-        every.groupBy("word", "value").agg(F.count("*").alias("n"), (F.min("kind") < len(KINDS)).alias("seed")), "edges"
+    every = scanned.select(F.explode(F.concat("base", "inner", "others")).alias("x")).select("x.*")
+    beside = every.select("kind", "value", F.explode("patterns").alias("p")).select("kind", "value", "p.*")
+    met = staged(
+        beside.groupBy("sort", "key", "value").agg(F.count("*").alias("n"), (F.min("kind") < len(KINDS)).alias("seed")),
+        "met",
     )
-    words = docs.select(
-        F.explode(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(_CONTEXT), F.lit(0))).alias("w")
+    able = staged(
+        met.groupBy("sort", "key").agg(F.count("*").alias("values")).filter(F.col("values") >= support).drop("values"),
+        "able",
+    )
+    edges = staged(met.join(able, ["sort", "key"], "left_semi"), "edges")
+    words = F.regexp_extract_all(_plain(text_or_empty()), F.lit(_WORD), F.lit(0))
+    # Words combine well before the shuffle; pairs do not, and only those asked for are counted.
+    singles = docs.select(F.explode(words).alias("w")).select(_key(F.col("w")).alias("key"))
+    singles = singles.groupBy("key").agg(F.count("*").alias("total"))
+    tails = docs.select(words.alias("words"))
+    pairs = tails.select(
+        F.explode(
+            F.zip_with(
+                F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))),
+                F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))),
+                lambda a, b: _key(a, b),
+            )
+        ).alias("key")
     )
-    seeded = edges.groupBy("word").agg(F.max("seed").alias("seeded")).filter("seeded").drop("seeded")
+    wanted = able.filter(F.col("sort") == _PAIR).select("key")
+    pairs = pairs.join(wanted, "key", "left_semi").groupBy("key").agg(F.count("*").alias("total"))
     total = staged(
-        words.select(F.xxhash64("w").alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("total"))
-        .join(seeded, "word"),
-        "words",
+        able.filter(F.col("sort") != _PAIR)
+        .join(singles, "key")
+        .select("sort", "key", "total")
+        .unionByName(pairs.select(F.lit(_PAIR).alias("sort"), "key", "total")),
+        "totals",
     )
     instances = staged(
         edges.groupBy("value").agg(F.max("seed").alias("seed")).withColumn("trust", F.col("seed").cast("double")),
@@ -153,14 +212,15 @@ def trusted_patterns(
     )
     patterns = None
     for turn in range(rounds):
-        behind = edges.select("word", "value", "n").join(instances, "value")
-        sums = behind.groupBy("word").agg(
+        behind = edges.select("sort", "key", "value", "n").join(instances, "value")
+        sums = behind.groupBy("sort", "key").agg(
             F.sum(F.col("n") * F.col("trust")).alias("right"),
             F.sum((F.col("trust") >= least).cast("int")).alias("confirmed"),
         )
         patterns = staged(
-            sums.join(total, "word").select(
-                "word",
+            sums.join(total, ["sort", "key"]).select(
+                "sort",
+                "key",
                 F.when(F.col("confirmed") >= support, F.least(F.col("right") / F.col("total"), F.lit(0.99)))
                 .otherwise(0.0)
                 .alias("trust"),
@@ -169,8 +229,8 @@ def trusted_patterns(
         )
         if turn + 1 < rounds:
             doubt = (
-                edges.select("word", "value")
-                .join(patterns, "word")
+                edges.select("sort", "key", "value")
+                .join(patterns.filter(F.col("trust") >= least), ["sort", "key"])
                 .groupBy("value")
                 .agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("found"))
             )
@@ -190,17 +250,21 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, least
     ``KINDS``; ``len(KINDS)`` for identifiers known by context), ``start`` and ``end`` (code points, end exclusive),
     in that order.
 
-    Null texts count as empty. Rows that repeat are searched each; equal values count as one instance.
+    Null texts count as empty. Rows that repeat are searched each; equal values count as one instance. Words are known by
+    their last 64 characters, and contexts lie within 256 characters of an entity. Identifiers without digits and those
+    that no trusted word stands beside are not found.
     """
     scanned = scan(docs)
-    patterns = staged(trusted_patterns(docs, scanned, rounds, support, least), "trusted").select("word")
+    patterns = staged(trusted_patterns(docs, scanned, rounds, support, least), "trusted").select("sort", "key")
     spans = "transform({}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))"
     added = (
         scanned.select("rid", F.explode("others").alias("x"))
         .select("rid", "x.*")
-        .join(patterns, "word")
+        .select("rid", "kind", "start", "end", F.explode("patterns").alias("p"))
+        .select("rid", "kind", "start", "end", "p.*")
+        .join(patterns, ["sort", "key"], "left_semi")
         .groupBy("rid")
-        .agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+        .agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     )
     return scanned.join(added, "rid", "left").select(
         "doc_id",
