@@ -37,6 +37,8 @@ _DETACHED = r"(?<!\s)\s++(?=[=:])"
 _NEXT = rf"^[^\s=:\"'(]*+[=:]?+[\s\"'(=:]*+({_WORD})"
 #: A word is known by this many last characters; contexts lie within the reach.
 _TAIL, _REACH = 64, 256
+#: Texts that may hold an entity.
+_MAY_HOLD = r"@|[0-9]{4}|[0-9]\.[0-9]"
 #: Sorts of patterns.
 _LEFT, _PAIR, _RIGHT = 0, 1, 2
 
@@ -162,6 +164,17 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def _words() -> Column:
+    return F.regexp_extract_all(_plain(text_or_empty()), F.lit(_WORD), F.lit(0))
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """A ``key`` for every two neighbouring words."""
+    n = F.greatest(F.size("words") - 1, F.lit(0))
+    both = F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: _key(a, b))
+    return docs.select(_words().alias("words")).select(F.explode(both).alias("key"))
+
+
 def trusted_patterns(
     docs: DataFrame, scanned: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.5
 ) -> DataFrame:
@@ -170,7 +183,8 @@ def trusted_patterns(
     In each round a pattern's trust is the trust of the instances beside it over all its occurrences in the corpus, and
     an instance's the chance that one of its patterns of at least ``least`` is right, so that doubtful ones do not add up
     to trust; seeds keep theirs. Patterns beside fewer than ``support``
-    different instances can never be confirmed and are not counted.
+    different instances, or beside any instance in less than ``least`` of their occurrences, can never be trusted and
+    are left out before the rounds.
     """
     every = scanned.select(F.explode(F.concat("base", "inner", "others")).alias("x")).select("x.*")
     beside = every.select("kind", "value", F.explode("patterns").alias("p")).select("kind", "value", "p.*")
@@ -179,33 +193,28 @@ def trusted_patterns(
         "met",
     )
     able = staged(
-        met.groupBy("sort", "key").agg(F.count("*").alias("values")).filter(F.col("values") >= support).drop("values"),
+        met.groupBy("sort", "key")
+        .agg(F.sum("n").alias("beside"), F.count("*").alias("values"))
+        .filter(F.col("values") >= support)
+        .drop("values"),
         "able",
     )
-    edges = staged(met.join(able, ["sort", "key"], "left_semi"), "edges")
-    words = F.regexp_extract_all(_plain(text_or_empty()), F.lit(_WORD), F.lit(0))
-    # Words combine well before the shuffle; pairs do not, and only those asked for are counted.
-    singles = docs.select(F.explode(words).alias("w")).select(_key(F.col("w")).alias("key"))
-    singles = singles.groupBy("key").agg(F.count("*").alias("total"))
-    tails = docs.select(words.alias("words"))
-    pairs = tails.select(
-        F.explode(
-            F.zip_with(
-                F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))),
-                F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))),
-                lambda a, b: _key(a, b),
-            )
-        ).alias("key")
-    )
-    wanted = able.filter(F.col("sort") == _PAIR).select("key")
-    pairs = pairs.join(wanted, "key", "left_semi").groupBy("key").agg(F.count("*").alias("total"))
+    enough = F.col("beside") / F.col("total") >= least
+    single, pair = able.filter(F.col("sort") != _PAIR), able.filter(F.col("sort") == _PAIR)
+    # Of pairs of words, those that already occur too often in texts with entities are not looked for in all others.
+    some = _pairs(docs.filter(F.col("text").rlike(_MAY_HOLD))).groupBy("key").agg(F.count("*").alias("total"))
+    pair = staged(pair.join(some, "key", "left").filter(F.col("total").isNull() | enough).drop("total"), "pairs")
+    words = docs.select(F.explode(_words()).alias("w")).select(_key(F.col("w")).alias("key"))
+    words = words.groupBy("key").agg(F.count("*").alias("total"))
+    pairs = _pairs(docs).join(pair.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("total"))
     total = staged(
-        able.filter(F.col("sort") != _PAIR)
-        .join(singles, "key")
-        .select("sort", "key", "total")
-        .unionByName(pairs.select(F.lit(_PAIR).alias("sort"), "key", "total")),
+        single.join(words, "key")
+        .unionByName(pair.join(pairs, "key"))
+        .filter(enough)
+        .select("sort", "key", "total"),
         "totals",
     )
+    edges = staged(met.join(total, ["sort", "key"], "left_semi"), "edges")
     instances = staged(
         edges.groupBy("value").agg(F.max("seed").alias("seed")).withColumn("trust", F.col("seed").cast("double")),
         "instances",

@@ -149,8 +149,10 @@ def test_rounds_equal_the_plain_version(spark):
     texts += ["see K555666777 ledger", "see K55566677 other", "phone +1 (555) 010-2233 4111 1111 1111 1111 22"]
     texts += [f"call +1 ({number(i + 3, 3)}) 555-{number(i + 1, 4)} now" for i in range(6)] + ["call +1\n(333) 555-7777. So"]
     texts += [f"{'w' * 70 * (i % 3 + 1)} b{i}@m.example" for i in range(6)] + [f"{'w' * 300} 123 45 6789"]
+    # Entities without an at sign, four digits in a row or a point between digits.
+    texts += [f"office line +1 23 45 67 8{i} so" for i in range(6)] + [f"a line of {i}" for i in range(30)] + ["office line 99 88 77 66"]
     found = check_added(spark, texts)
-    assert {v for _, v in found} >= {"A31676", "77A88B99C", "K555666777", "(555) 010-2233", "(333) 555-7777", "123 45 6789"}
+    assert {v for _, v in found} >= {"99 88 77 66", "A31676", "77A88B99C", "K555666777", "(555) 010-2233", "(333) 555-7777", "123 45 6789"}
     assert not any(v.endswith(("B", "CC")) or v == "K55566677" for _, v in found)
 
 
