@@ -338,12 +338,14 @@ ORACLES["object_exists"] = """
     SELECT 'raw/' || doc_id AS name, doc_id IN (SELECT doc_id FROM labels) AS "exists" FROM documents"""
 
 ORACLES["put_objects"] = """
-    WITH stored AS (SELECT doc_id, n_chars FROM documents WHERE lang = 'en')
-    SELECT overwrite, 'raw/' || doc_id AS name,
-      CASE WHEN l.doc_id IS NULL OR (NOT overwrite AND s.doc_id IS NOT NULL) THEN n_chars ELSE 0 END AS size_bytes,
-      CASE WHEN l.doc_id IS NOT NULL THEN overwrite OR s.doc_id IS NULL END AS success,
-      CASE WHEN l.doc_id IS NOT NULL AND s.doc_id IS NOT NULL AND NOT overwrite THEN 'The specified blob already exists.' END AS error
-    FROM stored s FULL JOIN labels l USING (doc_id), (VALUES (TRUE), (FALSE)) o(overwrite)"""
+    WITH stored AS (
+      SELECT 'raw/' || doc_id AS name, 0 AS size FROM labels UNION ALL SELECT 'raw/item/' || item_id, length(text) FROM benchmark
+    ), put AS (SELECT 'raw/' || doc_id AS name, n_chars FROM documents)
+    SELECT overwrite, name,
+      (CASE WHEN p.name IS NULL OR (NOT overwrite AND s.name IS NOT NULL) THEN size ELSE n_chars END)::BIGINT AS size_bytes,
+      CASE WHEN p.name IS NOT NULL THEN overwrite OR s.name IS NULL END AS success,
+      CASE WHEN p.name IS NOT NULL AND s.name IS NOT NULL AND NOT overwrite THEN 'The specified blob already exists.' END AS error
+    FROM stored s FULL JOIN put p USING (name), (VALUES (TRUE), (FALSE)) o(overwrite)"""
 
 ORACLES["public_url"] = f"""
     SELECT name, 'https://account.blob.core.windows.net/container/' || name AS url FROM {_OBJECTS}"""

@@ -644,11 +644,13 @@ def object_exists(spark, folder):
 
 @query
 def put_objects(spark, folder):
-    """Labelled documents put over the stored ones of one language, with and without overwriting."""
-    docs = table(spark, folder, "documents")
+    """All documents put beside stored benchmark items and over the labelled documents, with and without overwriting."""
     name = F.concat(F.lit("raw/"), _text(F.col("doc_id"))).alias("name")
-    stored = docs.filter("lang = 'en'").select(name, F.col("n_chars").alias("size_bytes"))
-    incoming = table(spark, folder, "labels").select(name, F.lit(0).cast("long").alias("size_bytes"))
+    item = F.concat(F.lit("raw/item/"), _text(F.col("item_id"))).alias("name")
+    stored = table(spark, folder, "labels").select(name, F.lit(0).cast("long").alias("size_bytes"))
+    items = table(spark, folder, "benchmark").select(item, F.length("text").cast("long").alias("size_bytes"))
+    stored = stored.unionByName(items)
+    incoming = table(spark, folder, "documents").select(name, F.col("n_chars").cast("long").alias("size_bytes"))
     parts = []
     for overwrite in (True, False):
         after, results = objects.put_objects(stored, incoming, overwrite)
