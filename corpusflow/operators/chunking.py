@@ -25,7 +25,7 @@ CHUNK_OVERLAP = 2
 MIN_CHARS = 30
 
 # Characters collected before an output batch is sent to the JVM.
-_FLUSH_CHARS = 16 << 20
+_FLUSH_CHARS = 4 << 20
 
 
 def clean_lines(text: str) -> list[str]:
@@ -101,7 +101,9 @@ def chunk_documents(
 
     def run(batches):
         for batch in batches:
-            numbers, texts, first = (batch.column(c).to_pylist() for c in ("_numbers", "_texts", "_first"))
+            # Texts of a row are taken when it is its turn: all of a batch would be there twice.
+            numbers, first = (batch.column(c).to_pylist() for c in ("_numbers", "_first"))
+            texts = batch.column("_texts")
             kept = [batch.column(c) for c in carried]
             rows, page, index, out, pending = [], [], [], [], 0
 
@@ -120,7 +122,7 @@ def chunk_documents(
 
             for row in range(batch.num_rows):
                 position = first[row]
-                for number, text in zip(numbers[row] or (), texts[row] or ()):
+                for number, text in zip(numbers[row] or (), texts[row].as_py() or ()):
                     for chunk in chunk_texts(text, size, overlap) if text else ():
                         rows.append(row)
                         page.append(number)
@@ -147,7 +149,7 @@ def count_chunks(
     def run(batches):
         for batch in batches:
             counts = [
-                len(chunk_texts(t, size, overlap)) if t else 0 for t in batch.column(text).to_pylist()
+                len(chunk_texts(t.as_py(), size, overlap)) if t.as_py() else 0 for t in batch.column(text)
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in carried] + [pa.array(counts, pa.int64())],

@@ -15,6 +15,8 @@ from corpusflow import schemas
 # Rows per model call, and the dimension of the default model.
 BATCH_SIZE = 64
 DIMENSION = 384
+# Tokens whose buckets a worker remembers.
+_SLOTS = 100_000
 
 
 class Embedder(Protocol):
@@ -39,7 +41,7 @@ class _Slots(dict):
     def __missing__(self, token: str) -> int:
         digest = md5(token.encode()).hexdigest()
         slot = int(digest[:8], 16) % self.dimension + self.dimension * (int(digest[8], 16) & 1)
-        if len(self) < 1_000_000:  # beyond this, new tokens are hashed each time
+        if len(self) < _SLOTS:  # beyond this, new tokens are hashed each time
             self[token] = slot
         return slot
 

@@ -25,8 +25,10 @@ from corpusflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHARS,
 from corpusflow.operators.ordinals import running_total
 from corpusflow.session import scratch_path, truncate_lineage
 
-# Lines a block holds, unless the chunk settings ask for more, and blocks whose step functions meet in a task.
+# Lines a block holds at most, unless the chunk settings ask for more, characters they have on average, and blocks whose
+# step functions meet in a task.
 BLOCK_LINES = 20_000
+BLOCK_CHARS = 4 << 20
 BLOCK_FAN = 256
 
 
@@ -61,8 +63,6 @@ def chunk_lines(
     """
     # The most lines an open buffer can hold: one-character lines up to the size, or the overlap and one more.
     reach = max((size + 1) // 2, overlap + 1)
-    block = max(block_lines, 2 * reach)
-
     several = F.filter(F.transform(F.split(F.col(line), "\n"), strip), lambda x: x != "")
     one = strip(F.col(line))
     parts = (
@@ -80,6 +80,8 @@ def chunk_lines(
     )
     # Read by both passes: stored once, rather than numbered again for the second.
     numbered = _stored(numbered)
+    mean = numbered.agg(F.avg(F.length("_line") + 1)).first()[0] or 1
+    block = max(min(block_lines, int(BLOCK_CHARS / mean)), 2 * reach)
     # A block also gets the lines before it that an open buffer can reach back to.
     own = F.floor(F.col("_n") / block)
     copies = F.when(F.col("_n") % block >= block - reach, F.array(own, own + 1)).otherwise(F.array(own))

@@ -18,7 +18,7 @@ from corpusflow.functions import paths, text
 from corpusflow.operators import catalog, chunking, embedding, metadata, tabular, vectors
 from corpusflow.plans import ingest, maintenance
 from corpusflow.plans.store import Store
-from corpusflow.session import scratch_path, ship_package, spread
+from corpusflow.session import bound_batches, scratch_path, ship_package, spread
 from corpusflow.sources import delimited, extract, files, manifest, objects, records, sample_files
 from corpusflow.streaming.folder import stream_changes, stream_folder
 
@@ -32,6 +32,7 @@ _RUN_TIME = datetime(2024, 1, 1, tzinfo=timezone.utc)
 def query(function: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship_package(spark)
+        bound_batches(spark)
         return function(spark, folder)
 
     QUERIES[function.__name__] = run
@@ -315,18 +316,24 @@ def eml_text(spark, folder):
     return _one_page(extract.extract_parsed(_as_files(rows, F.col("key"), name, _bytes(content))), "message_id")
 
 
+# Files made before they are sent on.
+_BUILT_AT_ONCE = 64
+
+
 def _built_files(df: DataFrame, key: str, ext: str, build) -> DataFrame:
     """Files made by ``build(values)`` from the other columns of each row."""
     inputs = [c for c in df.columns if c != key]
 
     def run(batches):
-        for batch in batches:
-            made = [build(*values) for values in zip(*(batch.column(c).to_pylist() for c in inputs))]
-            names = [f"f{k}.{ext}" for k in batch.column(key).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(names), pa.array([ext] * len(made)), pa.array(made, pa.binary())],
-                names=["file_id", "source_file", "ext", "content"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, _BUILT_AT_ONCE):
+                batch = whole.slice(at, _BUILT_AT_ONCE)
+                made = [build(*values) for values in zip(*(batch.column(c).to_pylist() for c in inputs))]
+                names = [f"f{k}.{ext}" for k in batch.column(key).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key), pa.array(names), pa.array([ext] * len(made)), pa.array(made, pa.binary())],
+                    names=["file_id", "source_file", "ext", "content"],
+                )
 
     return spread(df).mapInArrow(run, "file_id long, source_file string, ext string, content binary")
 

@@ -17,9 +17,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Documents vary from a line to megabytes: bound Arrow batches by bytes as well as by rows.
+    # Documents vary from a line to megabytes: bound Arrow batches by bytes as well as by rows. A Python worker holds
+    # several forms of a batch at a time, and a machine one or two workers per core.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
@@ -33,6 +34,14 @@ def build_session(app: str = "corpusflow", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the Arrow batches of a session that was built without ``SETTINGS`` to the bounds these have."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        most, now = int(SETTINGS[key]), spark.conf.get(key)
+        if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, most)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 

@@ -26,7 +26,7 @@ PARSED = tuple(READERS)
 NO_TEXT = "no text"
 
 # Characters collected before an output batch is sent to the JVM.
-_FLUSH_CHARS = 64 << 20
+_FLUSH_CHARS = 4 << 20
 
 
 def tag_language(text: Column, dotted_suffix: Column) -> Column:
