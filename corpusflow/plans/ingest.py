@@ -8,6 +8,8 @@ are narrow; only per-document totals are shuffled.
 from __future__ import annotations
 
 import time
+from functools import reduce
+from typing import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -29,6 +31,7 @@ from corpusflow.sources.files import UPLOAD_EXTENSIONS, locate, not_loaded, read
 from corpusflow.sources.formats import READERS, Reader
 from corpusflow.sources.long_text import SPLITTABLE, chunk_long_text, long_lines
 from corpusflow.sources.manifest import plan_drive, plan_sharepoint
+from corpusflow.sources.tree import file_sha256, open_files, open_parts, passed_over
 
 RUN = T.StructType(
     [
@@ -62,6 +65,10 @@ NO_CHUNKS = "Chunk creation failed — no chunks produced"
 # Where stored objects are addressed.
 ACCOUNT, CONTAINER = "account", "container"
 
+# Bytes above which text is read in splits though a row could hold it, and of a piece that such a file is archived in.
+SPLIT_BYTES = 32 << 20
+PART_BYTES = 8 << 20
+
 JOB = "request_id string, seq long, status string, detail string, at string"
 
 
@@ -81,7 +88,7 @@ class Run:
     model: str | None = None
     readers: dict[str, Reader] | None = None
     replace_index: bool = True
-    # Bytes above which text is read in splits; by default, what a row can hold.
+    # Bytes above which no row holds a file: text is read in splits and not archived. By default, what a row can hold.
     split_above: int | None = None
 
     @property
@@ -125,15 +132,27 @@ def _failed(store: Store, run: Run, error: str) -> DataFrame:
     return row
 
 
-def ingest_files(store: Store, files: DataFrame, run: Run) -> DataFrame:
-    """Ingests ``read_files`` rows and returns the run's summary row, as stored in ``runs``."""
+def ingest_files(
+    store: Store, files: DataFrame, run: Run, opened: Callable[[DataFrame], DataFrame] = lambda files: files
+) -> DataFrame:
+    """Ingests ``read_files`` rows and returns the run's summary row, as stored in ``runs``.
+
+    ``opened`` adds the ``content`` to rows that come without; only those of files that are read whole are given to it.
+    """
     began = time.monotonic()
     if not run.client:
         return _failed(store, run, NO_CLIENT)
     largest = min(largest_file(store.spark), run.split_above or 2**31)
-    archive(store, files.filter(F.col("length") <= largest), run)
-    large = files.filter(F.col("length") > largest).drop("content")
-    long = _read_long(store, large.filter(_splittable(run)), run)
+    facts = files.drop("content")
+    whole, parted = _read_whole(files, run, largest)
+    archive(store, opened(whole), run)
+    large = facts.filter(F.col("length") > largest)
+    split = large.filter(_splittable(run))
+    if parted:
+        parted_files = facts.filter(F.col("path").isin(parted))
+        archive_parts(store, parted_files, run)
+        split = split.unionByName(parted_files)
+    long = _read_long(store, split, run)
     extract_archive(store, run, large.filter(~_splittable(run)), long)
     if not store.run_exists("documents", run.client, run.run_id):
         return _failed(store, run, NO_DOCUMENTS)
@@ -144,6 +163,31 @@ def ingest_files(store: Store, files: DataFrame, run: Run) -> DataFrame:
     return finish(store, run, began)
 
 
+def _read_whole(files: DataFrame, run: Run, largest: int) -> tuple[DataFrame, list[str]]:
+    """The files a row shall hold, and the paths of text files that one could hold but that are better read in splits.
+
+    Text that cannot be read in splits is left whole: UTF-16, and files that Spark's own reader passes over. What is read
+    whole is picked by length, which the source goes by without opening a file.
+    """
+    within = files.filter(F.col("length") <= largest)
+    if largest <= SPLIT_BYTES:
+        return within, []
+    over = files.drop("content").filter(F.col("length").between(SPLIT_BYTES + 1, largest)).select("path", "rel_path", "ext", "length")
+    over = over.withColumn("text", F.col("ext").isin(*[e for e in NATIVE if e not in (run.readers or {})]) & ~passed_over(F.col("rel_path"), F.col("length")))
+    text = over.filter("text").select("path", "rel_path")
+    first = text.head()
+    if first is None:
+        return within, []
+    marks = open_files(text, first.path[: -len(first.rel_path)], start=2)
+    parted = [r.path for r in marks.filter(~F.hex("content").isin("FFFE", "FEFF")).select("path").toLocalIterator()]  # large each
+    rest = [r.length for r in over.filter(~F.col("path").isin(parted)).select("length").distinct().toLocalIterator()]
+    small = within.filter(F.col("length") <= SPLIT_BYTES)
+    if not rest:
+        return small, parted
+    picked = reduce(lambda a, b: a | b, [F.col("length") == n for n in rest])
+    return small.unionByName(files.filter(picked).filter(~F.col("path").isin(parted))), parted
+
+
 def _splittable(run: Run) -> Column:
     """Files that can be read in splits: no reader of the run's own takes them whole."""
     return F.col("ext").isin(*[e for e in SPLITTABLE if e not in (run.readers or {})])
@@ -169,6 +213,7 @@ def _read_long(store: Store, files: DataFrame, run: Run) -> LongText | None:
     chunk_long_text(read, run.size, run.overlap).write.parquet(chunks)
     faults = read.filter(F.col("error").isNotNull())
     store.write("line_errors", run.stamp(faults.select("rel_path", "pos", "error")))
+    store.write("document_lines", run.stamp(read.filter("line is not null").select("rel_path", "pos", "line")))
     texts = read.groupBy("rel_path").agg(
         F.bool_or(F.col("line").isNotNull() & (F.trim("line") != "")).alias("filled"),
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("fault"),
@@ -273,6 +318,16 @@ def archive(store: Store, files: DataFrame, run: Run) -> None:
     store.write("raw_files", rows, ("client_id", "run_id", "is_native"))
 
 
+def archive_parts(store: Store, files: DataFrame, run: Run) -> None:
+    """Copies files that are read in splits into ``raw_parts``, a row per piece, in order of ``part``."""
+    first = files.select("path", "rel_path").head()
+    root = first.path[: -len(first.rel_path)]
+    told = files.join(file_sha256(files, root), "rel_path").select(*files.columns, "sha256")
+    rows = run.stamp(open_parts(told, root, PART_BYTES))
+    name = client_object_key(F.lit("raw"), F.col("client_id"), F.col("source_file"))
+    store.write("raw_parts", rows.withColumn("object_name", name))
+
+
 def largest_file(spark: SparkSession) -> int:
     """Bytes of the largest file that a row can hold. Larger ones are listed but never opened."""
     return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
@@ -414,9 +469,13 @@ def _record_uploads(store: Store, run: Run) -> tuple[int, int]:
     """
     key = [*DOCUMENT_KEY, "run_id"]
     lost = store.read_run("documents", run.client, run.run_id)
-    results = None
+    results = stored = None
     if store.run_exists("raw_files", run.client, run.run_id):
         stored = store.read_run("raw_files", run.client, run.run_id).select(*key, "object_name")
+    if store.run_exists("raw_parts", run.client, run.run_id):
+        parted = store.read_run("raw_parts", run.client, run.run_id).filter("part = 0").select(*key, "object_name")
+        stored = parted if stored is None else stored.unionByName(parted)
+    if stored is not None:
         results = metadata.upload_results(stored, ACCOUNT, CONTAINER)
         lost = lost.join(stored.select(*key), key, "left_anti")
     reason = F.when(F.col("error") == TOO_LARGE, TOO_LARGE).otherwise(NOT_ARCHIVED)

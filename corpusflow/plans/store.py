@@ -25,7 +25,7 @@ WIDE_ROWS = {"parquet.block.size": str(64 << 20), "parquet.block.size.row.check.
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 # Tables that hold rows of documents, and change when one is deleted.
-DOCUMENT_TABLES = ("raw_files", "documents", "chunks", "vectors", "document_meta")
+DOCUMENT_TABLES = ("raw_files", "raw_parts", "documents", "document_lines", "chunks", "vectors", "document_meta")
 
 # What a later embedding of a chunk puts in place of the stored one, by table.
 CHUNK_KEY = [*DOCUMENT_KEY, "run_id", "chunk_id"]

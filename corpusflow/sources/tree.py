@@ -12,6 +12,7 @@ import re
 import time
 import uuid
 from datetime import timezone
+from hashlib import sha256
 from typing import Iterator
 
 import pyarrow as pa
@@ -195,6 +196,45 @@ def open_files(files: DataFrame, root: str, most: int = 2**31 - 1, name: str = "
     return files.mapInArrow(run, schema)
 
 
+def open_parts(files: DataFrame, root: str, part_bytes: int) -> DataFrame:
+    """The bytes of ``files`` (``rel_path, length``) below ``root`` in pieces: a row per ``part``, from 0, with its ``content``.
+
+    Pieces of one file are read by any number of tasks, which hold one piece at a time.
+    """
+    last = F.greatest(F.floor((F.col("length") - 1) / part_bytes), F.lit(0))
+    parts = files.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    parts = parts.repartition(files.sparkSession.sparkContext.defaultParallelism, "rel_path", "part")
+    schema = T.StructType([*parts.schema, T.StructField("content", T.BinaryType())])
+
+    def run(batches):
+        system, path = file_system(root)
+        for batch in batches:
+            for i, (key, part) in enumerate(zip(batch.column("rel_path").to_pylist(), batch.column("part").to_pylist())):
+                with system.open_input_file(f"{path}/{key}") as stream:
+                    content = stream.read_at(part_bytes, part * part_bytes)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([content], pa.binary())], names=schema.names)
+
+    return parts.mapInArrow(run, schema)
+
+
+def file_sha256(files: DataFrame, root: str, step: int = 8 << 20) -> DataFrame:
+    """``rel_path, sha256`` of ``files`` below ``root``, whose bytes a task reads piece by piece."""
+
+    def run(batches):
+        system, path = file_system(root)
+        for batch in batches:
+            digests = []
+            for key in batch.column("rel_path").to_pylist():
+                digest = sha256()
+                with system.open_input_file(f"{path}/{key}") as stream:
+                    while piece := stream.read(step):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("rel_path"), pa.array(digests, pa.string())], names=["rel_path", "sha256"])
+
+    return files.select("rel_path").repartition("rel_path").mapInArrow(run, "rel_path string, sha256 string")
+
+
 def valid_key(key: str | None) -> bool:
     """Whether a key names a place below its root."""
     return bool(key) and not key.startswith("/") and all(p not in ("", ".", "..") for p in key.split("/"))

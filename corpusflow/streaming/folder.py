@@ -102,7 +102,7 @@ def stream_changes(
         due = truncate_lineage(files)
         if not due.isEmpty():
             batch = replace(run, suffix=f"{number:09d}", replace_index=False)
-            ingest_files(store, open_files(due, full, largest_file(store.spark)), batch)
+            ingest_files(store, due, batch, lambda files: open_files(files, full, largest_file(store.spark)))
 
     writer = changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(one_batch)
     trigger = {"processingTime": continuous} if continuous else {"availableNow": True}
@@ -120,6 +120,8 @@ def changed_files(store: Store, root: str, client_id: str) -> DataFrame:
         return files
     key = ["path", "length", "modified"]
     known = store.read("raw_files").filter(F.col("client_id") == client_id).select(*key)
+    if store.exists("raw_parts"):
+        known = known.union(store.read("raw_parts").filter((F.col("client_id") == client_id) & (F.col("part") == 0)).select(*key))
     # Of a time the two listings tell milliseconds and microseconds.
     listed = list_files(store.spark, root).select("path", "length", F.date_trunc("millisecond", "modified").alias("modified"))
     known = known.select("path", "length", F.date_trunc("millisecond", "modified").alias("modified"))
