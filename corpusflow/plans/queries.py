@@ -1198,20 +1198,32 @@ _BUCKETS = 4
 
 def _named_files(spark, docs: DataFrame) -> str:
     """``docs`` as JSON lines in the files ``part0.txt`` to ``part3.txt`` of a fresh folder, by document id."""
+    return _shared_files(spark, docs, 1)[0]
+
+
+# Bytes of an uploaded file on average: below what the gate lets pass, as shares differ a little.
+_UPLOAD_BYTES = 28 << 20
+
+
+def _named_line() -> Column:
+    # Padded: a file whose only line has no more characters than a chunk must exceed would give none.
+    return F.to_json(F.struct("doc_id", F.lit("." * chunking.MIN_CHARS).alias("pad"), "text"))
+
+
+def _shared_files(spark, docs: DataFrame, shares: int) -> list[str]:
+    """The same in ``shares`` folders, each with a share of the documents."""
     root = scratch_path(spark, "named")
-    lines = docs.select(
-        F.pmod("doc_id", F.lit(_BUCKETS)).alias("b"),
-        # Padded: a file whose only line has no more characters than a chunk must exceed would give none.
-        F.to_json(F.struct("doc_id", F.lit("." * chunking.MIN_CHARS).alias("pad"), "text")).alias("value"),
-    )
-    lines.repartition("b").write.partitionBy("b").text(root)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(shares)).alias("share")
+    lines = docs.select(share, F.pmod("doc_id", F.lit(_BUCKETS)).alias("b"), _named_line().alias("value"))
+    lines.repartition("share", "b").write.partitionBy("share", "b").text(root)
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for b in range(_BUCKETS):
-        for status in fs.globStatus(path(f"{root}/b={b}/part-*")) or []:
-            fs.rename(status.getPath(), path(f"{root}/part{b}.txt"))
-        fs.delete(path(f"{root}/b={b}"), True)
-    return root
+    for s in range(shares):
+        for b in range(_BUCKETS):
+            for status in fs.globStatus(path(f"{root}/share={s}/b={b}/part-*")) or []:
+                fs.rename(status.getPath(), path(f"{root}/share={s}/part{b}.txt"))
+            fs.delete(path(f"{root}/share={s}/b={b}"), True)
+    return [f"{root}/share={s}" for s in range(shares)]
 
 
 def _ingested(spark, folder) -> tuple[Store, str]:
@@ -1248,16 +1260,19 @@ def _indexed(store: Store) -> DataFrame:
 
 @query
 def ingest_file(spark, folder):
-    """Each of some files uploaded by itself."""
+    """Each of some files uploaded by itself, by as many clients as it takes for the gate to let all files pass."""
     store = Store(spark, scratch_path(spark, "store"))
-    root = _named_files(spark, table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
+    length = F.octet_length(_named_line()) + 1
+    sizes = docs.groupBy(F.pmod("doc_id", F.lit(_BUCKETS)).alias("b")).agg(F.sum(length).alias("bytes"))
+    clients = max(1, -(-(sizes.agg(F.max("bytes")).first()[0] or 0) // _UPLOAD_BYTES))
+    roots = _shared_files(spark, docs, clients)
     rows = []
-    for b in range(_BUCKETS):
-        run = replace(_run(), suffix=str(b), replace_index=False, source_type="upload")
-        rows.append(ingest.ingest_file(store, f"{root}/part{b}.txt", run).select("filename", "doc_id", "status"))
-    results = rows[0]
-    for more in rows[1:]:
-        results = results.unionByName(more)
+    for client, root in enumerate(roots):
+        for b in range(_BUCKETS):
+            run = replace(_run(), client_id=f"Acme{client}", suffix=str(b), replace_index=False, source_type="upload")
+            rows.append(tuple(ingest.ingest_file(store, f"{root}/part{b}.txt", run).select("filename", "doc_id", "status").first()))
+    results = spark.createDataFrame(rows, "filename string, doc_id string, status string").distinct()
     stamps = store.current("chunks").select(F.col("doc_id").alias("file"), "uploaded_at").distinct()
     files_ = results.select("filename", F.col("doc_id").alias("file"), "status").join(stamps, "file")
     found = _ingested_documents(store).withColumn("file", F.concat(F.lit("part"), F.pmod("doc_id", F.lit(_BUCKETS))))
