@@ -9,7 +9,7 @@ from corpusflow.functions.paths import content_type
 from corpusflow.functions.text import utc_iso
 from corpusflow.session import scratch_path, ship_package
 from corpusflow.sources.files import locate
-from corpusflow.sources.tree import EXISTS, UNFINISHED, list_tree, open_files, write_files
+from corpusflow.sources.tree import EXISTS, UNFINISHED, list_tree, open_files, present_files, write_files
 
 
 def describe_objects(objects: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def write_objects(incoming: DataFrame, root: str, overwrite: bool = True) -> Dat
     results, path = [], scratch_path(spark, "put")
     if not overwrite:
         before = scratch_path(spark, "present")
-        _present(incoming.select("name"), full).write.parquet(before)
+        present_files(incoming.select("name"), full, "name").write.parquet(before)
         present = spark.read.parquet(before)
         incoming, taken = (incoming.join(present, "name", kind) for kind in ("left_anti", "left_semi"))
         results.append(taken.select(F.lit(False).alias("success"), F.col("name").alias("blob_name"), F.lit(EXISTS).alias("error")))
@@ -71,11 +71,6 @@ def write_objects(incoming: DataFrame, root: str, overwrite: bool = True) -> Dat
     return done
 
 
-def _present(keys: DataFrame, full: str) -> DataFrame:
-    """The names among ``keys`` that are taken: each is looked up by itself, without a byte read."""
-    return open_files(keys, full, name="name", start=0).filter(F.col("content").isNotNull()).select("name")
-
-
 def which_exist(keys: DataFrame, objects: DataFrame) -> DataFrame:
     """The rows of ``keys`` (column ``name``) with an ``exists`` flag."""
     present = objects.select("name").distinct().withColumn("exists", F.lit(True))

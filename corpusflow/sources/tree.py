@@ -196,6 +196,19 @@ def open_files(files: DataFrame, root: str, most: int = 2**31 - 1, name: str = "
     return files.mapInArrow(run, schema)
 
 
+def present_files(files: DataFrame, root: str, name: str = "rel_path") -> DataFrame:
+    """The rows of ``files`` with a file at ``root/<name>``; none is opened."""
+
+    def run(batches):
+        system, path = file_system(root)
+        for batch in batches:
+            keys = batch.column(name).to_pylist()
+            found = iter(system.get_file_info([f"{path}/{key}" for key in keys if valid_key(key)]))
+            yield batch.filter(pa.array([valid_key(key) and next(found).is_file for key in keys], pa.bool_()))
+
+    return files.mapInArrow(run, files.schema)
+
+
 def open_parts(files: DataFrame, root: str, part_bytes: int) -> DataFrame:
     """The bytes of ``files`` (``rel_path, length``) below ``root`` in pieces: a row per ``part``, from 0, with its ``content``.
 
@@ -240,42 +253,73 @@ def valid_key(key: str | None) -> bool:
     return bool(key) and not key.startswith("/") and all(p not in ("", ".", "..") for p in key.split("/"))
 
 
-def write_file(system, path: str, key: str, content: bytes, overwrite: bool) -> str | None:
+def write_file(system, path: str, key: str, content: bytes, overwrite: bool, staging: str | None = None) -> str | None:
     """Puts an object in its place at once, from a temporary name. The reason if it could not be put.
 
     Without ``overwrite`` a file that is there stays. One with the same bytes is taken for what an earlier attempt of the
     same task has put. Local folders create the name atomically; object stores are asked before.
+
+    The temporary name lies in the folder ``staging``; beside the object where there is none, or it cannot serve, such as
+    one on another device.
     """
     from pyarrow import fs
 
     target = f"{path}/{key}"
     folder = target.rsplit("/", 1)[0]
-    temporary = f"{folder}/.{uuid.uuid4().hex}{UNFINISHED}"
-    local = isinstance(system, fs.LocalFileSystem)
-    system.create_dir(folder, recursive=True)
+    if staging is None:
+        system.create_dir(folder, recursive=True)
+    temporary = f"{staging or folder}/.{uuid.uuid4().hex}{UNFINISHED}"
     with system.open_output_stream(temporary) as stream:
         stream.write(content)
     try:
-        if overwrite:
-            system.move(temporary, target)
-            return None
-        if local:
-            try:
-                os.link(temporary, target)
-                return None
-            except FileExistsError:
-                pass
-        elif system.get_file_info(target).type == fs.FileType.NotFound:
-            system.move(temporary, target)
-            return None
-        with system.open_input_file(target) as stream:
-            same = stream.size() == len(content) and stream.read() == content
-        return None if same else EXISTS
+        try:
+            return _settle(system, temporary, target, content, overwrite)
+        except FileNotFoundError:  # the first object of its folder
+            system.create_dir(folder, recursive=True)
+            return _settle(system, temporary, target, content, overwrite)
+    except OSError:
+        if staging is None:
+            raise
+        return write_file(system, path, key, content, overwrite)
     finally:
         if system.get_file_info(temporary).type != fs.FileType.NotFound:
             system.delete_file(temporary)
 
 
+def _settle(system, temporary: str, target: str, content: bytes, overwrite: bool) -> str | None:
+    from pyarrow import fs
+
+    folder = target.rsplit("/", 1)[0]
+    local = isinstance(system, fs.LocalFileSystem)
+    if overwrite and (not local or temporary.rsplit("/", 1)[0] == folder):
+        system.move(temporary, target)
+        return None
+    if local:
+        try:
+            os.link(temporary, target)
+            return None
+        except FileExistsError:
+            if overwrite:
+                _replace(temporary, target, f"{folder}/{temporary.rsplit('/', 1)[1]}")
+                return None
+    elif system.get_file_info(target).type == fs.FileType.NotFound:
+        system.move(temporary, target)
+        return None
+    with system.open_input_file(target) as stream:
+        same = stream.size() == len(content) and stream.read() == content
+    return None if same else EXISTS
+
+
+def _replace(temporary: str, target: str, beside: str) -> None:
+    """A move within the folder of ``target``: one from another folder waits for every other such move on the device."""
+    os.link(temporary, beside)
+    try:
+        os.replace(beside, target)
+    except OSError:
+        os.remove(beside)
+        raise
+
+
 # Fixed value: the answer for a name that is taken.
 EXISTS = "The specified blob already exists."
 BAD_KEY = "The name of the blob is not valid."
@@ -285,18 +329,30 @@ def write_files(files: DataFrame, root: str, name: str = "name", overwrite: bool
     """Puts each row's ``content`` at ``root/<name>``, where the row is; ``success, blob_name, error`` per row.
 
     Lazy: every evaluation puts the objects again, so store the result. Names are unique. A null content is empty.
+
+    A folder changes for one task at a time, and the slower the more it holds. So objects are written in a folder of the
+    task's own, and their folders are only touched to put them there.
     """
 
     def run(batches):
         system, path = file_system(root)
-        for batch in batches:
-            errors = [
-                write_file(system, path, key, content.as_py() or b"", overwrite) if valid_key(key) else BAD_KEY
-                for key, content in zip(batch.column(name).to_pylist(), batch.column("content"))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([e is None for e in errors]), batch.column(name), pa.array(errors, pa.string())],
-                names=["success", "blob_name", "error"],
-            )
+        staging, made = f"{path}/.{uuid.uuid4().hex}{UNFINISHED}", False
+        try:
+            for batch in batches:
+                keys = batch.column(name).to_pylist()
+                if not made and any(map(valid_key, keys)):
+                    system.create_dir(staging, recursive=True)
+                    made = True
+                errors = [
+                    write_file(system, path, key, content.as_py() or b"", overwrite, staging) if valid_key(key) else BAD_KEY
+                    for key, content in zip(keys, batch.column("content"))
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([e is None for e in errors]), batch.column(name), pa.array(errors, pa.string())],
+                    names=["success", "blob_name", "error"],
+                )
+        finally:
+            if made:
+                system.delete_dir(staging)
 
     return files.select(name, "content").mapInArrow(run, "success boolean, blob_name string, error string")
