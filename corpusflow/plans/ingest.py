@@ -13,9 +13,11 @@ from typing import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusflow import schemas
 from corpusflow.functions.paths import client_object_key, make_doc_id, path_parts, sha256_hex
@@ -122,7 +124,12 @@ def _run_row(store: Store, run: Run, **values) -> DataFrame:
         "error": None,
         **values,
     }
-    return store.spark.createDataFrame([tuple(row[n] for n in RUN.names)], RUN)
+    return _short_rows(store, [row], RUN)
+
+
+def _short_rows(store: Store, rows: list[dict], schema: T.StructType) -> DataFrame:
+    """A few rows that the driver holds, which no worker is needed to read."""
+    return store.spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)
 
 
 def _failed(store: Store, run: Run, error: str) -> DataFrame:
@@ -144,16 +151,21 @@ def ingest_files(
         return _failed(store, run, NO_CLIENT)
     largest = min(largest_file(store.spark), run.split_above or 2**31)
     facts = files.drop("content")
-    whole, parted = _read_whole(files, run, largest)
-    archive(store, opened(whole), run)
-    large = facts.filter(F.col("length") > largest)
-    split = large.filter(_splittable(run))
-    if parted:
-        parted_files = facts.filter(F.col("path").isin(parted))
-        archive_parts(store, parted_files, run)
-        split = split.unionByName(parted_files)
-    long = _read_long(store, split, run)
-    extract_archive(store, run, large.filter(~_splittable(run)), long)
+    too_large = long = None
+    if facts.filter(F.col("length") > min(largest, SPLIT_BYTES)).isEmpty():
+        archive(store, opened(files), run)
+    else:
+        whole, parted = _read_whole(files, run, largest)
+        archive(store, opened(whole), run)
+        large = facts.filter(F.col("length") > largest)
+        split = large.filter(_splittable(run))
+        if parted:
+            parted_files = facts.filter(F.col("path").isin(parted))
+            archive_parts(store, parted_files, run)
+            split = split.unionByName(parted_files)
+        long = _read_long(store, split, run)
+        too_large = large.filter(~_splittable(run))
+    extract_archive(store, run, facts.limit(0) if too_large is None else too_large, long)
     if not store.run_exists("documents", run.client, run.run_id):
         return _failed(store, run, NO_DOCUMENTS)
     documents = store.read_run("documents", run.client, run.run_id).filter(F.col("pages").isNotNull())
@@ -406,10 +418,10 @@ def write_vectors(store: Store, chunks: DataFrame, run: Run) -> int:
 
 def _next_vector_id(store: Store, run: Run) -> int:
     """The first id no earlier run has used; the run table has a short row per run."""
-    if not store.exists("runs"):
+    runs = store.read_client("runs", run.client)
+    if runs is None:
         return 0
-    others = store.read("runs").filter((F.col("client_id") == run.client) & (F.col("run_id") != run.run_id))
-    return others.agg(F.max("next_vec_id")).first()[0] or 0
+    return runs.filter(F.col("run_id") != run.run_id).agg(F.max("next_vec_id")).first()[0] or 0
 
 
 def retire_vectors(store: Store, run: Run) -> None:
@@ -446,7 +458,8 @@ def finish(store: Store, run: Run, began: float) -> DataFrame:
     )
     store.write("runs", summary)
     retire_vectors(store, run)
-    log = store.spark.createDataFrame([(run.client, run.run_id, run.label)], "client_id string, run_id string, label string")
+    named = {"client_id": run.client, "run_id": run.run_id, "label": run.label}
+    log = _short_rows(store, [named], T.StructType([T.StructField(name, T.StringType()) for name in named]))
     created = F.to_utc_timestamp(F.lit(run.started), F.current_timezone())
     store.write(
         "ingestion_log",

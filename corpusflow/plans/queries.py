@@ -5,6 +5,7 @@ Keys match those of ``oracles``. Every function takes the session and the folder
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 from functools import partial
@@ -1267,11 +1268,19 @@ def ingest_file(spark, folder):
     sizes = docs.groupBy(F.pmod("doc_id", F.lit(_BUCKETS)).alias("b")).agg(F.sum(length).alias("bytes"))
     clients = max(1, -(-(sizes.agg(F.max("bytes")).first()[0] or 0) // _UPLOAD_BYTES))
     roots = _shared_files(spark, docs, clients)
-    rows = []
-    for client, root in enumerate(roots):
+
+    def uploads(client: int, root: str) -> list[tuple]:
+        # One after another, as each adds to the client's index.
+        rows = []
         for b in range(_BUCKETS):
             run = replace(_run(), client_id=f"Acme{client}", suffix=str(b), replace_index=False, source_type="upload")
             rows.append(tuple(ingest.ingest_file(store, f"{root}/part{b}.txt", run).select("filename", "doc_id", "status").first()))
+        return rows
+
+    # Clients upload independently of each other. An upload is a row that one task works on, and about as long in the
+    # driver as in tasks, so that two per core keep the cores busy.
+    with ThreadPoolExecutor(min(clients, 2 * spark.sparkContext.defaultParallelism)) as pool:
+        rows = [row for found in pool.map(uploads, range(clients), roots) for row in found]
     results = spark.createDataFrame(rows, "filename string, doc_id string, status string").distinct()
     stamps = store.current("chunks").select(F.col("doc_id").alias("file"), "uploaded_at").distinct()
     files_ = results.select("filename", F.col("doc_id").alias("file"), "status").join(stamps, "file")

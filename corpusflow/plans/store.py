@@ -7,7 +7,10 @@ sort by time: the current version of a document is the one of its latest run.
 
 from __future__ import annotations
 
+import threading
+from contextlib import contextmanager
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,11 @@ WIDE_ROWS = {"parquet.block.size": str(64 << 20), "parquet.block.size.row.check.
 
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
+# Several runs may write at a time, each from a thread of its own. What they set in the session they share holds until the
+# last of them is done; rows are appended by one at a time, as its commit clears the folder that others would write in.
+_LOCK, _APPENDING = threading.Lock(), threading.Lock()
+_WRITING: WeakKeyDictionary = WeakKeyDictionary()
+
 # Tables that hold rows of documents, and change when one is deleted.
 DOCUMENT_TABLES = ("raw_files", "raw_parts", "documents", "document_lines", "chunks", "vectors", "document_meta")
 
@@ -34,6 +42,25 @@ RENEWED = "renewed"
 _RENEWED = "rel_path string, chunk_id string, embedding array<float>, model string, client_id string, run_id string, version string"
 
 
+@contextmanager
+def _open_writers(spark: SparkSession):
+    """The session with a few open files per task, for as long as any thread writes."""
+    with _LOCK:
+        count, kept = _WRITING.get(spark, (0, None))
+        if not count:
+            kept = spark.conf.get(_WRITERS)
+            spark.conf.set(_WRITERS, "8")
+        _WRITING[spark] = count + 1, kept
+    try:
+        yield
+    finally:
+        with _LOCK:
+            count, kept = _WRITING[spark]
+            _WRITING[spark] = count - 1, kept
+            if count == 1:
+                spark.conf.set(_WRITERS, kept)
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -58,6 +85,11 @@ class Store:
         """The rows of one run. Only its own folder is listed, however many runs there are."""
         return self._load(table, self._run_path(table, client_id, run_id))
 
+    def read_client(self, table: str, client_id: str) -> DataFrame | None:
+        """The rows of one client, whose own folder is all that is listed; nothing where it has none."""
+        path = f"{self.path(table)}/{self._folder({'client_id': client_id})}"
+        return self._load(table, path) if self._has_folders(path) else None
+
     def _load(self, table: str, path: str) -> DataFrame:
         reader = self.spark.read.option("basePath", self.path(table))
         fields = [
@@ -89,24 +121,21 @@ class Store:
         A run writes a handful of partitions, so that each can have its open file, and rows that may hold whole files
         need not be sorted by partition first.
         """
-        kept = self.spark.conf.get(_WRITERS)
-        self.spark.conf.set(_WRITERS, "8")
-        try:
+        with _open_writers(self.spark):
             (
                 rows.write.mode("overwrite")
                 .options(partitionOverwriteMode="dynamic", **WIDE_ROWS)
                 .partitionBy(*partitions)
                 .parquet(self.path(table))
             )
-        finally:
-            self.spark.conf.set(_WRITERS, kept)
 
     def drop_run(self, table: str, client_id: str, run_id: str) -> None:
         """Removes what a run has written to a table, if anything."""
         self.remove(self._run_path(table, client_id, run_id))
 
     def append(self, table: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path(table))
+        with _APPENDING:
+            rows.write.mode("append").parquet(self.path(table))
 
     def current(self, table: str) -> DataFrame:
         """Rows of finished runs that no later run of their document supersedes and that have not been deleted, with their
