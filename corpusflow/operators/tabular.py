@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from corpusflow.functions.text import only_present, strip
 from corpusflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHARS, next_flush
-from corpusflow.operators.ordinals import running_total
+from corpusflow.operators.ordinals import running_total, running_total_of_runs
 from corpusflow.session import scratch_path, truncate_lineage
 
 # Lines a block holds at most, unless the chunk settings ask for more, characters they have on average, and blocks whose
@@ -55,11 +55,13 @@ def chunk_lines(
     overlap: int = CHUNK_OVERLAP,
     block_lines: int = BLOCK_LINES,
     fan: int = BLOCK_FAN,
+    runs: str | None = None,
 ) -> DataFrame:
     """Chunks of tables given as rows of lines: ``groups``, ``chunk_index``, ``text``, ``char_count``.
 
     ``position`` is an integer that orders the rows of a group and is unique in it. A cell with newlines makes its
-    row several lines.
+    row several lines. Rows of one group column that come in runs of neighbouring positions need not move to be numbered:
+    ``runs`` then is a scratch folder for them, to be removed when the chunks have been written.
     """
     # The most lines an open buffer can hold: one-character lines up to the size, or the overlap and one more.
     reach = max((size + 1) // 2, overlap + 1)
@@ -71,15 +73,17 @@ def chunk_lines(
         .otherwise(F.array().cast("array<string>"))
     )
     source = lines.select(*groups, F.col(position).alias("_pos"), parts.alias("_parts"))
-    sizes = source.select(*groups, "_pos", F.size("_parts").cast("long").alias("_size"))
-    first = running_total(sizes, groups, "_pos", "_size", "_first").select(*groups, "_pos", "_first")
-    numbered = (
-        source.join(first, [*groups, "_pos"])
-        .select(*groups, "_first", F.posexplode("_parts").alias("_at", "_line"))
-        .select(*groups, (F.col("_first") + F.col("_at")).alias("_n"), "_line")
+    sized = source.withColumn("_size", F.size("_parts").cast("long"))
+    if runs:
+        placed = running_total_of_runs(sized, *groups, "_pos", "_size", "_first", runs)
+    else:
+        first = running_total(sized.drop("_parts"), groups, "_pos", "_size", "_first").select(*groups, "_pos", "_first")
+        placed = source.join(first, [*groups, "_pos"])
+    numbered = placed.select(*groups, "_first", F.posexplode("_parts").alias("_at", "_line")).select(
+        *groups, (F.col("_first") + F.col("_at")).alias("_n"), "_line"
     )
     # Read by both passes: stored once, rather than numbered again for the second.
-    numbered = _stored(numbered)
+    numbered = numbered if runs else _stored(numbered)
     mean = numbered.agg(F.avg(F.length("_line") + 1)).first()[0] or 1
     block = max(min(block_lines, int(BLOCK_CHARS / mean)), 2 * reach)
     # A block also gets the lines before it that an open buffer can reach back to.

@@ -27,7 +27,7 @@ from corpusflow.operators.embedding import EmbedderFactory, HashingEmbedder, emb
 from corpusflow.operators.tabular import row_line
 from corpusflow.operators.vectors import assign_vector_ids
 from corpusflow.plans.store import DOCUMENT_KEY, RENEWED, Store
-from corpusflow.session import scratch_path, spread
+from corpusflow.session import release, scratch_path, spread, stage
 from corpusflow.sources.extract import NATIVE, NO_TEXT, extract, is_native
 from corpusflow.sources.files import UPLOAD_EXTENSIONS, locate, not_loaded, read_file, read_files, upload_gate
 from corpusflow.sources.formats import READERS, Reader
@@ -207,22 +207,26 @@ def _splittable(run: Run) -> Column:
 
 @dataclass(frozen=True)
 class LongText:
-    """Files read in splits: ``files`` with the ``error`` of those without text, and ``chunks`` by ``rel_path``."""
+    """Files read in splits, whose lines are stored: ``files`` with the ``error`` of those without text. ``work`` is a scratch
+    folder that is removed when their chunks are written."""
 
     files: DataFrame
-    chunks: DataFrame
+    work: str
 
 
 def _read_long(store: Store, files: DataFrame, run: Run) -> LongText | None:
-    """The chunks of files too large for a row, stored on the side; records that cannot be shown go to ``line_errors``."""
+    """Stores the lines of files too large for a row; records that cannot be shown go to ``line_errors``.
+
+    What is staged on the way is removed as soon as the next table is written: each copy is as large as the files.
+    """
     first = files.select("path", "rel_path").head()
     if first is None:
         return None
     root = first.path[: -len(first.rel_path)]
-    lines, chunks = scratch_path(store.spark, "long-lines"), scratch_path(store.spark, "long-chunks")
-    long_lines(files, root).write.parquet(lines)
-    read = store.spark.read.parquet(lines)
-    chunk_long_text(read, run.size, run.overlap).write.parquet(chunks)
+    work = scratch_path(store.spark, "long")
+    read = stage(f"{work}/read", long_lines(files, root, f"{work}/split"))
+    store.remove(f"{work}/split")
+    release(store.spark)
     faults = read.filter(F.col("error").isNotNull())
     store.write("line_errors", run.stamp(faults.select("rel_path", "pos", "error")))
     store.write("document_lines", run.stamp(read.filter("line is not null").select("rel_path", "pos", "line")))
@@ -233,7 +237,9 @@ def _read_long(store: Store, files: DataFrame, run: Run) -> LongText | None:
     told = files.join(texts, "rel_path", "left").withColumn(
         "error", F.when(F.coalesce("filled", F.lit(False)), None).otherwise(F.coalesce("fault", F.lit(NO_TEXT)))
     )
-    return LongText(told.drop("filled", "fault"), store.spark.read.parquet(chunks))
+    told = stage(f"{work}/files", told.drop("filled", "fault"))
+    store.remove(f"{work}/read")
+    return LongText(told, work)
 
 
 def ingest_directory(store: Store, root: str, run: Run) -> DataFrame:
@@ -381,13 +387,18 @@ def chunk_and_embed(store: Store, documents: DataFrame, run: Run, long: LongText
         "client_id", "run_id", "rel_path", "doc_id", "source_file", "source_type", "extra_metadata", "pages"
     )
     chunks = chunk_documents(spread(source), run.size, run.overlap)
-    if long:
+    if long and store.run_exists("document_lines", run.client, run.run_id):
+        lines = store.read_run("document_lines", run.client, run.run_id)
+        packed = chunk_long_text(lines, run.size, run.overlap, work=f"{long.work}/rows").withColumn("page", F.lit(1).cast("long"))
         about = documents.select([c for c in source.columns if c != "pages"])
-        chunks = chunks.unionByName(long.chunks.withColumn("page", F.lit(1).cast("long")).join(about, "rel_path"))
+        chunks = chunks.unionByName(packed.join(about, "rel_path"))
     chunks = with_chunk_ids(chunks)
     stamped = chunks.withColumn("uploaded_at", F.lit(metadata.iso_utc(run.started)))
     vectors = embed(stamped, factory=run.factory).withColumn("model", F.lit(run.model_key))
     store.write("chunks", vectors)
+    if long:
+        store.remove(long.work)
+        release(store.spark)
     # A run that is repeated writes its chunks anew: what was embedded again before then is void.
     store.drop_run(RENEWED, run.client, run.run_id)
 

@@ -11,7 +11,10 @@ from corpusflow.operators import catalog
 from corpusflow.operators.embedding import EmbedderFactory, HashingEmbedder, embed
 from corpusflow.plans.ingest import model_name
 from corpusflow.plans.store import CHUNK_KEY, DOCUMENT_KEY, DOCUMENT_TABLES, RENEWABLE, RENEWED, Store
-from corpusflow.session import scratch_path
+from corpusflow.session import scratch_path, stage
+
+# Documents whose names are sure to be few enough to travel to every task.
+FEW = 10_000
 
 
 def stored_objects(store: Store) -> DataFrame:
@@ -57,18 +60,23 @@ def compact(store: Store) -> None:
 
 
 def _fold_renewed(store: Store) -> None:
-    path = scratch_path(store.spark, "fold")
+    path, names = scratch_path(store.spark, "fold"), scratch_path(store.spark, "fold-names")
     store.renewals().select("client_id", "run_id", "version").distinct().write.parquet(path)
     done = store.spark.read.parquet(path)
     runs = done.select("client_id", "run_id").distinct()
+    touched = stage(names, store.renewals().select(*DOCUMENT_KEY, "run_id").distinct())
+    few = touched if touched.count() <= FEW else None
     for table in RENEWABLE:
         rows = store.read(table).join(runs, ["client_id", "run_id"], "left_semi")
-        store.rewrite(table, runs, store.renewed(table, rows), ("client_id", "run_id"))
+        store.rewrite(table, runs, store.renewed(table, rows, few), ("client_id", "run_id"))
     store.drop_partitions(RENEWED, done)
     store.remove(path)
+    store.remove(names)
 
 
 def _drop_deleted(store: Store) -> None:
+    if not store.exists("deleted"):
+        return
     path = scratch_path(store.spark, "compact")
     store.deleted().write.parquet(path)
     done = store.spark.read.parquet(path)
@@ -84,9 +92,12 @@ def _drop_versions(store: Store, table: str, gone: DataFrame) -> None:
     partitions = ("client_id", "run_id", "is_native") if table == "raw_files" else ("client_id", "run_id")
     key = [*DOCUMENT_KEY, "run_id"]
     rows = store.read(table)
-    affected = rows.join(gone, key, "left_semi").select(*partitions).distinct()
-    touched = rows.join(affected, list(partitions), "left_semi")
-    store.rewrite(table, affected, catalog.without_documents(touched, gone, key), partitions)
+    names = scratch_path(store.spark, "drop")
+    affected = stage(names, rows.join(gone, key, "left_semi").select(*partitions).distinct())
+    if not affected.isEmpty():
+        touched = rows.join(affected, list(partitions), "left_semi")
+        store.rewrite(table, affected, catalog.without_documents(touched, gone, key), partitions)
+    store.remove(names)
 
 
 def rebuild(

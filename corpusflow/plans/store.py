@@ -16,15 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.session import scratch_path
+from corpusflow.session import WIDE_ROWS, release, remove, scratch_path, stage
 
 PARTITIONS = ("client_id", "run_id", "is_native", "version")
 DOCUMENT_KEY = ["client_id", "rel_path"]
 
-# A row may hold a whole file. Parquet looks at its buffer every 100 rows only and a reader decodes up to 4096 rows of
-# a row group at once; both are bounded by looking at every row and closing row groups early.
-WIDE_ROWS = {"parquet.block.size": str(64 << 20), "parquet.block.size.row.check.min": "1"}
-
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 # Several runs may write at a time, each from a thread of its own. What they set in the session they share holds until the
@@ -151,7 +147,8 @@ class Store:
         old = seen.join(latest.filter("_runs > 1"), DOCUMENT_KEY).filter("run_id < _latest")
         gone = old.select(*DOCUMENT_KEY, "run_id")
         deleted = self.deleted().select(*DOCUMENT_KEY, F.col("deleted_run").alias("run_id"))
-        gone = gone.union(deleted).distinct()
+        # Stored, so that the optimizer sees how few they are: a join by version would put a whole file in one task.
+        gone = stage(scratch_path(self.spark, "gone"), gone.union(deleted).distinct())
         rows = (
             self.read(table)
             .join(finished, ["client_id", "run_id"], "left_semi")
@@ -159,18 +156,23 @@ class Store:
         )
         return self.renewed(table, rows)
 
-    def renewed(self, table: str, rows: DataFrame) -> DataFrame:
+    def renewed(self, table: str, rows: DataFrame, touched: DataFrame | None = None) -> DataFrame:
         """``rows`` of ``table`` with the vectors that later embeddings have put in place of the stored ones.
 
         Those lie in a table of their own, a row per chunk embedded again; the newest version of a chunk holds. Few of
-        them travel to the rows; many are joined, until ``compact`` has folded them in.
+        them travel to the rows; many are joined, until ``compact`` has folded them in. ``touched`` names the versions of
+        documents that have such vectors, where these are few: rows of others then stay where they are.
         """
         fields = RENEWABLE.get(table, ())
         if not fields or not self.exists(RENEWED):
             return rows
         newest = self.renewals().groupBy(*CHUNK_KEY).agg(F.max(F.struct("version", *fields)).alias("_new"))
         shown = [F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns]
-        return rows.join(newest, CHUNK_KEY, "left").select(*shown)
+        if touched is None:
+            return rows.join(newest, CHUNK_KEY, "left").select(*shown)
+        version = [*DOCUMENT_KEY, "run_id"]
+        met = rows.join(touched, version, "left_semi").join(newest, CHUNK_KEY, "left").select(*shown)
+        return met.unionByName(rows.join(touched, version, "left_anti"))
 
     def deleted(self) -> DataFrame:
         """Versions of documents that have been deleted and not yet compacted away; none where nothing ever was."""
@@ -188,25 +190,19 @@ class Store:
     def rewrite(self, table: str, affected: DataFrame, kept: DataFrame, partitions: tuple[str, ...]) -> None:
         """Puts ``kept`` in place of the partitions listed in ``affected``; those left without rows are removed.
 
-        Both may read the table they change, so both are staged first.
+        Both may read the table they change: the partitions to remove are worked out before, and a write puts its files in
+        their places only when all rows have been read.
         """
-        names, copy = scratch_path(self.spark, f"affected-{table}"), scratch_path(self.spark, f"rewrite-{table}")
-        listed = self._stage(names, affected.select(*partitions).distinct())
-        staged = self._stage(copy, kept)
-        self.write(table, staged, partitions)
-        emptied = listed.join(staged.select(*partitions).distinct(), list(partitions), "left_anti")
+        names = scratch_path(self.spark, f"affected-{table}")
+        left = kept.select(*partitions).distinct()
+        emptied = stage(names, affected.select(*partitions).distinct().join(left, list(partitions), "left_anti"))
+        self.write(table, kept, partitions)
         self.drop_partitions(table, emptied)
         self.remove(names)
-        self.remove(copy)
-
-    def _stage(self, path: str, rows: DataFrame) -> DataFrame:
-        rows.write.options(**WIDE_ROWS).parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        release(self.spark)
 
     def remove(self, path: str) -> None:
-        """Deletes a folder, such as a staged copy that has served; one that does not exist is no fault."""
-        where = self._jpath(path)
-        where.getFileSystem(self._hadoop()).delete(where, True)
+        remove(self.spark, path)
 
     def drop_partitions(self, table: str, listed: DataFrame) -> None:
         """Removes the folders of the partitions in ``listed``, a row for each."""

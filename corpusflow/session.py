@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -78,6 +79,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+# A row may hold a whole file. Parquet looks at its buffer every 100 rows only and a reader decodes up to 4096 rows of
+# a row group at once; both are bounded by looking at every row and closing row groups early. Text is most of what is
+# stored, and a third smaller so than by the default.
+WIDE_ROWS = {"parquet.block.size": str(64 << 20), "parquet.block.size.row.check.min": "1", "compression": "zstd"}
+
+
+def stage(path: str, rows):
+    """``rows`` as written to ``path``, a scratch folder, from where they are read again. Whoever names it removes it."""
+    rows.write.options(**WIDE_ROWS).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, such as a staged copy that has served; one that does not exist is no fault."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files that nothing can read any more.
+
+    Spark deletes them when the driver's memory is collected, which may take half an hour; those of one shuffle of a large
+    text are as large as a table. Only worth it after a step that moves such text.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def truncate_lineage(df):
     """A reliable checkpoint of ``df`` in the shared folder: stable partitions that outlive an executor."""
     shared_dir(df.sparkSession)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv as csv_format
 import re
+import uuid
 from typing import Iterable
 
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions.text import strip
-from corpusflow.operators.ordinals import dense_order
+from corpusflow.session import scratch_path, stage
 from corpusflow.sources.files import any_case_glob, locate
 from corpusflow.sources.formats import (
     CSV_SEPARATORS,
@@ -38,10 +39,14 @@ LONG_HEADER = "the header has more than {} lines"
 LONG_RECORD = "a record of {} characters is too long"
 
 
-def split_lines(spark: SparkSession, root: str, paths: list[str] | None = None, extensions: Iterable[str] = ()) -> DataFrame:
-    """``rel_path, value, pos`` and ``part``: lines, their place in the file, and the partition they are in.
+def split_lines(
+    spark: SparkSession, root: str, paths: list[str] | None = None, extensions: Iterable[str] = (), work: str | None = None
+) -> DataFrame:
+    """``rel_path, value, pos`` and ``part``: lines, their place in the file, and the split they are in, which grows along it.
 
-    Of the files at ``paths``, all below ``root``, or of all with one of the ``extensions``.
+    Of the files at ``paths``, all below ``root``, or of all with one of the ``extensions``. The lines are stored once as
+    they are read, which fixes the splits and the order in them, and only the splits' line counts are summed along a file.
+    They come in runs of neighbouring lines. ``work`` is a scratch folder that is removed when the lines have served.
     """
     full, _, is_folder = locate(spark, root)
     if not is_folder:
@@ -53,10 +58,20 @@ def split_lines(spark: SparkSession, root: str, paths: list[str] | None = None,
         F.substr(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), F.lit(len(full.rstrip("/")) + 2)).alias("rel_path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
-        F.lit(1).alias("_one"),
         "value",
     )
-    return dense_order(lines, ["rel_path"], [F.col("_start"), F.col("_row")], "_one", "pos", part="part")
+    work = work or scratch_path(spark, "split")
+    read = stage(f"{work}/lines-{uuid.uuid4().hex}", lines)
+    sizes = read.groupBy("rel_path", "_start").agg(F.count(F.lit(1)).alias("_lines"), F.min("_row").alias("_first"))
+    along = Window.partitionBy("rel_path").orderBy("_start")
+    bases = sizes.select(
+        "rel_path", "_start", "_first", F.row_number().over(along).alias("part"),
+        F.coalesce(F.sum("_lines").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+    )
+    # A row per split: stored, so that the optimizer sees how few they are.
+    bases = stage(f"{work}/splits-{uuid.uuid4().hex}", bases)
+    pos = (F.col("_base") + F.col("_row") - F.col("_first")).alias("pos")
+    return read.join(bases, ["rel_path", "_start"]).select("rel_path", "value", pos, "part")
 
 
 def _unglobbed(path: str) -> str:
@@ -171,6 +186,7 @@ def delimited_lines(
     separators: tuple[str, ...] = CSV_SEPARATORS,
     record_chars: int = RECORD_CHARS,
     paths: list[str] | None = None,
+    work: str | None = None,
 ) -> DataFrame:
     """``rel_path, pos, line, error``: a ``name: value`` line per record of the delimited files below ``root``.
 
@@ -181,7 +197,7 @@ def delimited_lines(
     characters. So has a file without a header. ``paths`` names files to read in place of ``extensions``. ``operators.tabular.chunk_lines`` packs the lines.
     """
     valid = F.make_valid_utf8("value")
-    lines = split_lines(spark, root, paths, extensions).select("rel_path", "pos", "part", valid.alias("value"))
+    lines = split_lines(spark, root, paths, extensions, work).select("rel_path", "pos", "part", valid.alias("value"))
     headers = _headers(lines, separators)
     text, mark = F.col("value"), F.col("separator")
 
